@@ -91,3 +91,15 @@ def mix_sources(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard_words:
     again = F.aggregate(F.transform(F.array_intersect(spans, F.col("chosen")), part), F.lit(0).cast("long"), lambda a, x: a + x)
     taken = F.when((F.col("size") > 0) & (F.col("blocks") > 0), F.floor(F.col("seats") / F.col("blocks")) * F.col("size") + F.coalesce(F.when(F.col("chosen").isNotNull(), again), F.lit(0)))
     return both.select("doc_id", "th", "size", "source", "source_size", "target", F.least(F.coalesce(taken, F.lit(0)), most * F.col("size")).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The documents as the mix takes them: each as many times as its taken words make whole documents (halves count), up to the most.
+
+    What is taken is joined back by id and text hash, so repeated rows of one document share one figure.
+    """
+    taken = cut(mix_sources(docs, **options)).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0))).cast("int").alias("_n"))
+    taken = taken.where("_n > 0")
+    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
