@@ -140,7 +140,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.n
         if b - a >= n:
             out.append(np.unique(every[a : b - n + 1]))
         elif b > a:
-            out.append(mix(np.array([sum(int(x) for x in mix(h[a:b] + at[: b - a])) + (b - a) & 0xFFFFFFFFFFFFFFFF], np.uint64)))
+            out.append(mix(np.array([sum(int(x) for x in mix(h[a:b] + at[: b - a])) + int(b - a) & 0xFFFFFFFFFFFFFFFF], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

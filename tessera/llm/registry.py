@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, licenses, mixing, packing, pii, quality, toxicity, url_filter
+from tessera.llm import fingerprints, licenses, mixing, packing, pii, quality, similarity, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -39,12 +39,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.component_table(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_fingerprints, op7_license_scan, op8_quality_rules, op10_personal_data)
+    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_fingerprints, op7_license_scan, op8_quality_rules, op9_ngram_jaccard, op10_personal_data)
 }
 
 ORACLE_SQL: dict[str, str] = {}
