@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, licenses, mixing, packing, pii, quality, similarity, toxicity, url_filter
+from tessera.llm import fingerprints, licenses, mixing, packing, passages, pii, quality, similarity, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_fingerprints, op7_license_scan, op8_quality_rules, op9_ngram_jaccard, op10_personal_data)
+    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_fingerprints, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_ngram_jaccard, op10_personal_data)
 }
 
 ORACLE_SQL: dict[str, str] = {}
