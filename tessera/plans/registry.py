@@ -1,14 +1,776 @@
-"""The reference operators' queries over the given tables, and the same in SQL."""
+"""Queries of the funnel's operators over tables derived from the given ones, and the same in SQL.
+
+Each query is named after the operators of the blueprint that it runs. Where SQL has no counterpart (helpers that stem,
+split or detect, graph components) there is none, and tests hold the operator against examples.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.functions import vectorized as V
+from tessera.operators import boards, judging, ledger, linkage, stage0
+from tessera.plans import tables as S
+from tessera.sources import exports, history, landing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+TIER1 = ["Licensed under", "rights reserved", "GNU", "GPL", "worthless"]
+EXCLUDE = ["password=", "unsubscribe"]
+REMOTE = ["licensed", "MIT", "apache license", "trash", "C++"]
+READS = ["en", "de", "fr", "es"]
+SPACE = "[ \\t\\n\\x0b\\f\\r]"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Stage 0 with the counts of every drop."""
+    return f7_a1_waterfall_counts(spark, d)
+
+
+# -- text functions, over whole texts of documents
+
+D = "documents"
+NT = "trim(regexp_replace(regexp_replace(lower(regexp_replace({0}, '<[^>]+>', ' ', 'g')), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(text, '\\\\([-_*.\\[\\]()#+!`&|~<>])', '\\1', 'g'), '**', ''), '__', ''), '^[\\s*_>#•·‣◦-]+', ''), '[\\s*_#]+$', ''), '^\\s+|\\s+$', '', 'g')) AS h FROM documents""")
+def t1_clean_sentence(spark, d):
+    return S.read(spark, d, D).select("doc_id", F.md5(T.clean_sentence("text")).alias("h"))
+
+
+@query()
+def t2_sentences(spark, d):
+    return S.read(spark, d, D).select("doc_id", V.split_sentences("text").alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "\n")).alias("h"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS INT) AS n, md5(array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), ' ')) AS h FROM documents")
+def t3_tokens(spark, d):
+    return S.read(spark, d, D).select("doc_id", T.tokens("text").alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("h"))
+
+
+@query()
+def t4_stems(spark, d):
+    words = S.read(spark, d, D).select(F.explode(F.array_distinct(F.transform(T.tokens("text"), F.lower))).alias("w")).groupBy("w").agg(F.count("*").alias("documents"))
+    return words.select("w", F.get(V.stem_tokens(F.array("w")), F.lit(0)).alias("stem"), "documents")
+
+
+@query("SELECT doc_id, regexp_matches(text, '(?i)(^|[^\\w])password=') AS hit FROM documents")
+def t5_literal_keyword(spark, d):
+    return S.read(spark, d, D).select("doc_id", F.col("text").rlike("(?i)(?<!\\w)password=").alias("hit"))
+
+
+@query(f"SELECT doc_id, md5({NT.format('text')}) AS body, {NT.format('source')} AS company FROM documents")
+def t6_normal_text(spark, d):
+    return S.read(spark, d, D).select("doc_id", F.md5(T.normal_text("text")).alias("body"), T.normal_text("source").alias("company"))
+
+
+@query("SELECT doc_id, md5(replace(lower(trim(regexp_replace(translate(regexp_replace(regexp_replace(text, '\\\\([\\\\`*_{}\\[\\]()#+\\-.!&|~<>])', '\\1', 'g'), '[*_`#>|~]+', ' ', 'g'), '’‘“”«»‐‑–—', '''''\"\"\"\"----'), '\\s+', ' ', 'g'))), 'ß', 'ss')) AS h FROM documents")
+def t7_quote_form(spark, d):
+    return S.read(spark, d, D).select("doc_id", F.md5(T.quote_form("text")).alias("h"))
+
+
+@query("SELECT doc_id, length(trim(q)) > 0 AS held FROM (SELECT doc_id, regexp_replace(translate(substr(text, 11, 20), '*_`#>|~\\', '        '), '\\s+', ' ', 'g') AS q FROM documents)")
+def t8_quote_in_text(spark, d):
+    """A stretch of each text, quoted, is found in it."""
+    return S.read(spark, d, D).select("doc_id", T.quote_in_text(F.translate(F.substring("text", 11, 20), "*_`#>|~\\", "        "), F.translate("text", "*_`#>|~\\", "        ")).alias("held"))
+
+
+@query()
+def t9_html_text(spark, d):
+    return S.read(spark, d, "pages").select("page_id", F.md5(T.plain("html", V.html_unescape)).alias("h"))
+
+
+@query(f"SELECT p_partkey, {NORM.format('p_name')} AS norm, {NORM.format('p_type')} AS kind FROM part")
+def t10_norm(spark, d):
+    return S.read(spark, d, "part").select("p_partkey", T.norm(F.concat("p_name", F.lit(" (m/w/d)"))).alias("norm"), T.norm("p_type").alias("kind"))
+
+
+@query(f"SELECT s_suppkey, trim(regexp_replace(regexp_replace({NORM.format('s_name')}, '\\b(gmbh|ag|se|inc|ltd|llc|limited|group|co|kgaa|plc|sa|sas|bv)\\b', '', 'g'), '\\s+', ' ', 'g')) AS key FROM supplier")
+def t11_company_key(spark, d):
+    return S.read(spark, d, "supplier").select("s_suppkey", T.company_key(F.concat("s_name", F.lit(" GmbH & Co. KGaA"))).alias("key"))
+
+
+@query("SELECT s_suppkey, array_to_string(CASE WHEN replace(b, '-', '') = b THEN [b || '-labs', b || 'labs', b] ELSE [b || '-labs', replace(b, '-', '') || 'labs', b, replace(b, '-', '')] END, ',') AS slugs FROM (SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g') AS b FROM supplier)")
+def t12_slugs(spark, d):
+    return S.read(spark, d, "supplier").select("s_suppkey", F.array_join(T.slugs(F.concat("s_name", F.lit(" Labs"))), ",").alias("slugs"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever_eu' ELSE 'teamtailor' END AS vendor, 'c' || c_custkey || CASE WHEN c_custkey % 3 = 2 THEN '.teamtailor.com' ELSE '' END AS slug FROM customer")
+def t13_t14_board_urls(spark, d):
+    base = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    url = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("https://boards.greenhouse.io/embed/job_board?for="), base)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("https://jobs.eu.lever.co/"), base, F.lit("/apply"))).otherwise(F.concat(F.lit("https://"), base, F.lit(".teamtailor.com/jobs")))
+    return S.read(spark, d, "customer").select("c_custkey", T.board_from_url(url).alias("b")).select("c_custkey", "b.vendor", "b.slug")
+
+
+@query("SELECT page_id, substr(sha256(lower(trim(url))), 1, 16) AS h FROM pages")
+def t15_url_hash(spark, d):
+    return S.read(spark, d, "pages").select("page_id", T.url_hash(F.concat(F.lit(" \t"), "url", F.lit("\n"))).alias("h"))
+
+
+@query("SELECT job_url, md5(string_agg(ord || '|' || CAST(coalesce(quote_verified, false) AS INT) || '|' || label, chr(10) ORDER BY ord)) AS h FROM (" + S.CRITERIA_SQL + ") GROUP BY job_url")
+def t16_block_signature(spark, d):
+    rows = S.criteria(spark, d).groupBy("job_url").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("index"), F.coalesce("quote_verified", F.lit(False)).alias("matched"), F.col("label").alias("sentence")))).alias("b"))
+    return rows.select("job_url", T.block_signature(F.col("b")).alias("h"))
+
+
+@query("SELECT item_id, substr(md5(text), 1, 12) AS version FROM benchmark")
+def t17_rubric_version(spark, d):
+    return S.read(spark, d, "benchmark").select("item_id", T.rubric_version("text").alias("version"))
+
+
+@query("SELECT lang, count(*) AS n, lang AS codes FROM documents GROUP BY lang")
+def t18_language_codes(spark, d):
+    names = F.create_map(*[F.lit(x) for p in (("en", "English"), ("fr", "FR-ca"), ("de", "german "), ("es", "es")) for x in p])
+    return S.read(spark, d, D).groupBy("lang").agg(F.count("*").alias("n")).select("lang", "n", F.array_join(T.language_codes(F.array(names[F.col("lang")], F.lit("Klingon"))), ",").alias("codes"))
+
+
+@query()
+def t19_languages(spark, d):
+    return S.read(spark, d, D).select("doc_id", "lang", V.detect_language()("text").alias("detected"))
+
+
+@query("SELECT event_id, replace(replace(strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00'), ':', '-'), '+', '-') AS stamp FROM events")
+def t20_run_stamp(spark, d):
+    return S.read(spark, d, "events").select("event_id", T.run_stamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))).alias("stamp"))
+
+
+@query("SELECT o_orderkey, 'ats:lever/c' || o_custkey AS source, 'lever' AS vendor, 'c' || o_custkey AS slug FROM orders")
+def t21_board_source(spark, d):
+    df = S.read(spark, d, "orders").select("o_orderkey", T.source_of(F.lit("lever"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("source"))
+    return df.select("*", T.board_of_source("source").alias("b")).select("o_orderkey", "source", "b.vendor", "b.slug")
+
+
+@query(f"SELECT o_orderkey, o_orderdate < TIMESTAMP '{S.NOW}' - INTERVAL 60 DAY AS old FROM orders")
+def t22_age(spark, d):
+    return S.read(spark, d, "orders").select("o_orderkey", T.older_than(F.col("o_orderdate"), S.NOW, 60).alias("old"))
+
+
+# -- Stage 0
+
+
+@query("SELECT (t.n_nationkey * 5 + r.r_regionkey + 1)::INT AS search_n, t.n_name AS term, r.r_name AS place FROM nation t, region r")
+def j1_search_plan(spark, d):
+    terms = S.read(spark, d, "nation").select(F.col("n_nationkey").alias("term_n"), F.col("n_name").alias("term"))
+    places = S.read(spark, d, "region").select(F.col("r_regionkey").alias("place_n"), F.col("r_name").alias("place"))
+    return stage0.search_plan(terms, places).select("search_n", "term", "place")
+
+
+@query("WITH p AS (" + S.POSTINGS_SQL + "), k AS (SELECT job_url, min(ord) AS f, array_to_string(list_distinct(list(term ORDER BY ord)), '|') AS t, list(term ORDER BY ord) AS l FROM p GROUP BY job_url) SELECT p.ord, p.job_url, p.title, p.search_n, CASE WHEN len(l) > 1 AND l[1] <> l[2] THEN l[1] || '|' || l[2] ELSE l[1] END AS search_terms FROM p JOIN k ON p.ord = k.f")
+def x1_merged_searches(spark, d):
+    return stage0.merged_searches(S.postings(spark, d)).select("ord", "job_url", "title", "search_n", F.array_join("search_terms", "|").alias("search_terms"))
+
+
+@query("WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY search_n, job_url ORDER BY page, ord) AS k FROM (" + S.POSTINGS_SQL + ")) WHERE k = 1), g AS (SELECT search_n, page, count(*) AS n, max(CASE WHEN title LIKE 'The%' THEN 1 ELSE 0 END) AS hit FROM p GROUP BY ALL), w AS (SELECT *, page - row_number() OVER s - min(page) OVER (PARTITION BY search_n) + 1 AS gap, max(CASE WHEN hit = 1 THEN page END) OVER (s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last, coalesce(sum(n) OVER (s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS total, min(page) OVER (PARTITION BY search_n) AS low FROM g WINDOW s AS (PARTITION BY search_n ORDER BY page)), r AS (SELECT search_n, page, min(CASE WHEN gap = 0 AND page - coalesce(last, low - 1) <= 3 AND total < 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY search_n ORDER BY page) AS ok FROM w) SELECT p.ord, p.search_n, p.page FROM p JOIN r USING (search_n, page) WHERE ok = 1")
+def f11_pages_read(spark, d):
+    rows = S.postings(spark, d).withColumn("pos", F.col("ord"))
+    return stage0.pages_read(rows, F.col("title").startswith("The"), streak=3).select("ord", "search_n", "page")
+
+
+@query("SELECT doc_id, contains(lower(text), 'password=') OR contains(lower(text), 'unsubscribe') AS excluded FROM documents")
+def f4_excluded(spark, d):
+    return S.read(spark, d, D).select("doc_id", T.excluded(F.lit(""), "text", EXCLUDE).alias("excluded"))
+
+
+def _filtered(spark, d) -> DataFrame:
+    return stage0.waterfall(S.postings(spark, d), READS, TIER1, EXCLUDE, REMOTE, terms=["The", "Le", "Der", "El"], language_column="location")
+
+
+@query()
+def f7_a1_waterfall_counts(spark, d):
+    """Rules 1 to 5 with the counts of what each drops (F1 to F7, J2, J3, A1)."""
+    return stage0.drop_counts(_filtered(spark, d))
+
+
+@query()
+def f1_f3_f6_blocks(spark, d):
+    df = _filtered(spark, d)
+    return df.select("ord", "drop_reason", "content_hash", F.size("t1_blocks").alias("t1"), F.size("remote_blocks").alias("remote"), F.array_join("title_hits", ",").alias("title_hits"))
+
+
+@query()
+def f5_f8_language_requirements(spark, d):
+    return stage0.requirement_evidence(_filtered(spark, d))
+
+
+@query("SELECT p_name AS keyword, CASE WHEN p_size < 20 THEN 'en' WHEN p_size < 40 THEN 'fr' END AS language FROM part WHERE p_size < 20 OR p_size >= 40")
+def f9_active_keywords(spark, d):
+    words = S.read(spark, d, "part").select(F.col("p_name").alias("keyword"), F.expr("case when p_size < 20 then 'en' when p_size < 40 then 'fr' end").alias("language"))
+    return stage0.active_keywords(words, ["en", "de"])
+
+
+@query("SELECT DISTINCT lang AS code FROM documents WHERE lang NOT IN ('en', 'fr')")
+def f10_uncovered_languages(spark, d):
+    words = S.read(spark, d, "part").select(F.expr("case when p_size < 20 then 'fr' end").alias("language"))
+    return stage0.uncovered_languages(S.read(spark, d, D).select(F.col("lang").alias("code")), words, "en")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'remote,stage2' ELSE 'stage1,stage2' END AS stages FROM orders")
+def f12_stage_plan(spark, d):
+    chosen = F.when(F.col("o_custkey") % 2 == 0, F.array(F.lit("stage2"), F.lit("remote"))).otherwise(F.array(F.lit("stage2"), F.lit("x"), F.lit("stage1")))
+    return S.read(spark, d, "orders").select("o_orderkey", F.array_join(stage0.stage_plan(chosen), ",").alias("stages"))
+
+
+@query("WITH c AS (SELECT p_brand AS rubric, p_type AS id, CASE WHEN p_size > 45 THEN '' ELSE p_name END AS label, CASE p_size % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'preference' ELSE 'other' END AS kind FROM part) SELECT rubric, 'duplicate id ' || id AS problem FROM c GROUP BY rubric, id HAVING count(*) > 1 UNION ALL SELECT rubric, 'criterion needs id and label' FROM c WHERE trim(label) = '' UNION ALL SELECT rubric, id || ': unknown kind' FROM c WHERE kind = 'other' UNION ALL SELECT rubric, 'no pass criteria' FROM c GROUP BY rubric HAVING NOT bool_or(kind = 'pass')")
+def f13_rubric_problems(spark, d):
+    rows = S.read(spark, d, "part").selectExpr("p_brand as rubric", "p_type as id", "case when p_size > 45 then '' else p_name end as label", "case p_size % 4 when 0 then 'pass' when 1 then 'fail' when 2 then 'preference' else 'other' end as kind", "p_partkey as ord")
+    return stage0.rubric_problems(rows)
+
+
+@query("SELECT search_n, title, n, row_number() OVER (PARTITION BY search_n ORDER BY n DESC, title) AS place FROM (SELECT search_n, title, count(*) AS n FROM (" + S.POSTINGS_SQL + ") WHERE NOT title LIKE 'The%' GROUP BY ALL)")
+def a2_titles_left_out(spark, d):
+    return stage0.titles_left_out(S.postings(spark, d), F.col("title").startswith("The"))
+
+
+@query("SELECT search_n, count(*) AS read, count(DISTINCT job_url) AS kept, count(*) FILTER (ord % 4 = 0) AS from_ats FROM (" + S.POSTINGS_SQL + ") GROUP BY search_n")
+def a3_search_totals(spark, d):
+    rows = S.postings(spark, d).withColumn("source", F.when(F.col("ord") % 4 == 0, "ats:lever/x").otherwise("search"))
+    return stage0.search_totals(rows)
+
+
+@query()
+def a4_keyword_coverage(spark, d):
+    words = spark.createDataFrame([(k,) for k in REMOTE], "keyword string")
+    return stage0.keyword_coverage(_filtered(spark, d).select(F.flatten(F.transform("remote_blocks", lambda b: b["matched_keywords"])).alias("matched_keywords")), words)
+
+
+# -- reposts
+
+
+def _hashed(spark, d) -> DataFrame:
+    rows = S.postings(spark, d).withColumn("title", F.substring("title", 1, 4))
+    return rows.withColumn("content_hash", F.when(F.length("description") > 200, F.md5(F.substring("description", 1, 150))).otherwise(""))
+
+
+HASHED = "SELECT ord, substr(title, 1, 4) AS title, company, description, job_url, location, CASE WHEN length(description) > 200 THEN md5(substr(description, 1, 150)) ELSE '' END AS content_hash FROM (" + S.POSTINGS_SQL + ")"
+
+
+@query("SELECT m AS a, ord AS b FROM (SELECT ord, min(ord) OVER (PARTITION BY content_hash) AS m FROM (" + HASHED + ") WHERE content_hash <> '') WHERE m <> ord")
+def x2_hash_edges(spark, d):
+    return linkage.hash_edges(_hashed(spark, d))
+
+
+@query()
+def x3_word_edges(spark, d):
+    return linkage.word_edges(_hashed(spark, d))
+
+
+@query()
+def x4_representatives(spark, d):
+    df = linkage.representatives(_hashed(spark, d))
+    return df.select("ord", "job_url", F.array_join("duplicate_job_urls", "|").alias("duplicate_job_urls"), F.array_join("duplicate_locations", "|").alias("duplicate_locations"), "merged")
+
+
+@query("SELECT ord, title, company, reasoning, repost_count FROM (SELECT *, count(*) OVER (PARTITION BY title, company, reasoning) AS repost_count, row_number() OVER (PARTITION BY title, company, reasoning ORDER BY ord) AS k FROM (" + S.LEDGER_SQL + ")) WHERE k = 1")
+def x5_x6_collapsed(spark, d):
+    return linkage.collapsed(S.ledger(spark, d), "title", "company", "reasoning").select("ord", "title", "company", "reasoning", "repost_count")
+
+
+# -- boards
+
+
+@query("SELECT s_suppkey, 'supplier ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS company_key, CASE WHEN s_suppkey % 2 = 0 THEN 'lever' WHEN s_suppkey % 3 = 0 THEN 'ashby' END AS vendor FROM supplier".replace("'supplier ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0')", NORM.format("s_name")))
+def j5_board_of(spark, d):
+    rows = S.read(spark, d, "supplier")
+    key = T.company_key("s_name").alias("company_key")
+    shared = rows.where("s_suppkey % 2 = 0").select(key, F.lit("lever").alias("vendor"), F.lit("x").alias("slug"))
+    local = rows.where("s_suppkey % 3 = 0").select(key, F.lit("ashby").alias("vendor"), F.lit("y").alias("slug"))
+    return boards.board_of(rows.select("s_suppkey", F.col("s_name").alias("company")), shared, local).select("s_suppkey", "company_key", "vendor")
+
+
+@query("WITH b AS (SELECT *, " + NORM.format("regexp_replace(title, ' \\(m/w/d\\)', '')") + " AS norm_title FROM (" + S.BOARD_SQL + ")) SELECT slug, norm_title, min_by(title, ord) AS title FROM b GROUP BY slug, norm_title HAVING count(DISTINCT trim(coalesce(nullif(description, ''), ref, ''))) = 1")
+def j6_same_title(spark, d):
+    return boards.by_title(S.board_postings(spark, d)).select("slug", "norm_title", "post.title")
+
+
+@query("WITH b AS (SELECT *, " + NORM.format("regexp_replace(title, ' \\(m/w/d\\)', '')") + " AS t FROM (" + S.BOARD_SQL + ")), u AS (SELECT slug, t, min_by(description, ord) AS text FROM b GROUP BY slug, t HAVING count(DISTINCT trim(coalesce(nullif(description, ''), ref, ''))) = 1) SELECT l_orderkey, l_linenumber, l_partkey, coalesce(u.text, 'old') AS description, CASE WHEN u.text IS NOT NULL THEN 'ats:lever/' || u.slug END AS source FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey LEFT JOIN u ON u.slug = 'b' || (p.p_partkey % 25) AND u.t = " + NORM.format("p_name"))
+def j7_enriched(spark, d):
+    part = S.read(spark, d, "part").selectExpr("p_partkey", "p_name as title", "'lever' as vendor", "concat('b', cast(p_partkey % 25 as string)) as slug")
+    rows = S.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("description", F.lit("old"))
+    return boards.enriched(rows, spark.createDataFrame([], "x int"), S.board_postings(spark, d)).select("l_orderkey", "l_linenumber", "l_partkey", "description", "source")
+
+
+@query("SELECT " + NORM.format("c_name") + " AS company_key, min_by(c_name, c_custkey) AS company FROM customer WHERE NOT c_custkey % 2 = 0 AND (c_custkey % 3 <> 0 OR c_custkey % 9 = 0) GROUP BY 1")
+def j8_to_look_up(spark, d):
+    rows = S.read(spark, d, "customer")
+    key = T.company_key("c_name").alias("company_key")
+    shared = rows.where("c_custkey % 2 = 0").select(key)
+    local = rows.where("c_custkey % 3 = 0").select(key, F.expr("cast(null as string)").alias("vendor"), F.expr("case when c_custkey % 9 = 0 then timestamp '1999-01-01' else timestamp '1999-05-30' end").alias("checked_at"))
+    return boards.to_look_up(rows.select(F.col("c_name").alias("company"), F.col("c_custkey").alias("ord")), shared, local, S.NOW)
+
+
+@query("WITH s AS (SELECT s_suppkey, " + NORM.format("s_name") + " AS company_key, regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g') AS b FROM supplier) SELECT company_key, CASE WHEN s_suppkey % 4 = 0 THEN 'ashby' WHEN s_suppkey % 4 = 1 THEN 'lever' END AS vendor, CASE WHEN s_suppkey % 4 = 0 THEN b WHEN s_suppkey % 4 = 1 THEN replace(b, '-', '') END AS slug FROM s")
+def j9_probed(spark, d):
+    rows = S.read(spark, d, "supplier").select(T.company_key("s_name").alias("company_key"), F.col("s_name").alias("company"), "s_suppkey")
+    base = F.get(T.slugs("company"), F.lit(0))
+    filled = rows.where("s_suppkey % 4 = 0").select(F.lit("ashby").alias("vendor"), base.alias("slug")).unionByName(rows.where("s_suppkey % 4 <= 1").select(F.lit("lever").alias("vendor"), F.replace(base, F.lit("-"), F.lit("")).alias("slug")))
+    return boards.probed(rows, filled)
+
+
+WATCH = "SELECT o_orderkey, 'https://jobs.example.com/view/' || o_orderkey AS job_url, CASE WHEN o_custkey % 5 = 0 THEN 'ats:lever/none' ELSE 'ats:lever/b' || (o_custkey % 25) END AS source, o_orderdate AS read_at, p_name AS title, CASE WHEN o_custkey % 5 <> 0 THEN p_partkey % 25 = o_custkey % 25 OR EXISTS (SELECT 1 FROM part q WHERE q.p_name = part.p_name AND q.p_partkey % 25 = o_custkey % 25) END AS open FROM orders JOIN part ON p_partkey = o_custkey % 200"
+
+
+def _watched(spark, d) -> DataFrame:
+    part = S.read(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"))
+    rows = S.read(spark, d, "orders").selectExpr("o_orderkey", "concat('https://jobs.example.com/view/', cast(o_orderkey as string)) as job_url", "case when o_custkey % 5 = 0 then 'ats:lever/none' else concat('ats:lever/b', cast(o_custkey % 25 as string)) end as source", "cast(o_orderdate as timestamp) as read_at", "o_custkey % 200 as k")
+    return boards.still_open(rows.join(part, F.col("k") == F.col("p_partkey")).drop("k", "p_partkey"), S.board_postings(spark, d))
+
+
+@query("SELECT o_orderkey, source, title, open FROM (" + WATCH + ")")
+def j10_still_open(spark, d):
+    return _watched(spark, d).select("o_orderkey", "source", "title", "open")
+
+
+@query("SELECT w.o_orderkey, CASE WHEN l.status IN ('passed', 'review') AND l.user_action IS NOT NULL THEN 'drop' WHEN l.status IN ('passed', 'review') AND NOT w.open THEN 'close' WHEN l.status NOT IN ('passed', 'review') AND w.read_at < TIMESTAMP '" + S.NOW + "' - INTERVAL 30 DAY THEN 'forget' ELSE 'keep' END AS action FROM (" + WATCH + ") w JOIN (" + S.LEDGER_SQL + ") l USING (job_url)")
+def j11_closing(spark, d):
+    return boards.closing(_watched(spark, d), S.ledger(spark, d), S.NOW).select("o_orderkey", "action")
+
+
+@query("SELECT company_key, (row_number() OVER (ORDER BY company_key) - 1) // 500 AS batch_n FROM (SELECT " + NORM.format("c_name") + " AS company_key, c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0)")
+def j15_to_share(spark, d):
+    rows = S.read(spark, d, "customer").select(T.company_key("c_name").alias("company_key"), (F.col("c_custkey") % 2 == 0).alias("confirmed"), F.lit("lever").alias("vendor"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("slug"), "c_custkey")
+    return boards.to_share(rows, rows.where("c_custkey % 5 = 0"), rows.where("c_custkey % 7 = 0")).select("company_key", "batch_n")
+
+
+OFFERED = "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE " + NORM.format("s_name") + " END AS company_key, CASE WHEN s_suppkey % 7 = 0 THEN 'unknown' ELSE 'lever' END AS vendor, 'b' || (s_suppkey % 40) AS slug FROM supplier"
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'key is not the company''s' WHEN s_suppkey % 7 = 0 THEN 'unknown vendor or name' WHEN NOT EXISTS (SELECT 1 FROM part WHERE 'b' || (p_partkey % 25) = o.slug) THEN 'lists no postings' END AS reason FROM (" + OFFERED + ") o")
+def j16_contributions(spark, d):
+    rows = S.read(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, "other").otherwise(T.company_key("s_name")).alias("company_key"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 7 == 0, "unknown").otherwise("lever").alias("vendor"), F.concat(F.lit("b"), (F.col("s_suppkey") % 40).cast("string")).alias("slug"))
+    return boards.contributions(rows, S.board_postings(spark, d)).select("s_suppkey", "reason")
+
+
+@query("SELECT " + NORM.format("c_name") + " AS company_key, c_name AS name, 'lever' AS vendor, 'c' || c_custkey AS slug FROM customer WHERE c_custkey % 3 <> 0")
+def j17_candidates(spark, d):
+    n = F.col("c_custkey").cast("string")
+    rows = S.read(spark, d, "customer").select(F.lit(1).alias("source_n"), F.col("c_name").alias("name"), F.array(F.lit("https://example.com/careers"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("https://jobs.lever.co/c"), n)), F.concat(F.lit("https://jobs.lever.co/api"), F.lit("/"))).alias("urls"))
+    return boards.candidates(rows)
+
+
+# -- judging
+
+
+@query("WITH c AS (" + S.CRITERIA_SQL + "), g AS (SELECT job_url, coalesce(grp, chr(1) || id) AS g, bool_and(result = 'met') AS met, bool_and(result <> 'not_met') AS open FROM c WHERE kind = 'pass' GROUP BY 1, 2), p AS (SELECT job_url, bool_or(met) AS met, bool_or(open) AS open FROM g GROUP BY 1), f AS (SELECT job_url, bool_or(result = 'triggered') AS hit, bool_or(result = 'unclear') AS unclear FROM c WHERE kind = 'fail' GROUP BY 1), j AS (SELECT DISTINCT job_url FROM c) SELECT job_url, CASE WHEN coalesce(hit, false) OR NOT coalesce(open, false) THEN 'fail' WHEN met AND NOT coalesce(unclear, false) THEN 'pass' ELSE 'review' END AS verdict FROM j LEFT JOIN p USING (job_url) LEFT JOIN f USING (job_url)")
+def a6_verdicts(spark, d):
+    return judging.verdicts(S.criteria(spark, d))
+
+
+@query("WITH c AS (" + S.CRITERIA_SQL + ") SELECT job_url, coalesce(string_agg(CASE WHEN (kind = 'fail' AND result IN ('triggered', 'unclear')) OR (kind = 'pass' AND result IN ('met', 'unclear')) THEN label || ': ' || replace(result, '_', ' ') || CASE WHEN why <> '' THEN ' — ' || why ELSE '' END END, ' | ' ORDER BY ord), '') AS deciding FROM c GROUP BY job_url")
+def n3_reasoning(spark, d):
+    done = judging.stage2_results(S.criteria(spark, d))
+    return done.select("job_url", F.regexp_replace("reasoning", "( \\| )?No pass criterion can be met\\.$", "").alias("deciding"))
+
+
+def _answers(spark, d) -> DataFrame:
+    """Stage-2 answers that quote their posting: results c1 to c3 with quotes from the text, one of them invented."""
+    docs = S.postings(spark, d).select("ord", "job_url", "title", "company", "location", "description")
+    docs = docs.withColumn("job_url", F.concat(F.lit(S.URL), F.col("ord").cast("string")))
+    one = lambda i, result, quote, why: F.struct(F.lit(i).alias("id"), F.lit(result).alias("result"), quote.alias("quote"), F.lit(why).alias("why"))
+    none = F.lit(None).cast("string")
+    return docs.withColumn("results", F.array(one("c1", "met", F.substring("description", 1, 12), "said"), one("c2", "Not Applicable", none, ""), one("c3", "met", F.lit("qqq zzz invented"), ""), one("c1", "not_met", none, "later"), one("c9", "met", none, "")))
+
+
+def _rubric(spark) -> DataFrame:
+    return spark.createDataFrame([(0, "c1", "pass", "first", None), (1, "c2", "fail", "second", None), (2, "c3", "pass", "third", None), (3, "c4", "preference", "fourth", None)], "ord int, id string, kind string, label string, grp string")
+
+
+@query("SELECT 'https://jobs.example.com/view/' || doc_id AS job_url, id, result, downgraded_from, why FROM documents, (VALUES ('c1', 'met', NULL, 'said'), ('c2', 'not_applicable', NULL, ''), ('c3', 'unclear', 'met', ''), ('c4', 'unclear', NULL, 'Not judged.')) r(id, result, downgraded_from, why) WHERE length(trim(translate(substr(text, 1, 12), '*_`#>|~\\' || chr(10), '         '))) > 0")
+def n1_n2_j12_merged_criteria(spark, d):
+    rows = _answers(spark, d).where(F.length(F.trim(F.translate(F.substring("description", 1, 12), "*_`#>|~\\\n", "         "))) > 0)
+    posts = rows.select("job_url", "title", "company", "location", "description")
+    return judging.merged_criteria(judging.checked_text(rows.select("job_url", "results"), posts), _rubric(spark)).select("job_url", "id", "result", "downgraded_from", "why")
+
+
+@query("SELECT doc_id, 'A maker of things' AS company_line, 1 AS employer, 'preferred' AS kind, 3 AS notes FROM documents WHERE length(trim(translate(substr(text, 1, 12), '*_`#>|~\\' || chr(10), '         '))) > 0")
+def n4_extras(spark, d):
+    raw = F.to_json(F.struct(F.lit(" A  maker\n of things ").alias("company_line"), F.array(F.struct(F.lit("odd").alias("kind"), F.lit("asks").alias("label"), F.substring("text", 1, 12).alias("quote")), F.struct(F.lit("must").alias("kind"), F.lit("x").alias("label"), F.lit("qqq zzz invented").alias("quote"))).alias("employer_requirements"), F.array(*[F.struct(F.lit(f"note {i}").alias("text"), F.lit(None if i else "qqq zzz invented").cast("string").alias("quote")) for i in range(6)]).alias("notes")))
+    rows = S.read(spark, d, D).where(F.length(F.trim(F.translate(F.substring("text", 1, 12), "*_`#>|~\\\n", "         "))) > 0)
+    rows = rows.withColumn("a", judging.parsed(F.concat(F.lit("```json\n"), raw, F.lit("\n```")), judging.STAGE2)).withColumn("e", judging.extras(F.col("a"), F.col("text")))
+    return rows.select("doc_id", "e.company_line", F.size("e.employer").alias("employer"), F.get("e.employer.kind", F.lit(0)).alias("kind"), F.size("e.notes").alias("notes"))
+
+
+def _remote(spark, d) -> tuple[DataFrame, DataFrame]:
+    options = spark.createDataFrame([(0, "level", "Level", "remote", "Fully remote", "pass"), (0, "level", "Level", "office", "On-site", "fail"), (1, "zone", "Zone", "any", "Any hours", "pass")], "cat_n int, category string, label string, option string, option_label string, rule string")
+    rows = S.read(spark, d, "events").selectExpr("event_id", f"concat('{S.URL}', cast(event_id as string)) as job_url", "array('S1', 'S2') as shown", "event_id % 10 = 9 as auto", """case when event_id % 10 < 8 then named_struct('verdict', case when event_id % 3 = 0 then 'fail' else 'pass' end, 'reason', event_type, 'evidence_sids', case when event_id % 4 = 0 then array('S9') else array('S1', 'S9') end,
+      'answers', array(named_struct('id', 'level', 'answer', case event_id % 5 when 0 then 'office' when 1 then 'moon' else 'remote' end, 'detail', '', 'evidence_sids', array('S2')))) end as answer""")
+    return rows, options
+
+
+REMOTE_SQL = "SELECT 'https://jobs.example.com/view/' || event_id AS job_url, event_id, event_id % 10 = 9 AS auto, event_id % 10 >= 8 AS none, event_id % 3 = 0 AS says_fail, event_id % 4 = 0 AS unshown, event_id % 5 AS a, event_type FROM events"
+
+
+@query("SELECT job_url, 'level: ''moon'' is not one of the listed answers' AS problem FROM (" + REMOTE_SQL + ") WHERE NOT none AND a = 1")
+def n5_remote_problems(spark, d):
+    rows, options = _remote(spark, d)
+    return judging.remote_problems(rows.where("answer is not null"), options)
+
+
+@query("SELECT job_url, CASE WHEN none THEN 'code' WHEN a = 0 THEN 'rule' ELSE 'model' END AS decided_by, CASE WHEN NOT none AND a <> 0 AND NOT says_fail AND NOT unshown THEN 'pass' ELSE 'fail' END AS verdict, CASE WHEN none THEN '" + judging.NO_KEYWORD + "' WHEN a = 0 THEN 'Level: On-site' WHEN NOT says_fail AND unshown THEN '" + judging.NO_EVIDENCE + "' ELSE event_type END AS reason FROM (" + REMOTE_SQL + ")")
+def n6_remote_judgment(spark, d):
+    rows, options = _remote(spark, d)
+    return judging.remote_judgment(rows.select("job_url", "answer", "shown"), options).select("job_url", "decided_by", "verdict", "reason")
+
+
+@query("SELECT job_url, CASE WHEN NOT auto AND (none OR a = 1) THEN 'pending' WHEN NOT none AND a <> 0 AND NOT says_fail AND NOT unshown THEN 'passed' ELSE 'failed' END AS outcome FROM (" + REMOTE_SQL + ")")
+def n9_remote_outcomes(spark, d):
+    rows, options = _remote(spark, d)
+    return judging.remote_outcomes(rows, options).select("job_url", "outcome")
+
+
+def _stage1(spark, d) -> DataFrame:
+    return S.read(spark, d, "events").selectExpr("event_id as job_url", "event_id % 11 = 0 as no_keyword", "array(named_struct('s_id', 'S1', 'sentence', event_type, 'matched', true, 'matched_keywords', array(event_type, 'k')), named_struct('s_id', 'S2', 'sentence', props, 'matched', false, 'matched_keywords', array('z'))) as blocks", "case when event_id % 7 <> 0 then named_struct('verdict', case when event_id % 2 = 0 then 'pass' else 'fail' end, 'reason', '', 'evidence_sids', case event_id % 3 when 0 then array('S1') when 1 then array('S8') else array('S2', 'S8') end, 'readings', map('S1', 'read')) end as answer")
+
+
+@query("SELECT event_id AS job_url, CASE WHEN event_id % 3 > 0 THEN 'cites sentences that were not shown: S8' END AS cites, CASE WHEN event_id % 2 = 0 AND event_id % 3 = 1 THEN 1 ELSE 0 END AS bare, 0 AS unread FROM events WHERE event_id % 7 <> 0")
+def n7_stage1_problems(spark, d):
+    rows = _stage1(spark, d).where("answer is not null")
+    ids, hit = F.transform("blocks", lambda b: b["s_id"]), F.array(F.lit("S1"))
+    p = judging.stage1_problems(ids, hit, F.col("answer"))
+    return rows.select("job_url", F.get(F.filter(p, lambda x: x.startswith("cites")), F.lit(0)).alias("cites"), F.size(F.filter(p, lambda x: x.startswith("pass"))).alias("bare"), F.size(judging.unread_sentences(hit, F.col("answer"))).alias("unread"))
+
+
+@query("SELECT event_id AS job_url, CASE WHEN event_id % 11 = 0 THEN 'fail' WHEN event_id % 7 = 0 THEN 'pending' WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 1 THEN 'pending' ELSE 'pass' END ELSE 'fail' END AS outcome, CASE WHEN event_id % 7 = 0 OR event_id % 3 = 1 THEN '' WHEN event_id % 3 = 0 THEN event_type ELSE props END AS evidence FROM events")
+def n8_stage1_outcomes(spark, d):
+    return judging.stage1_outcomes(_stage1(spark, d)).select("job_url", "outcome", F.array_join("evidence", "|").alias("evidence"))
+
+
+@query("SELECT event_id AS job_url, event_type || ',k' AS keywords, event_type AS sentences FROM events")
+def n10_matched(spark, d):
+    return _stage1(spark, d).select("job_url", F.array_join(judging.matched_keywords(F.col("blocks")), ",").alias("keywords"), F.array_join(judging.matched_sentences(F.col("blocks")), "|").alias("sentences"))
+
+
+@query("SELECT c_custkey, c_mktsegment || ' / A / B' AS location FROM customer")
+def n11_shown_location(spark, d):
+    return S.read(spark, d, "customer").select("c_custkey", judging.shown_location(F.col("c_mktsegment"), F.array(F.lit("A"), F.lit("B"))).alias("location"))
+
+
+@query("SELECT item_id, trim('## Pass' || chr(10) || replace(text, chr(10), ' ')) || chr(10) || '## Fail' || chr(10) || 'x' AS excerpt FROM benchmark")
+def n12_rubric_excerpt(spark, d):
+    body = F.replace("text", F.lit("\n"), F.lit(" "))
+    rubric = F.concat(F.lit("# Rubric\nintro\n## Pass\n"), body, F.lit("\n## Fail\nx\n## Notes\ny"))
+    return S.read(spark, d, "benchmark").select("item_id", judging.rubric_excerpt(rubric).alias("excerpt"))
+
+
+@query("SELECT event_id AS job_url, md5('Job ' || event_type || ' at ACME' || chr(10) || 'S1[T1] ' || event_type || chr(10) || 'S2[ctx] ' || props) AS prompt FROM events")
+def p1_p2_prompts(spark, d):
+    rows = _stage1(spark, d).withColumn("event", F.get("blocks.sentence", F.lit(0)))
+    return rows.select("job_url", F.md5(judging.rendered("Job {title} at {company}\n{blocks}", {"title": F.col("event"), "company": F.lit("ACME"), "blocks": judging.sentence_lines(F.col("blocks"), ("T1", "ctx"))})).alias("prompt"))
+
+
+@query("SELECT ord, CASE WHEN trim(description) <> '' THEN md5('- a (pass) First: More of it' || chr(10) || '- b (fail) Second' || chr(10) || title || ': ' || description) END AS prompt FROM (" + S.POSTINGS_SQL + ")")
+def p3_stage2_prompts(spark, d):
+    rubric = [{"id": "a", "kind": "pass", "label": "First", "text": "More  of it"}, {"id": "b", "kind": "fail", "label": "Second", "text": "second."}]
+    return judging.stage2_prompts(S.postings(spark, d), "{criteria_list}\n{title}: {description}", rubric).select("ord", F.md5("prompt").alias("prompt"))
+
+
+@query("SELECT run_id, stage, row_number() OVER (PARTITION BY run_id, stage ORDER BY event_id % 2 = 1, event_id) - 1 AS n, event_id FROM (" + S.OUTCOMES_SQL + ")")
+def w6_manifest(spark, d):
+    rows = S.outcomes(spark, d).withColumn("no_keyword", F.col("event_id") % 2 == 1).withColumn("ord", F.col("event_id"))
+    return judging.manifest(rows).select("run_id", "stage", "n", "event_id")
+
+
+@query("SELECT run_id, stage, event_id AS n FROM (" + S.OUTCOMES_SQL + ") WHERE event_type IN ('error', 'view')")
+def j13_pending(spark, d):
+    rows = S.outcomes(spark, d).withColumn("n", F.col("event_id"))
+    answers = rows.withColumn("parsed", F.when(~F.col("event_type").isin("error", "view"), F.col("props")))
+    return judging.pending(rows.select("run_id", "stage", "n"), answers)
+
+
+@query("WITH o AS (" + S.OUTCOMES_SQL + "), r AS (SELECT run_id, CASE WHEN CAST(substr(run_id, 5) AS INT) % 2 = 0 THEN 'stage1' END AS last FROM o GROUP BY 1) SELECT o.run_id, o.event_id, r.last IS NULL OR o.stage = 'stage1' AS settled FROM o JOIN r USING (run_id) WHERE r.last IS NULL OR o.stage <> 'stage1' OR o.outcome = 'pass'")
+def j14_feeding(spark, d):
+    rows = S.outcomes(spark, d)
+    runs = rows.select("run_id").distinct().withColumn("stages", F.when(F.substring("run_id", 5, 9).cast("int") % 2 == 0, F.array(F.lit("stage1"), F.lit("stage2"))).otherwise(F.array(F.lit("stage2"))))
+    return judging.feeding(rows.select("run_id", "job_url", "event_id"), rows.select("run_id", "stage", "job_url", "outcome"), runs, "stage2").select("run_id", "event_id", "settled")
+
+
+@query("SELECT job_url, run_id, CASE event_id % 5 WHEN 0 THEN 'remote_fail' WHEN 1 THEN 'stage1_fail' WHEN 2 THEN 'stage1_pass' WHEN 3 THEN 'review' ELSE 'stage2_fail' END AS status, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END AS stage_reached FROM (" + S.OUTCOMES_SQL + ")")
+def u1_assembled(spark, d):
+    rows = S.outcomes(spark, d).withColumn("reasoning", F.col("event_type"))
+    part = lambda k, status="": rows.where(f"event_id % 5 = {k}").withColumn("status", F.lit(status))
+    return judging.assembled(part(0), part(1), part(2, "stage1_pass"), part(3, "review"), part(4)).select("job_url", "run_id", "status", "stage_reached")
+
+
+# -- ledger
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id - doc_id % 2 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+def j4_unseen(spark, d):
+    return ledger.unseen(S.postings(spark, d), S.ledger(spark, d).where("ord % 3 = 0")).select(F.col("ord").alias("doc_id"))
+
+
+@query("WITH l AS (" + S.LEDGER_SQL + "), r AS (SELECT 2 * l_orderkey AS k, max_by(l_returnflag, l_partkey * 10 + l_linenumber) AS status, max_by(l_linestatus, l_partkey * 10 + l_linenumber) AS reasoning FROM lineitem GROUP BY 1), u AS (SELECT '" + S.URL + "' || k AS job_url, status, reasoning FROM r) SELECT coalesce(u.job_url, l.job_url) AS job_url, coalesce(u.status, l.status) AS status, coalesce(u.reasoning, l.reasoning) AS reasoning, l.source, l.user_action FROM l FULL JOIN u USING (job_url)")
+def l1_upserted(spark, d):
+    rows = S.read(spark, d, "lineitem").selectExpr(f"concat('{S.URL}', cast(2 * l_orderkey as string)) as job_url", f"array(concat('{S.URL}', cast(2 * l_orderkey as string))) as duplicate_job_urls", "'t' as title", "'c' as company", "l_returnflag as status", "2 as stage_reached", "l_linestatus as reasoning", "'run-x' as run_id", "cast(null as string) as source", "cast(l_shipdate as timestamp) as last_seen_at", "l_partkey * 10 + l_linenumber as ord")
+    return ledger.upserted(S.ledger(spark, d), rows).select("job_url", "status", "reasoning", "source", "user_action")
+
+
+DECISIONS = "SELECT '" + S.URL + "' || (event_id % 500) AS job_url, ts, CASE event_type WHEN 'click' THEN 'applied' WHEN 'view' THEN 'skipped_fit' WHEN 'error' THEN 'bogus' END AS action, CASE WHEN event_type = 'view' THEN props END AS reason FROM events"
+
+
+def _decisions(spark, d) -> DataFrame:
+    return S.read(spark, d, "events").selectExpr(f"concat('{S.URL}', cast(event_id % 500 as string)) as job_url", "cast(ts as timestamp) as ts", "case event_type when 'click' then 'applied' when 'view' then 'skipped_fit' when 'error' then 'bogus' end as action", "case when event_type = 'view' then props end as reason")
+
+
+@query("WITH e AS (SELECT job_url, max_by(action, ts) FILTER (action IS NOT NULL) AS a, max_by(reason, ts) FILTER (reason IS NOT NULL) AS r FROM (" + DECISIONS + ") WHERE action IS NULL OR action <> 'bogus' GROUP BY 1) SELECT l.job_url, coalesce(a, l.user_action) AS user_action, coalesce(r, l.reason) AS reason, CASE WHEN e.job_url IS NULL THEN l.review_status END AS review_status FROM (" + S.LEDGER_SQL + ") l LEFT JOIN e USING (job_url)")
+def l2_decided(spark, d):
+    return ledger.decided(S.ledger(spark, d), _decisions(spark, d)).select("job_url", "user_action", "reason", "review_status")
+
+
+@query("SELECT job_url FROM (" + S.LEDGER_SQL + ") WHERE user_action = 'skipped_fit' AND coalesce(reason, '') <> '' AND review_status IS NULL")
+def l3_awaiting_review(spark, d):
+    return ledger.awaiting_review(S.ledger(spark, d)).select("job_url")
+
+
+@query("WITH m AS (SELECT job_url, max_by(CASE WHEN action = 'applied' THEN 'applied' ELSE 'declined' END, ts) AS m FROM (" + DECISIONS + ") WHERE action IN ('applied', 'skipped_fit') GROUP BY 1) SELECT l.job_url, coalesce(m, l.review_status) AS review_status FROM (" + S.LEDGER_SQL + ") l LEFT JOIN m USING (job_url)")
+def l4_reviewed(spark, d):
+    marks = _decisions(spark, d).withColumn("mark", F.expr("case action when 'applied' then 'applied' when 'skipped_fit' then 'declined' end"))
+    return ledger.reviewed(S.ledger(spark, d), marks).select("job_url", "review_status")
+
+
+VOTES = "SELECT '" + S.URL + "' || (event_id % 700) AS job_url, 'c' || (event_id % 3 + 1) AS criterion_id, CASE WHEN event_type = 'error' THEN 'withdraw' ELSE 'disagree' END AS vote, ' ' || props || ' ' AS comment, ts FROM events"
+
+
+def _feedback(spark, d) -> DataFrame:
+    rows = S.read(spark, d, "events").selectExpr(f"concat('{S.URL}', cast(event_id % 700 as string)) as job_url", "concat('c', cast(event_id % 3 + 1 as string)) as criterion_id", "case when event_type = 'error' then 'withdraw' else 'disagree' end as vote", "concat(' ', props, ' ') as comment", "cast(ts as timestamp) as ts")
+    return ledger.feedback(rows, S.ledger(spark, d))
+
+
+FEEDBACK = "SELECT job_url, criterion_id, trim(c) AS comment FROM (SELECT job_url, criterion_id, max_by(vote, ts) AS v, max_by(comment, ts) AS c FROM (" + VOTES + ") WHERE job_url IN (SELECT job_url FROM (" + S.LEDGER_SQL + ")) GROUP BY 1, 2) WHERE v = 'disagree'"
+
+
+@query(FEEDBACK)
+def l5_feedback(spark, d):
+    return _feedback(spark, d).select("job_url", "criterion_id", "comment")
+
+
+@query("SELECT job_url, count(*)::INT AS n FROM (" + FEEDBACK + ") GROUP BY job_url")
+def l5_feedback_maps(spark, d):
+    return ledger.feedback_maps(_feedback(spark, d)).select("job_url", F.size("feedback").alias("n"))
+
+
+@query("SELECT f.job_url, criterion_id, comment, result, label FROM (" + FEEDBACK + ") f LEFT JOIN (" + S.CRITERIA_SQL + ") c ON c.job_url = f.job_url AND c.id = f.criterion_id WHERE criterion_id <> 'c2'")
+def l6_l7_pending_feedback(spark, d):
+    rows = _feedback(spark, d)
+    return ledger.pending_feedback(rows, S.criteria(spark, d), rows.where("criterion_id = 'c2'")).select("job_url", "criterion_id", "comment", "result", "label")
+
+
+STALE = "last_seen_at < TIMESTAMP '" + S.NOW + "' - INTERVAL 60 DAY AND coalesce(user_action, '') <> 'applied'"
+
+
+@query("SELECT job_url, CASE WHEN NOT (" + STALE + ") THEN reasoning END AS reasoning, " + STALE + " AS gone FROM (" + S.LEDGER_SQL + ")")
+def l8_pruned(spark, d):
+    return ledger.pruned(S.ledger(spark, d), S.NOW).select("job_url", "reasoning", F.col("pruned_at").isNotNull().alias("gone"))
+
+
+@query("SELECT status, count(*) AS n, CAST(sum(2 * strlen(reasoning) + coalesce(strlen(criteria), 0)) AS BIGINT) AS bytes, min(last_seen_at) AS oldest, max(last_seen_at) AS newest FROM (" + S.LEDGER_SQL + ") WHERE " + STALE + " GROUP BY status")
+def a8_prune_preview(spark, d):
+    return ledger.prune_preview(S.ledger(spark, d), S.NOW)
+
+
+@query("SELECT job_url_hash, run_id FROM (" + S.LEDGER_SQL + ") WHERE run_id <> 'run-1997'")
+def l9_u2_without_run(spark, d):
+    return ledger.without_run(S.ledger(spark, d), "run-1997")[0].select("job_url_hash", "run_id")
+
+
+@query("SELECT job_url_hash, CASE WHEN run_id = 'run-1997' AND ord % 2 = 0 THEN 'again' ELSE run_id END AS run_id FROM (" + S.LEDGER_SQL + ")")
+def l10_restored(spark, d):
+    kept, trash = ledger.without_run(S.ledger(spark, d), "run-1997")
+    again = trash.where("ord % 2 = 0").withColumn("run_id", F.lit("again"))
+    return ledger.restored(kept.unionByName(again), trash).select("job_url_hash", "run_id")
+
+
+@query("SELECT run_id, max(last_seen_at) AS deleted_at, count(*) AS jobs FROM (" + S.LEDGER_SQL + ") GROUP BY run_id")
+def l11_trash(spark, d):
+    return ledger.trash_listing(S.ledger(spark, d).withColumn("deleted_at", F.col("last_seen_at")))
+
+
+@query("SELECT job_url, CASE WHEN ord % 2 = 0 THEN reason END AS reason FROM (" + S.LEDGER_SQL + ")")
+def l12_io10_evolved(spark, d):
+    rows = S.ledger(spark, d)
+    return ledger.evolved(rows.where("ord % 2 = 1").select("job_url"), rows.where("ord % 2 = 0").select("job_url", "reason"))
+
+
+@query("SELECT job_url, CASE WHEN ord % 4 = 0 THEN 'day-' || strftime(last_seen_at, '%Y-%m-%d') ELSE run_id END AS run_id FROM (" + S.LEDGER_SQL + ")")
+def l13_backfilled(spark, d):
+    rows = S.ledger(spark, d)
+    runs = rows.select(F.concat(F.lit("day-"), F.date_format("last_seen_at", "yyyy-MM-dd")).alias("run_id"), F.col("last_seen_at").alias("started_at")).distinct()
+    return ledger.backfilled(rows.withColumn("run_id", F.when(F.col("ord") % 4 != 0, F.col("run_id"))), runs).select("job_url", "run_id")
+
+
+@query("SELECT run_id, count(*) AS waiting, 'stage2' AS later FROM (" + S.OUTCOMES_SQL + ") WHERE outcome = 'pass' AND stage = 'stage1' GROUP BY run_id")
+def l14_continuable(spark, d):
+    rows = S.outcomes(spark, d)
+    waits = rows.where("stage = 'stage1' and outcome = 'pass'").withColumn("status", F.lit("stage1_pass"))
+    runs = rows.select("run_id").distinct().withColumn("stages", F.array(F.lit("remote"), F.lit("stage1")))
+    return ledger.continuable(waits, runs).select("run_id", "waiting", F.array_join("later", ",").alias("later"))
+
+
+@query("SELECT keyword, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'stage2_fail') AS stage2_fail FROM (SELECT status, unnest([reasoning, title]) AS keyword FROM (" + S.LEDGER_SQL + ")) GROUP BY keyword")
+def a5_keyword_effect(spark, d):
+    return ledger.keyword_effect(S.ledger(spark, d).withColumn("matched_keywords", F.array("reasoning", "title", "title")))
+
+
+@query("SELECT run_id, count(*) AS total, count(*) FILTER (status = 'passed') AS stage2_pass, count(*) FILTER (status = 'review') AS stage2_review, count(*) FILTER (status = 'stage2_fail') AS stage2_fail, count(*) AS stage1_pass, CASE WHEN run_id = 'run-1995' THEN 7 ELSE count(*) END AS stage0_passed FROM (" + S.LEDGER_SQL + ") GROUP BY run_id")
+def a7_a13_run_records(spark, d):
+    given = S.ledger(spark, d).where("run_id = 'run-1995'").select("run_id").distinct().withColumn("stage0_passed", F.lit(7).cast("long"))
+    return ledger.run_records(S.ledger(spark, d), given).select("run_id", "total", "stage2_pass", "stage2_review", "stage2_fail", "stage1_pass", "stage0_passed")
+
+
+@query("SELECT run_id, count(*) AS jobs, count(user_action) AS decisions, count(*) FILTER (user_action = 'applied') AS applied, count(*) FILTER (coalesce(reason, '') <> '') AS reasons, count(*) FILTER (user_action = 'skipped_fit' AND coalesce(reason, '') <> '' AND review_status IS NULL) AS not_reviewed FROM (" + S.LEDGER_SQL + ") GROUP BY run_id")
+def a9_run_previews(spark, d):
+    return ledger.run_previews(S.ledger(spark, d))
+
+
+@query("SELECT run_id, CASE WHEN run_id = 'run-3' THEN 999 ELSE nullif(CAST(sum(CASE WHEN event_type <> 'error' THEN event_id END) AS BIGINT), 0) END AS tokens FROM (" + S.OUTCOMES_SQL + ") GROUP BY run_id")
+def a10_tokens(spark, d):
+    rows = S.outcomes(spark, d)
+    given = rows.select("run_id").distinct().withColumn("given", F.when(F.col("run_id") == "run-3", 999).when(F.col("run_id") == "run-4", 0).cast("long"))
+    return ledger.tokens_per_run(rows.select("run_id", F.when(F.col("event_type") == "error", "n/a").otherwise(F.col("event_id").cast("string")).alias("tokens")), given)
+
+
+@query("SELECT user_id AS thread_id, max_by(event_id, event_id) FILTER (event_type <> 'error') AS tokens FROM events GROUP BY user_id")
+def a11_thread_tokens(spark, d):
+    rows = S.read(spark, d, "events").selectExpr("user_id as thread_id", "cast(event_id / 100 as int) as file", "event_id as line", "case when event_type = 'error' then 'x' else cast(event_id as string) end as total")
+    return ledger.tokens_per_thread(rows)
+
+
+@query("SELECT CASE WHEN count(*) FILTER (t IS NULL) = 0 THEN CAST(sum(t) AS BIGINT) END AS tokens FROM (SELECT max_by(event_id, event_id) FILTER (event_type <> 'error') AS t FROM events GROUP BY user_id)")
+def a11_thread_sum(spark, d):
+    return ledger.thread_sum(a11_thread_tokens(spark, d))
+
+
+@query("SELECT run_id, stage, count(*) AS total, count(*) FILTER (outcome = 'pass') AS pass, count(*) FILTER (outcome = 'fail') AS fail, count(*) FILTER (outcome = 'pending') AS pending FROM (" + S.OUTCOMES_SQL + ") GROUP BY run_id, stage")
+def a12_stage_progress(spark, d):
+    return ledger.stage_progress(S.outcomes(spark, d))
+
+
+@query("SELECT o_orderkey AS run_id, CAST(epoch(TIMESTAMP '" + S.NOW + "' - o_orderdate) AS BIGINT) + CASE WHEN o_custkey % 2 = 0 THEN o_custkey ELSE 0 END AS seconds FROM orders")
+def a14_durations(spark, d):
+    rows = S.read(spark, d, "orders").selectExpr("o_orderkey as run_id", "cast(o_orderdate as timestamp) as ts_start", "case when o_custkey % 2 = 0 then cast(o_orderdate as timestamp) end as continued_at", "o_custkey as previous_seconds")
+    return ledger.run_durations(rows, S.NOW)
+
+
+RANK = "CASE status WHEN 'passed' THEN 0 WHEN 'review' THEN 1 ELSE 2 END, last_seen_at DESC, job_url_hash"
+LISTING = "SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY " + RANK + ") AS place FROM (SELECT *, count(*) OVER (PARTITION BY run_id, title, company, reasoning) AS repost_count, row_number() OVER (PARTITION BY run_id, title, company, reasoning ORDER BY " + RANK + ") AS k FROM (" + S.LEDGER_SQL + ")) WHERE k = 1"
+
+
+@query("SELECT run_id, job_url, status, repost_count, place FROM (" + LISTING + ")")
+def w2_result_listing(spark, d):
+    return ledger.result_listing(S.ledger(spark, d)).select("run_id", "job_url", "status", "repost_count", "place")
+
+
+@query("SELECT run_id, job_url, place, total, greatest(1, CAST(ceil(total / 10.0) AS BIGINT)) AS total_pages FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS total FROM (" + LISTING + ")) WHERE place > 20 AND place <= 30 OR (total <= 20 AND place > (ceil(total / 10.0) - 1) * 10)")
+def w5_page(spark, d):
+    return ledger.page(ledger.result_listing(S.ledger(spark, d)), 3).select("run_id", "job_url", "place", "total", "total_pages")
+
+
+@query("SELECT run_id, job_url, r2 AS reasoning, repost_count FROM (SELECT *, count(*) OVER w AS repost_count, row_number() OVER (w ORDER BY job_url_hash) AS k FROM (SELECT *, CASE WHEN reasoning LIKE '4-%' THEN '' ELSE reasoning END AS r2 FROM (" + S.LEDGER_SQL + ")) WINDOW w AS (PARTITION BY run_id, title, company, r2)) WHERE k = 1")
+def w3_stage1_listing(spark, d):
+    rows = S.ledger(spark, d).withColumn("reasoning", F.when(F.col("reasoning").startswith("4-"), " N/A ").otherwise(F.col("reasoning")))
+    return ledger.stage1_listing(rows, True).select("run_id", "job_url", "reasoning", "repost_count")
+
+
+@query()
+def w4_remote_listing(spark, d):
+    rows, options = _remote(spark, d)
+    judged = judging.remote_judgment(rows.select("job_url", "answer", "shown"), options).withColumn("title", F.lit("t")).withColumn("company", F.lit("c"))
+    return ledger.remote_listing(judged, False).select("job_url", "reason", "repost_count")
+
+
+def _runs(spark, d) -> DataFrame:
+    return S.read(spark, d, "orders").selectExpr("cast(o_orderkey as string) as run_id", "o_custkey as profile_id", "cast(o_orderdate as timestamp) as started_at", "o_orderstatus = 'P' as waiting", "case when o_custkey % 2 = 0 then array('remote') end as stages", "cast(null as bigint) as stage0_passed", "o_orderkey as total", "cast(null as string) as stopped_after")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS k FROM orders) WHERE k <= 4 OR o_orderstatus = 'P'")
+def w7_kept_runs(spark, d):
+    return ledger.kept_runs(_runs(spark, d)).select("run_id")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderkey AS stage0_passed, CASE WHEN o_custkey % 2 = 0 THEN 'remote' ELSE 'stage2' END AS stopped_after, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS place FROM orders")
+def w1_normal_runs(spark, d):
+    return ledger.normal_runs(_runs(spark, d)).select("run_id", "stage0_passed", "stopped_after", "place")
+
+
+# -- sources and exports
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value, CAST(ts AS VARCHAR) IS NOT NULL AS has_time FROM events")
+def io2_clean_values(spark, d):
+    rows = S.read(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value")).alias("value"), "ts")
+    return landing.clean_values(rows).select("event_id", "value", F.col("ts").isNotNull().alias("has_time"))
+
+
+@query("SELECT 'p' || p_partkey AS slug, p_name AS title, p_type || chr(10) || p_brand AS description, p_brand AS url FROM part")
+def io3_board_payloads(spark, d):
+    """Lever payloads made of parts, read back by the vendor's branch."""
+    body = F.to_json(F.array(F.struct(F.col("p_name").alias("text"), F.col("p_type").alias("descriptionPlain"), F.col("p_brand").alias("additionalPlain"), F.col("p_brand").alias("hostedUrl"))))
+    rows = S.read(spark, d, "part").select(F.lit("lever").alias("vendor"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("slug"), body.alias("body"))
+    return landing.board_postings(rows).select("slug", "title", "description", "url")
+
+
+@query("SELECT 'p' || p_partkey AS slug, p_name AS title, p_type AS description, p_brand AS url FROM part")
+def io4_xml_payloads(spark, d):
+    body = F.concat(F.lit("<rss><channel><item><title>"), "p_name", F.lit("</title><link>"), "p_brand", F.lit("</link><description>&lt;p&gt;"), "p_type", F.lit("&lt;/p&gt;</description></item></channel></rss>"))
+    rows = S.read(spark, d, "part").select(F.lit("teamtailor").alias("vendor"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("slug"), body.alias("body"))
+    return landing.rss_postings(rows).select("slug", "title", "description", "url")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS ref, CASE WHEN p_size % 2 = 0 THEN p_type END AS description FROM part")
+def io5_details(spark, d):
+    body = F.to_json(F.struct(F.struct(F.struct(F.when(F.col("p_size") % 2 == 0, "Open").otherwise("Closed").alias("jobOpeningStatus"), F.col("p_type").alias("description")).alias("jobOpening")).alias("result")))
+    part = S.read(spark, d, "part")
+    posts = part.selectExpr("'bamboohr' as vendor", "'x' as slug", "cast(p_partkey as string) as ref", "cast(null as string) as description")
+    return landing.with_details(posts, part.select(F.lit("bamboohr").alias("vendor"), F.lit("x").alias("slug"), F.col("p_partkey").cast("string").alias("ref"), body.alias("body"))).select("ref", "description")
+
+
+@query("SELECT event_id, CASE WHEN event_type NOT IN ('error', 'view') THEN event_type END AS reason FROM events")
+def io7_answers(spark, d):
+    good = F.to_json(F.struct(F.lit("pass").alias("verdict"), F.col("event_type").alias("reason")))
+    raw = F.when(F.col("event_type") == "error", F.concat(good, F.lit(" and more"))).when(F.col("event_type") == "view", F.lit("[1]")).when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), good, F.lit("\n```\n"))).otherwise(good)
+    return S.read(spark, d, "events").select("event_id", judging.parsed(raw, judging.STAGE1)["reason"].alias("reason"))
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS k FROM events")
+def io8_first_object(spark, d):
+    raw = F.when(F.col("event_type") == "error", "nothing here").otherwise(F.concat(F.lit("So: "), "props", F.lit(" and {then} some")))
+    return S.read(spark, d, "events").select("event_id", F.get_json_object(landing.object_in(raw), "$.k").alias("k"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderkey AS ord, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders")
+def io9_history(spark, d):
+    rows = S.read(spark, d, "orders").selectExpr("o_orderkey as ord", "cast(o_orderkey as string) as run_id", "o_orderstatus as status")
+    return history.appended_records(rows, rows.where("run_id % 5 = 0").withColumn("status", F.lit("new")).withColumn("ord", F.lit(0).cast("long"))).select("run_id", "ord", "status")
+
+
+@query("SELECT run_id, CASE status WHEN 'passed' THEN 0 ELSE 2 END AS section, ord, '## ' || title || ' — ' || company || chr(10) || job_url || chr(10) || reasoning || chr(10) || '> ' || evidence AS block FROM (" + S.LEDGER_SQL + ") WHERE status IN ('passed', 'review')")
+def io11_digest(spark, d):
+    return exports.digest_lines(S.ledger(spark, d).withColumn("evidence", F.array("evidence")))
+
+
+@query("SELECT run_id, 0 AS section, ord, title || ' — ' || company || ': ' || reasoning AS line FROM (" + S.LEDGER_SQL + ") WHERE status = 'stage2_fail' UNION ALL SELECT run_id, 1, ord, title || ' — ' || company || ': \"' || evidence || '\"' FROM (" + S.LEDGER_SQL + ") WHERE status = 'review'")
+def io12_rejected(spark, d):
+    rows = S.ledger(spark, d)
+    return exports.rejected_lines(rows, rows.where("status = 'review'"))
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+@query("SELECT job_url, CASE WHEN none OR a = 1 THEN 'Not stated' WHEN a = 0 THEN 'On-site' ELSE 'Fully remote' END AS Level_answer, 'Not stated' AS Zone_answer, 'x | y' AS evidence FROM (" + REMOTE_SQL + ")")
+def io13_remote_table(spark, d):
+    rows, options = _remote(spark, d)
+    judged = judging.remote_judgment(rows.select("job_url", "answer", "shown"), options).withColumn("evidence", F.array(F.lit("x"), F.lit("y"), F.lit("x")))
+    return exports.remote_table(judged, ["Level", "Zone"]).select("job_url", "Level_answer", "Zone_answer", "evidence")
