@@ -9,18 +9,29 @@ source columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import chunks, cut, words
 
 #: Words of a block, words of a shard (a sum over documents in one shard stays in one task), and the most passes over a source.
 BLOCK, SHARD, MOST = 64, 2_000_000, 3
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(text).alias("th"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("size"))
+    """doc_id, source, th (hash of the text) and size, its number of words: counted on the bytes of whole batches."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("th"), F.col(f"`{text_col}`").alias("text"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "source", "th"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(words(data, offsets)[2]), pa.int64())], ["doc_id", "source", "th", "size"])
+
+    return rows.mapInArrow(count, f"{kinds}, size long")
 
 
 def targets(sized: DataFrame, most: int = MOST) -> DataFrame:

@@ -55,4 +55,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_fingerprints, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_ngram_jaccard, op10_personal_data)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WS = "[\\x20\\x09-\\x0D]"
+LINES = f"trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '{WS}+', ' ', 'g'))"
+QUALITY_SQL = f"""
+WITH w AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT *, CAST(len(w) AS BIGINT) AS n_words FROM w),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY 1),
+l AS (SELECT doc_id, source, l, {LINES} AS p FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+d AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l GROUP BY 1),
+f AS (SELECT source, p, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM l GROUP BY 1, 2),
+h AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1),
+x AS (SELECT l.doc_id, sum(len(string_split(p, ' '))) AS n FROM l JOIN f USING (source, p) JOIN h USING (source) WHERE f.n > 20 AND f.n > 0.005 * docs AND l.doc_id <> first GROUP BY 1),
+b AS (SELECT n.doc_id, n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(x.n, 0) AS BIGINT) AS removed_words
+ FROM n LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN x USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (removed_words > 0 AND (n_words - removed_words < 10 OR n_words - removed_words < 0.2 * n_words)) AS kept FROM b"""
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WS}+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5) UNION SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+t AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(r.b) AS component_id FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1, 2"""
+
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": QUALITY_SQL, "op9_ngram_jaccard": JACCARD_SQL}
