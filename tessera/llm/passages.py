@@ -24,36 +24,48 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, parts, prefix_hashes, slices, span_hashes, utf8
+from tessera.llm.common import chunks, mix, parts, powers, prefix_hashes, slices, span_hashes, utf8
 from tessera.llm.induced import common_prefixes, suffixes
 
 MATCH, GRAM = 50, 16
+#: Bytes that are hashed at once (small arrays stay in the processor's cache), the longest part of a text, and the bits of a place.
+SLICE, PART, PLACE = 1 << 18, 1 << 23, np.uint64((1 << 24) - 1)
+#: Bytes of segments that are gathered before they are sent.
+HELD = 2 << 20
 NO_ID = -(1 << 63)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end: each anchor's hash, place, first and last window start, and text."""
-    width = MATCH - GRAM + 1
-    none = np.zeros(0, np.int64)
-    if len(data) < MATCH:
+    """Of texts laid end to end: each anchor's hash, place, first and last window start, and text.
+
+    A window's anchor is the leftmost of its smallest hashes: hash and place are packed in one number, so that a running
+    minimum gives both. A longer text than PART is taken in parts that overlap by a window.
+    """
+    if len(data) > PART + MATCH:
+        found = []
+        for i in range(0, len(data) - MATCH + 1, PART):
+            part = data[i : i + PART + MATCH - 1]
+            inner = np.clip(offsets - i, 0, len(part))
+            h, at, lo, hi, doc = anchors(part, inner)
+            found.append((h, at + i, lo + i, hi + i, doc))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    width, n = MATCH - GRAM + 1, len(data)
+    sizes = np.diff(offsets)
+    if n < MATCH or sizes.max() < MATCH:
+        none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none, none
-    at = np.arange(len(data) - GRAM + 1)
-    h = span_hashes(prefix_hashes(data), at, at + GRAM)
-    best, where, have = h, at, 1
-    while have < width:  # the leftmost smallest of `width` hashes, by doubling
+    sums = prefix_hashes(data)
+    h = mix((sums[GRAM:] - sums[:-GRAM]) * powers(n)[1][: n - GRAM + 1])
+    best, have = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64), 1
+    while have < width:
         step = min(have, width - have)
-        left, right = slice(0, len(best) - step), slice(step, None)
-        take = best[right] < best[left]
-        best, where, have = np.where(take, best[right], best[left]), np.where(take, where[right], where[left]), have + step
-    text = np.searchsorted(offsets, np.arange(len(where)), "right") - 1
-    inside = np.arange(len(where)) + MATCH <= offsets[text + 1]
-    start = np.flatnonzero(inside)
-    own, doc = where[start], text[start]
-    if not len(start):
-        return np.zeros(0, np.uint64), none, none, none, none
+        best, have = np.minimum(best[:-step], best[step:]), have + step
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[: len(best)]
+    start = np.flatnonzero(np.arange(MATCH, len(best) + MATCH) <= np.repeat(offsets[1:], sizes)[: len(best)])
+    own, doc = (best[start] & PLACE).astype(np.int64), text[start]
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])]))
     last = np.append(first[1:], len(own)) - 1
-    return h[own[first]], own[first], start[first], start[last], doc[first]
+    return h[own[first]], own[first], start[first], start[last], doc[first].astype(np.int64)
 
 
 def short(hashes: np.ndarray) -> np.ndarray:
@@ -106,7 +118,7 @@ def shared_anchors(docs: DataFrame, n: int) -> DataFrame:
         for rows, data, offsets in chunks(batches, "text", 1 << 22):
             got = [[], []]
             ids = _ids(rows.column(0))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 h, _, _, _, doc = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 got[0].append(h)
                 got[1].append(ids[i + doc])
@@ -149,38 +161,43 @@ def segments(docs: DataFrame, found: DataFrame, n: int, shards: int) -> DataFram
             return _rows([], SEGMENTS)
         own = np.concatenate([np.repeat(np.frombuffer(o.as_py(), np.int64), np.frombuffer(c.as_py(), "<u4")) for o, c in zip(found["owners"], found["counts"], strict=True)])
         h = np.concatenate([_unfive(x.as_py()) for x in found["hashes"]])
-        wanted = np.unique(_pair(own, h))
-        body, size, gram, who, check, place = [], [], [], [], [], []
+        wanted, named = np.unique(_pair(own, h)), np.unique(own)
+        del own, h
+        out: list[tuple] = []
+        held: list[tuple] = []
+
+        def send() -> None:
+            """Equal segments once, by shard."""
+            size, gram, who, check, place = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+            flat = np.concatenate([x[0] for x in held])
+            held.clear()
+            ends = np.cumsum(size)
+            keys = span_hashes(prefix_hashes(flat), ends - size, ends)
+            _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            for s, at in _by((gram & np.uint64(0xFFFFFF)).astype(np.int64) % shards, shards):
+                kinds, which_ = np.unique(which[at], return_inverse=True)
+                one = first[kinds]
+                out.append((s, _take(flat, (ends - size)[one], size[one]).tobytes(), size[one].astype(np.uint8).tobytes(), _five(short(gram[one])), which_.astype("<u4").tobytes(), who[at].tobytes(), check[at].tobytes(), place[at].tobytes()))
+
         for part in rows.to_batches(max_chunksize=2000):
+            part = part.take(np.flatnonzero(np.isin(_ids(part.column("doc_id")), named)))
             ids = _ids(part.column("doc_id"))
             data, offsets = utf8(part.column("text"))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 some, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 hashes, _, lo, hi, doc = anchors(some, at)
                 keep = np.isin(_pair(ids[i + doc], short(hashes)), wanted)
                 if not keep.any():
                     continue
                 hashes, lo, hi, doc = hashes[keep], lo[keep], hi[keep], doc[keep]
-                sums = np.array([zlib.crc32(some[at[d] : at[d + 1]]) for d in range(j - i)], np.uint32)
-                body.append((some, lo))
-                size.append(hi + MATCH - lo)
-                gram.append(hashes)
-                who.append(ids[i + doc])
-                check.append(sums[doc])
-                place.append((lo - at[doc]).astype(np.uint32))
-        if not body:
-            return _rows([], SEGMENTS)
-        size, gram, who, check, place = (np.concatenate(x) for x in (size, gram, who, check, place))
-        flat = np.concatenate([_take(some, lo, size_) for (some, lo), size_ in zip(body, _split(size, [len(lo) for _, lo in body]), strict=True)])
-        ends = np.cumsum(size)
-        keys = span_hashes(prefix_hashes(flat), ends - size, ends)
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        out = []
-        shard = (gram & np.uint64(0xFFFFFF)).astype(np.int64) % shards
-        for s, at in _by(shard, shards):
-            kinds, which_ = np.unique(which[at], return_inverse=True)
-            one = first[kinds]
-            out.append((s, _take(flat, (ends - size)[one], size[one]).tobytes(), size[one].astype(np.uint8).tobytes(), _five(short(gram[one])), which_.astype("<u4").tobytes(), who[at].tobytes(), check[at].tobytes(), place[at].tobytes()))
+                sums = np.zeros(j - i, np.uint32)
+                for d in np.unique(doc).tolist():
+                    sums[d] = zlib.crc32(some[at[d] : at[d + 1]])
+                held.append((_take(some, lo, hi + MATCH - lo), hi + MATCH - lo, hashes, ids[i + doc], sums[doc], (lo - at[doc]).astype(np.uint32)))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    send()
+        if held:
+            send()
         return _rows(out, SEGMENTS)
 
     return found.groupBy("target").cogroup(docs.groupBy("target")).applyInArrow(cut_out, ddl(SEGMENTS))
@@ -190,10 +207,6 @@ def _pair(own: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (own.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ h
 
 
-def _split(x: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    return np.split(x, np.cumsum(sizes)[:-1])
-
-
 def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
 
@@ -296,7 +309,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series(target(ids.to_numpy(np.int64), n).astype(np.int32))
 
     dealt = docs.withColumn("target", partition(key)).repartition(n, "target")
-    gone = repeated_spans(segments(dealt, shared_anchors(docs, n), n, 4 * n), n)
+    gone = repeated_spans(segments(dealt, shared_anchors(docs, n), n, 8 * n), n)
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def apply(spans: pa.Table, rows: pa.Table) -> pa.Table:
