@@ -6,6 +6,8 @@ split or detect, graph components) there is none, and tests hold the operator ag
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from tessera.functions import vectorized as V
 from tessera.operators import boards, judging, ledger, linkage, stage0
 from tessera.plans import tables as S
 from tessera.sources import exports, history, landing
+from tessera.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -774,3 +777,47 @@ def io13_remote_table(spark, d):
     rows, options = _remote(spark, d)
     judged = judging.remote_judgment(rows.select("job_url", "answer", "shown"), options).withColumn("evidence", F.array(F.lit("x"), F.lit("y"), F.lit("x")))
     return exports.remote_table(judged, ["Level", "Zone"]).select("job_url", "Level_answer", "Zone_answer", "evidence")
+
+
+# -- streams, run until what is there has been read
+
+
+def _shared(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def _stream(spark, d, name: str) -> DataFrame:
+    # A pattern, as the file source takes a table that is one file only so.
+    return jobs.arrivals(spark, f"{d}/{name}.parque[t]", S.read(spark, d, name).schema)
+
+
+def _written(df: DataFrame, key: list[str]) -> DataFrame:
+    """The last batch of an aggregate in update mode for each key, from files that a rerun of a batch writes again."""
+    spark, folder = df.sparkSession, _shared(df.sparkSession)
+    writer = df.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    jobs.drained(writer.option("checkpointLocation", f"{folder}/state"))
+    out = spark.read.parquet(f"{folder}/out")
+    return out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0])).drop("batch").select(*key, *[c for c in df.columns if c not in key])
+
+
+@query("SELECT DISTINCT job_url FROM (" + S.POSTINGS_SQL + ") WHERE title LIKE 'T%' AND CAST(substr(job_url, " + str(len(S.URL) + 1) + ") AS BIGINT) NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+def st1_new_postings(spark, d):
+    """Every URL with a title that matches, once, unless it is in the ledger."""
+    folder = _shared(spark)
+    docs = _stream(spark, d, "documents")
+    stream = docs.select(*[F.expr(e).alias(n) for n, e in S.POSTINGS.items()], F.regexp_extract("text", "^[^\n.]{0,60}", 0).alias("title")).where("title like 'T%'").select("job_url", "title")
+    jobs.drained(jobs.new_postings(stream, lambda: S.ledger(spark, d).where("ord % 3 = 0"), lambda df: df, f"{folder}/out", f"{folder}/state"))
+    return spark.read.schema("job_url string").parquet(f"{folder}/out").select("job_url")
+
+
+@query("SELECT run_id, stage, outcome, count(*) AS n FROM (" + S.OUTCOMES_SQL + ") GROUP BY ALL")
+def st2_live_counts(spark, d):
+    rows = _stream(spark, d, "events").selectExpr("concat('run-', cast(user_id % 20 as string)) as run_id", "case event_id % 3 when 0 then 'remote' when 1 then 'stage1' else 'stage2' end as stage", "case event_type when 'error' then 'fail' when 'view' then 'pending' else 'pass' end as outcome")
+    return _written(jobs.live_counts(rows), ["run_id", "stage", "outcome"])
+
+
+@query("SELECT 'run-' || (user_id % 20) AS run_id, CAST(sum(CASE WHEN event_type <> 'error' THEN event_id END) AS BIGINT) AS tokens FROM events GROUP BY 1")
+def st5_token_totals(spark, d):
+    rows = _stream(spark, d, "events").selectExpr("concat('run-', cast(user_id % 20 as string)) as run_id", "case when event_type = 'error' then 'n/a' else cast(event_id as string) end as tokens")
+    return _written(jobs.token_totals(rows), ["run_id"])
