@@ -27,10 +27,11 @@ def word_edges(postings: DataFrame) -> DataFrame:
     a pair is checked by set sizes before its sets are compared.
     """
     df = postings.select("ord", T.normal_text("company").alias("_c"), T.normal_title("title").alias("_t"), F.array_sort(F.array_distinct(F.split(T.normal_text("description"), " "))).alias("w"))
-    df = df.where("_c <> '' and _t <> '' and w[0] <> ''").withColumn("_k", F.xxhash64("_c", "_t"))
-    df = df.select("ord", "_k", "_c", "_t", "w", F.sha2(F.array_join("w", " "), 256).alias("_h"))
-    first = df.groupBy("_c", "_t", "_h").agg(F.min("ord").alias("a"), F.first("w").alias("w"), F.collect_set("ord").alias("all"))
-    star = first.select("a", F.explode("all").alias("b")).where("a <> b")
+    df = df.where("_c <> '' and _t <> '' and w[0] <> ''")
+    df = df.select("ord", "_c", "_t", "w", F.sha2(F.array_join("w", " "), 256).alias("_h"))
+    first = df.groupBy("_c", "_t", "_h").agg(F.min("ord").alias("a"), F.first("w").alias("w"))
+    of = first.select(F.col("_c").alias("_c2"), F.col("_t").alias("_t2"), F.col("_h").alias("_h2"), "a")
+    star = df.select("_c", "_t", "_h", F.col("ord").alias("b")).join(of, (F.col("_h") == F.col("_h2")) & (F.col("_c") == F.col("_c2")) & (F.col("_t") == F.col("_t2"))).where("a <> b").select("a", "b")
     node = cut(first.select(F.sha2(F.concat_ws("\u0001", "_c", "_t"), 256).alias("k"), "a", "w", F.size("w").alias("n")))
     word = node.select("k", "a", "n", F.explode("w").alias("x"))
     rare = word.groupBy("k", "x").agg(F.count("*").alias("df")).where("df > 1")

@@ -25,8 +25,9 @@ def merged_searches(postings: DataFrame) -> DataFrame:
     Keys and terms are aggregated without the wide columns; the winning rows are joined back by ord, so that each
     description is shuffled once.
     """
-    keys = postings.where("job_url is not null").groupBy("job_url").agg(F.min("ord").alias("_first"), F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("_t"))
-    terms = keys.select("_first", F.array_distinct(F.transform("_t", lambda x: x["term"])).alias("search_terms"))
+    each = postings.where("job_url is not null").groupBy("job_url", "term").agg(F.min("ord").alias("ord"))
+    keys = each.groupBy("job_url").agg(F.min("ord").alias("_first"), F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("_t"))
+    terms = keys.select("_first", F.transform("_t", lambda x: x["term"]).alias("search_terms"))
     return postings.join(terms, F.col("ord") == F.col("_first")).drop("_first", "term")
 
 
