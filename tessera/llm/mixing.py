@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import chunks, cut, words
 
 #: Words of a block, words of a shard (a sum over documents in one shard stays in one task), and the most passes over a source.
-BLOCK, SHARD, MOST = 64, 2_000_000, 3
+BLOCK, SHARD, MOST = 64, 400_000, 3
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
