@@ -34,7 +34,7 @@ def by_title(board_postings: DataFrame) -> DataFrame:
     return per.where("_n = 1").drop("_n")
 
 
-def enriched(postings: DataFrame, boards: DataFrame, board_postings: DataFrame) -> DataFrame:
+def enriched(postings: DataFrame, board_postings: DataFrame) -> DataFrame:
     """Postings (with vendor, slug) with the board's text and URL where a title matches; an empty text changes nothing."""
     found = by_title(board_postings).select(F.col("vendor").alias("_v"), F.col("slug").alias("_s"), F.col("norm_title").alias("_t"), "post")
     df = postings.withColumn("_n", T.norm("title"))

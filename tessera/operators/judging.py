@@ -163,12 +163,11 @@ def remote_judgment(answers: DataFrame, options: DataFrame) -> DataFrame:
     return per.select("job_url", F.when(good, "pass").otherwise("fail").alias("verdict"), reason.alias("reason"), "decided_by", F.when(good, F.col("_s")).otherwise(F.array().cast("array<string>")).alias("evidence_sids"), "answers")
 
 
-def stage1_problems(shown: Column, matched: Column, answer: Column) -> Column:
+def stage1_problems(shown: Column, answer: Column) -> Column:
     """Problems of a Stage-1 answer: ids not in the prompt, and a pass without evidence that was shown."""
     cited = F.coalesce(answer["evidence_sids"], F.array().cast("array<string>"))
     odd = F.array_except(cited, shown)
     passes = F.lower(T.text(answer["verdict"])) == "pass"
-    del matched
     return F.array_compact(F.array(F.when(F.size(odd) > 0, F.concat(F.lit("cites sentences that were not shown: "), F.array_join(odd, ", "))), F.when(passes & (F.size(F.array_intersect(cited, shown)) == 0), "pass without a sentence that was shown")))
 
 

@@ -305,7 +305,7 @@ def j6_same_title(spark, d):
 def j7_enriched(spark, d):
     part = S.read(spark, d, "part").selectExpr("p_partkey", "p_name as title", "'lever' as vendor", "concat('b', cast(p_partkey % 25 as string)) as slug")
     rows = S.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("description", F.lit("old"))
-    return boards.enriched(rows, spark.createDataFrame([], "x int"), S.board_postings(spark, d)).select("l_orderkey", "l_linenumber", "l_partkey", "description", "source")
+    return boards.enriched(rows, S.board_postings(spark, d)).select("l_orderkey", "l_linenumber", "l_partkey", "description", "source")
 
 
 @query("SELECT " + NORM.format("c_name") + " AS company_key, min_by(c_name, c_custkey) AS company FROM customer WHERE NOT c_custkey % 2 = 0 AND (c_custkey % 3 <> 0 OR c_custkey % 9 = 0) GROUP BY 1")
@@ -444,7 +444,7 @@ def _stage1(spark, d) -> DataFrame:
 def n7_stage1_problems(spark, d):
     rows = _stage1(spark, d).where("answer is not null")
     ids, hit = F.transform("blocks", lambda b: b["s_id"]), F.array(F.lit("S1"))
-    p = judging.stage1_problems(ids, hit, F.col("answer"))
+    p = judging.stage1_problems(ids, F.col("answer"))
     return rows.select("job_url", F.get(F.filter(p, lambda x: x.startswith("cites")), F.lit(0)).alias("cites"), F.size(F.filter(p, lambda x: x.startswith("pass"))).alias("bare"), F.size(judging.unread_sentences(hit, F.col("answer"))).alias("unread"))
 
 
