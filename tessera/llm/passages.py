@@ -186,7 +186,8 @@ def segments(docs: DataFrame, found: DataFrame, n: int, shards: int) -> DataFram
             for i, j in slices(offsets, SLICE):
                 some, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 hashes, _, lo, hi, doc = anchors(some, at)
-                keep = np.isin(_pair(ids[i + doc], short(hashes)), wanted)
+                asked = _pair(ids[i + doc], short(hashes))
+                keep = wanted[np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)] == asked
                 if not keep.any():
                     continue
                 hashes, lo, hi, doc = hashes[keep], lo[keep], hi[keep], doc[keep]
