@@ -27,7 +27,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, a part taken once more counting from half a document on."""
+    """Each document as often as the mix takes its words, parts of documents rounded by their running total."""
     return mixing.repeated(docs)
 
 

@@ -104,13 +104,43 @@ def mix_sources(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard_words:
     return both.select("doc_id", "th", "size", "source", "source_size", "target", F.least(F.coalesce(taken, F.lit(0)), most * F.col("size")).cast("long").alias("taken"))
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix takes them: each as many times as its taken words make whole documents (halves count), up to the most.
+def copies(mixed: DataFrame, seed: int = 7, shard_words: int = SHARD) -> DataFrame:
+    """mix_sources' rows that have a word, with `copies`, the whole documents that what is taken of them comes to.
 
-    What is taken is joined back by id and text hash, so repeated rows of one document share one figure.
+    Systematic rounding: a shard lays its documents' taken / size end to end, by size, and a document gets a copy for
+    each whole number its stretch crosses, counted from a seeded start. So each document is taken as often as its
+    share says on average, however long it is, and the kept words of a shard stay within its longest document of what it takes.
     """
-    taken = cut(mix_sources(docs, **options)).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0))).cast("int").alias("_n"))
-    taken = taken.where("_n > 0")
+    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "th"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))
+    line = Window.partitionBy("source", "_shard").orderBy("size", F.xxhash64(F.lit(seed + 2), "doc_id", "th"), "doc_id", "th", "taken").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.pmod(F.xxhash64(F.lit(seed + 3), "source", "_shard"), F.lit(1_000_000))
+    # Shares as whole millionths, so that a sum does not depend on rounding; whole copies are exact.
+    part = F.round((F.col("taken") % F.col("size")) * 1e6 / F.col("size")).cast("long")
+    rows = mixed.where("size > 0").withColumn("_shard", shard).withColumn("_part", part)
+    rows = rows.withColumn("_to", F.sum("_part").over(line) + start)
+    more = F.floor(F.col("_to") / 1e6) - F.floor((F.col("_to") - F.col("_part")) / 1e6)
+    return rows.withColumn("copies", (F.floor(F.col("taken") / F.col("size")) + more).cast("int")).drop("_shard", "_part", "_to")
+
+
+def repeated(docs: DataFrame, seed: int = 7, shard_words: int = SHARD, **options) -> DataFrame:
+    """The documents as the mix takes them: each as many times as its taken words make whole documents (see `copies`), up to the most.
+
+    Copies are joined back by id, text hash and source; repeated rows of one document share what they take evenly.
+    """
+    each = copies(cut(mix_sources(docs, seed=seed, shard_words=shard_words, **options)), seed, shard_words)
+    taken = cut(each.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("source").alias("_s")).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows")).where("_n > 0"))
     keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+
+    def joined(of: DataFrame) -> DataFrame:
+        return keyed.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")) & F.col("source").eqNullSafe(F.col("_s")))
+
+    def laid(rows: DataFrame) -> DataFrame:
+        return rows.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+
+    out = laid(joined(taken.where("_rows = 1")))
+    several = taken.where("_rows > 1")
+    if several.isEmpty():
+        return out
+    place = Window.partitionBy("_id", "_th", "_s").orderBy(F.lit(0))
+    rows = joined(several).withColumn("_k", F.row_number().over(place))
+    return out.unionByName(laid(rows.withColumn("_n", F.floor(F.col("_n") / F.col("_rows")) + F.when(F.col("_k") <= F.col("_n") % F.col("_rows"), 1).otherwise(0))))

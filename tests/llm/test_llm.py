@@ -156,6 +156,29 @@ def test_mixing(docs, none, spark):
     assert mixing.mix_sources(none).count() == 0 and mixing.repeated(docs).columns == docs.columns
 
 
+def test_mixing_whole_documents(spark):
+    """The stage keeps each source near its target, and long documents as often as short ones."""
+    r, rows = random.Random(11), []
+    for source, n in {"a": 1500, "b": 300, "c": 600, "d": 600, "e": 300, "f": 600}.items():
+        rows += [(f"{source}{i}", source, " ".join([f"w{i}"] * (r.randint(1500, 2500) if i % 10 == 0 else r.randint(20, 300)))) for i in range(n)]
+    rows += rows[:3] + [("a0", "b", rows[0][2]), ("none", None, "one two three"), ("empty", "a", "")]
+    df = spark.createDataFrame(rows, "doc_id string, source string, text string")
+    shards = {"shard_words": 100_000}
+    mixed = mixing.mix_sources(df, **shards).toPandas()
+    goal = mixed.assign(source=mixed.source.fillna("~")).groupby("source").target.first()
+    out = mixing.repeated(df, **shards).toPandas()
+    out = out.assign(n=out.text.map(lambda x: len(x.split())), source=out.source.fillna("~"))
+    kept = out.groupby("source").n.sum().reindex(goal.index).fillna(0)
+    size = mixed.assign(source=mixed.source.fillna("~")).groupby("source").source_size.first()
+    assert goal["a"] < 0.3 * size["a"] and goal["b"] > 1.2 * size["b"]
+    assert all(abs(kept[s] - goal[s]) <= 2500 * -(-size[s] // 100_000) and abs(kept[s] - goal[s]) <= max(0.1 * goal[s], 10) for s in goal.index)
+    long = out[(out.source == "a") & (out.n >= 1500)].n.sum() / sum(len(t.split()) for _, s, t in rows if s == "a" and len(t.split()) >= 1500)
+    assert abs(long - goal["a"] / size["a"]) < 0.05
+    assert out.groupby(["doc_id", "source"]).size().drop(["a0", "a1", "a2"], errors="ignore").max() <= mixing.MOST
+    again = mixing.repeated(df.repartition(5), **shards).toPandas()
+    assert sorted(out.doc_id) == sorted(again.doc_id)
+
+
 @pytest.mark.parametrize("votes, seats", [([53, 24, 23], 7), ([1000, 1, 1, 1], 50), ([5, 5, 5], 7), ([90, 6, 4], 10), ([7], 3)])
 def test_sainte_lague(spark, votes, seats):
     df = spark.createDataFrame([(f"p{i}", float(v), seats) for i, v in enumerate(votes)], "p string, v double, n int")
