@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectorized as V
+from tessera.operators import linkage
+from tessera.operators.graph import cut
 
 RULES = ("language", "no_tier1_hit", "exclude_keyword", "language_requirement", "no_remote_keyword", "duplicate_content", "already_seen")
 STAGES = ("remote", "stage1", "stage2")
@@ -94,6 +96,22 @@ def waterfall(postings: DataFrame, languages: list[str], tier1: list[str], exclu
     return df.withColumn("content_hash", sign).withColumn("drop_reason", reason).drop("_lang")
 
 
+def screened(filtered: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The waterfall's rows with its last two reasons: survivors that repost an earlier survivor, then those in the ledger.
+
+    Reposts are found first, so a seen representative hides its unseen duplicates. The rows are written once, for the
+    text work is not to run again; of the ledger only the hash is read.
+    """
+    filtered = cut(filtered)
+    left = filtered.where("drop_reason is null")
+    groups = linkage.repost_groups(left).select(F.col("ord").alias("_o"), (F.col("ord") != F.col("root")).alias("_again"))
+    known = ledger.select(F.col("job_url_hash").alias("_h")).where("_h is not null").distinct()
+    seen = left.select(F.col("ord").alias("_s"), T.url_hash("job_url").alias("_u")).join(known, F.col("_u") == F.col("_h"), "left_semi").select("_s")
+    late = groups.join(seen, F.col("_o") == F.col("_s"), "left")
+    late = late.select("_o", F.when(F.col("_again"), "duplicate_content").when(F.col("_s").isNotNull(), "already_seen").alias("_late")).where("_late is not null")
+    return filtered.join(late, F.col("ord") == F.col("_o"), "left").withColumn("drop_reason", F.coalesce("drop_reason", "_late")).drop("_o", "_late")
+
+
 def title_matches(hits: Column, terms: Column) -> Column:
     """Whether a term that returned the posting is in its title."""
     return F.exists(terms, lambda t: F.array_contains(hits, t))
@@ -104,7 +122,10 @@ def requirement_evidence(filtered: DataFrame) -> DataFrame:
 
 
 def drop_counts(filtered: DataFrame) -> DataFrame:
-    return filtered.groupBy(F.coalesce("drop_reason", F.lit("passed")).alias("outcome")).agg(F.count("*").alias("n"))
+    """outcome, n: those that passed and the drops of each rule, 0 where it drops none."""
+    counts = filtered.groupBy(F.coalesce("drop_reason", F.lit("passed")).alias("_o")).agg(F.count("*").alias("n"))
+    every = filtered.sparkSession.createDataFrame([(r,) for r in ("passed", *RULES)], "outcome string")
+    return every.join(counts, F.col("outcome") == F.col("_o"), "left").select("outcome", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def titles_left_out(results: DataFrame, matches: Column) -> DataFrame:

@@ -29,6 +29,19 @@ def test_merge_and_waterfall(spark):
     assert rows(got.select("job_url", stage0.title_matches(F.col("title_hits"), F.col("search_terms")).alias("ok")), "job_url", "ok") == [("u1", True), ("u2", False), ("u3", True)]
 
 
+def test_screened(spark):
+    words = "We ship a prototype every week. Fully remote. " + " ".join(f"w{i}" for i in range(30))
+    none = "Nothing of interest is written here at all."
+    data = [(0, "u0", "Lead", "A", words), (1, "u1", "Lead", "B", words), (2, "u2", "Other", "C", "A prototype of ours, and casino nights. Remote."), (3, "u3", "Builder", "D", "Another prototype that we build. Remote."), (4, "u4", "Lead", "A", none), (5, "u5", "Maker", "E", "This prototype is new. Remote work."), (6, "u5b", "Maker", "e", "This prototype is new. Remote work.")]
+    posts = spark.createDataFrame([(*x[:4], "x", x[4]) for x in data], "ord long, job_url string, title string, company string, location string, description string")
+    seen = spark.createDataFrame([("u0",), ("u0",), ("u1",), ("u3",), ("u4",)], "job_url string").withColumn("job_url_hash", stage0.T.url_hash("job_url"))
+    got = stage0.screened(stage0.waterfall(posts, [], ["prototype"], ["casino"], ["remote"]), seen)
+    # u1 is in the ledger too, but stands for the repost that it is; u0 hides it although it has been seen itself.
+    assert rows(got, "job_url", "drop_reason") == [("u0", "already_seen"), ("u1", "duplicate_content"), ("u2", "exclude_keyword"), ("u3", "already_seen"), ("u4", "no_tier1_hit"), ("u5", None), ("u5b", "duplicate_content")]
+    counts = dict(rows(stage0.drop_counts(got), "outcome", "n"))
+    assert set(counts) == {"passed", *stage0.RULES} and sum(counts.values()) == len(data) and counts["duplicate_content"] == 2 and counts["already_seen"] == 2 and counts["language"] == 0
+
+
 def test_pages_read(spark):
     data = [(1, p, i, f"u{p}-{i}", "hit" if (p, i) == (0, 0) else "no") for p in range(6) for i in range(2)] + [(1, 8, 0, "u", "hit"), (1, 1, 5, "u0-0", "hit")]
     df = spark.createDataFrame(data, "search_n int, page int, pos int, job_url string, title string")
