@@ -261,6 +261,7 @@ def a4_keyword_coverage(spark, d):
 
 
 def _hashed(spark, d) -> DataFrame:
+    """Hashes of openings, as x2_hash_edges' SQL has them; x2_content_hash_edges, x3 and x4 take whole texts and titles."""
     rows = S.postings(spark, d).withColumn("title", F.substring("title", 1, 4))
     return rows.withColumn("content_hash", F.when(F.length("description") > 200, F.md5(F.substring("description", 1, 150))).otherwise(""))
 
@@ -273,14 +274,24 @@ def x2_hash_edges(spark, d):
     return linkage.hash_edges(_hashed(spark, d))
 
 
+def _whole(spark, d) -> DataFrame:
+    body = T.normal_text("description")
+    return S.postings(spark, d).withColumn("content_hash", F.when(body != "", F.md5(body)).otherwise(""))
+
+
+@query("SELECT m AS a, ord AS b FROM (SELECT ord, min(ord) OVER (PARTITION BY body) AS m FROM (SELECT ord, " + NT.format("description") + " AS body FROM (" + S.POSTINGS_SQL + ")) WHERE body <> '') WHERE m <> ord")
+def x2_content_hash_edges(spark, d):
+    return linkage.hash_edges(_whole(spark, d))
+
+
 @query()
 def x3_word_edges(spark, d):
-    return linkage.word_edges(_hashed(spark, d))
+    return linkage.word_edges(_whole(spark, d))
 
 
 @query()
 def x4_representatives(spark, d):
-    df = linkage.representatives(_hashed(spark, d))
+    df = linkage.representatives(_whole(spark, d))
     return df.select("ord", "job_url", F.array_join("duplicate_job_urls", "|").alias("duplicate_job_urls"), F.array_join("duplicate_locations", "|").alias("duplicate_locations"), "merged")
 
 

@@ -59,6 +59,21 @@ def test_reposts(spark):
     assert linkage.representatives(df.limit(0)).count() == 0
 
 
+def test_reposts_of_whole_texts(spark, tmp_path):
+    """The registered queries tell texts with one opening apart, and titles after their first letters; short copies meet."""
+    from tessera.plans import registry
+
+    opening, tail = " ".join(f"open{i}" for i in range(60)), lambda k: " ".join(f"{k}{i}" for i in range(60))
+    alike = lambda title: f"{title}\n" + " ".join(f"w{i}" for i in range(100))
+    texts = [opening + tail("a"), opening + tail("b"), "Short text", "short  TEXT!", alike("Senior engineer"), alike("Senior plumber"), alike("Senior engineer") + " more", ""]
+    docs = spark.createDataFrame([(i, t, "en", "s" if i in (4, 5, 6) else f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(registry.x2_content_hash_edges(spark, str(tmp_path)), "a", "b") == [(2, 3)]
+    assert rows(registry.x3_word_edges(spark, str(tmp_path)), "a", "b") == [(4, 6)]
+    got = registry.x4_representatives(spark, str(tmp_path))
+    assert rows(got, "ord", "merged") == [(0, 0), (1, 0), (2, 1), (4, 1), (5, 0), (7, 0)]
+
+
 def test_word_edges_brute_force(spark):
     import random
 
