@@ -8,8 +8,10 @@ text columns are read.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,13 @@ def encoder(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that the JSON form beside the ranks adds to them; it reads them in a text as one id each."""
+    whole = Path(path).with_suffix(".json")
+    return {t["content"]: t["id"] for t in json.loads(whole.read_text())["added_tokens"]} if whole.exists() else {}
 
 
 def piece_lengths(n: int, length: int = LENGTH) -> list[int]:
@@ -54,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
         for batch in batches:
             who, out = [], []
             for i, text in enumerate(batch.column(1)):
-                ids = np.append(encode.encode_to_numpy(text.as_py() or "", disallowed_special=()), END).astype("<u4")
+                ids = np.append(encode.encode_to_numpy(text.as_py() or "", allowed_special="all"), END).astype("<u4")
                 at = 0
                 for k, n in enumerate(piece_lengths(len(ids), length)):
                     who.append(i)
@@ -143,16 +151,23 @@ def local_search(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndar
 
 
 def _two(sizes: np.ndarray, where: np.ndarray, slack: np.ndarray, size: int) -> tuple[int, int, int] | None:
-    """Two documents of one bin, smaller together than `size`, whose places it fits in: neighbours by size in their bin."""
+    """The two smallest documents of one bin together, below `size`, whose places it fits in: each with its least partner."""
     item = np.flatnonzero((slack[where] > 0) & (sizes < size))
+    if len(item) < 2:
+        return None
     item = item[np.lexsort((sizes[item], where[item]))]
-    left, right = item[:-1], item[1:]
-    both, room = sizes[left] + sizes[right], slack[where[left]] if len(left) else np.zeros(0)
-    fit = np.flatnonzero((where[left] == where[right]) & (both < size) & (both + room >= size))
+    own, bin_, span = sizes[item], where[item], size + 1
+    line = bin_ * span + own
+    need = np.maximum(size - slack[bin_] - own, 0)
+    at = np.searchsorted(line, bin_ * span + need)
+    at += at == np.arange(len(item))  # no document is its own partner
+    other = np.minimum(at, len(item) - 1)
+    both = own + own[other]
+    fit = np.flatnonzero((at < len(item)) & (bin_[other] == bin_) & (both < size))
     if not len(fit):
         return None
     i = int(fit[both[fit].argmin()])
-    return int(left[i]), int(right[i]), int(where[left[i]])
+    return int(item[i]), int(item[other[i]]), int(bin_[i])
 
 
 def pack(sizes: np.ndarray, capacity: int = LENGTH) -> np.ndarray:

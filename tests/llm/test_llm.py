@@ -106,6 +106,33 @@ def test_tokenizers_agree():
         assert t.encode(text, add_special_tokens=False).ids == ranks.encode_ordinary(text)
 
 
+def test_tokenizers_agree_on_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["end <|endoftext|> of", "<|endoftext|><|endoftext|>", "a\n\n <|endoftext|>\n b", "<|endoftext |> <|endoftext|", "x  <|endoftext|>y"]
+    want = [t.encode(x, add_special_tokens=False).ids + [packing.END] for x in texts]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["length"], r["ids_crc32"]) for r in got] == [(len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for i in want]
+
+
+def test_two_for_one_brute_force():
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(r.integers(2, 15))
+        sizes, where = r.integers(1, 20, n), r.integers(0, 4, n)
+        slack, size = r.integers(-1, 12, 4), int(r.integers(2, 25))
+        pairs = [(int(sizes[b] + sizes[c]), b, c) for b in range(n) for c in range(b) if where[b] == where[c] and slack[where[b]] > 0 and max(sizes[b], sizes[c]) < size and size - slack[where[b]] <= sizes[b] + sizes[c] < size]
+        got = packing._two(sizes, where, slack, size)
+        assert (got is None) == (not pairs)
+        if got:
+            b, c, to = got
+            assert b != c and where[b] == where[c] == to and sizes[b] + sizes[c] == min(pairs)[0] and sizes[b] + sizes[c] + slack[to] >= size
+    # The places of two that are no neighbours by size: 2 and 6 of 2, 4, 6, in a bin with room 1.
+    assert packing._two(np.array([9, 2, 4, 6]), np.array([0, 1, 1, 1]), np.array([-1, 1]), 9) == (1, 3, 1)
+
+
 def test_packing(docs, none):
     got = packing.pack_documents(docs).toPandas()
     encode = packing.encoder(packing.tokenizer_file())
