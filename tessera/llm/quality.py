@@ -83,8 +83,8 @@ def line_key(plain: Column) -> Column:
 def crowded_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, limits: Limits = Limits()) -> DataFrame:
     """doc id, text hash, and each line hash of that document above its host's limits, with the words that go.
 
-    Repeated rows of a document add up their lines; `times` tells how many lines were met. Lines are counted by (host, hash), with partial counts before the shuffle, so that a hot host or line is no hot
-    task. The first document of a line keeps it: one copy of what many share stays in the corpus.
+    Words and `times` (how many lines were met) are those of one row: repeated rows have the same lines at the same
+    places. Lines are counted by (host, hash), with partial counts before the shuffle, so that a hot host or line is no hot task. The first document of a line keeps it: one copy of what many share stays in the corpus.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{host_col}`").alias("host"), plain_lines(F.col(f"`{text_col}`")).alias("ls"))
     once = rows.select("id", "host", F.explode_outer(F.array_distinct("ls")).alias("x")).where("x is not null").select("id", "host", line_key(F.col("x")).alias("k")).select("id", "host", "k.a", "k.b")
@@ -93,9 +93,10 @@ def crowded_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, li
     few = counts.where(F.col("n") > limits.line_documents)
     crowded = few.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).where(F.col("n") > limits.line_share * F.col("docs"))
     crowded = crowded.select(F.col("host").alias("_host"), F.col("a").alias("_a"), F.col("b").alias("_b"), "first")
-    lines = rows.select("id", "th", "host", F.explode_outer("ls").alias("x")).where("x is not null").select("id", "th", "host", line_key(F.col("x")).alias("k"), F.size(F.split("x", " ")).alias("n")).select("id", "th", "host", "k.a", "k.b", "n")
+    lines = rows.select("id", "th", "host", F.posexplode_outer("ls").alias("p", "x")).where("x is not null").select("id", "th", "host", "p", line_key(F.col("x")).alias("k"), F.size(F.split("x", " ")).alias("n")).select("id", "th", "host", "p", "k.a", "k.b", "n")
     met = lines.join(crowded.hint("shuffle_hash"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & F.col("host").eqNullSafe(F.col("_host")))
     met = met.where(~F.col("id").eqNullSafe(F.col("first")))
+    met = met.groupBy("id", "th", "host", "a", "b", "p").agg(F.max("n").alias("n"))
     per = met.groupBy("id", "th", "host", "a", "b").agg(F.sum("n").alias("n"), F.count("*").alias("times"))
     return per.select("id", "th", "host", "a", "b", F.col("n").cast("long").alias("words"), "times")
 

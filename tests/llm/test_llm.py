@@ -337,6 +337,39 @@ def test_crowded_lines(spark):
     assert out[0].startswith("Common") and not out[5].startswith("Common") and out[200].startswith("common") and 100 not in out and len(out) == 61
 
 
+def test_repeated_rows_quality(spark):
+    """A repeated row loses the words of its own lines, not those of its copies too."""
+    letters = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(5))
+    own = lambda i, n=79: " ".join(letters(i * 1000 + j) for j in range(n))
+    menu = " ".join(letters(900_000 + j) for j in range(21))
+    rows = [(i, f"{menu}\n{own(i)}", "h") for i in range(30)] + [(50, f"{menu}\n{own(50)}\n{menu}", "h")] * 2 + [(5, f"{menu}\n{own(5)}", "h")] * 3 + [(7, own(77), "h"), (60, None, None), (60, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    crowded = lambda t: (t or "").split("\n").count(menu)
+    want = sorted((i, len((t or "").split()), 0 if i == 0 else 21 * crowded(t), i != 60) for i, t, _ in rows)
+    assert sorted((r["doc_id"], r["n_words"], r["removed_words"], r["kept"]) for r in quality.quality(df).collect()) == want
+    out = [(r["doc_id"], r["text"]) for r in quality.clean_documents(df).collect()]
+    assert sorted(out) == sorted((i, t if i == 0 else "\n".join(x for x in t.split("\n") if x != menu)) for i, t, _ in rows if i != 60)
+
+
+def test_repeated_rows_first_of_groups(spark):
+    text = lambda k: " ".join(f"{k}{j}" for j in range(40))
+    rows = [(1, text("a"), "x")] * 3 + [(1, text("b"), "x"), (2, text("a"), "x"), (3, text("c"), "x"), (4, text("d"), "x"), (4, text("c") + " more", "x"), (4, text("d"), "y"), (None, text("c"), "x"), (None, text("e"), "x"), (None, text("e"), "x"), (6, None, "x"), (6, "", "x"), (7, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = set()
+    for doc, body, _ in rows:
+        mine = shingled(body)
+        linked = [d for d, t, _ in rows if d is not None and (t == body or mine and 100 * len(mine & shingled(t)) >= 75 * len(mine | shingled(t)))] if mine else []
+        if doc is None and not linked or doc is not None and doc <= min(linked, default=doc):
+            want.add((doc, tuple(sorted(mine))))
+    got = [(r["doc_id"], tuple(sorted(shingled(r["text"])))) for r in similarity.first_of_groups(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def shingled(text):
+    w = (text or "").split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def groups(rows, limit=75):
     sets = []
     for _, text in rows:
