@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -252,18 +253,45 @@ def test_syncmers_brute_force():
     assert set(h.tolist()) <= set(h2.tolist())
 
 
-@pytest.mark.parametrize("n, symbols", [(1, 2), (2, 2), (40, 2), (300, 3), (2000, 2), (1500, 40)])
-@pytest.mark.parametrize("memory", [64, 1 << 20])
-def test_suffixes(n, symbols, memory):
-    r = np.random.default_rng(n)
-    text = np.append(r.integers(1, symbols + 1, n), 0).astype(np.uint16)
-    order = induced.suffixes(text, symbols + 1, memory)
-    plain = text.tolist()
-    assert order.tolist() == sorted(range(n + 1), key=lambda i: plain[i:])
-    same = induced.common_prefixes(text, order, 6)
-    for i in range(1, n + 1):
-        a, b = plain[order[i - 1] :], plain[order[i] :]
-        assert same[i] == min(6, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+def sorted_suffixes(text, symbols, most, memory, block):
+    got = list(induced.suffixes(text, symbols, most, memory, block))
+    return np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+
+
+@pytest.mark.parametrize("kind", ["random", "runs", "repeats"])
+@pytest.mark.parametrize("memory, block", [(64, 7), (1 << 20, 3), (1 << 20, 1 << 16)])
+def test_suffixes(kind, memory, block):
+    """Order and common prefixes against plain sorting; below `most` they are exact."""
+    for seed in range(12):
+        r = np.random.default_rng(seed)
+        n, k = int(r.integers(0, 300)), int(r.integers(1, 6))
+        words = [r.integers(1, k + 1, int(r.integers(1, 30))) for _ in range(4)]
+        plain = {"random": r.integers(1, k + 1, n), "runs": np.repeat(r.integers(1, k + 1, n // 4 + 1), r.integers(1, 6, n // 4 + 1)), "repeats": np.concatenate([words[int(i)] for i in r.integers(0, 4, 12)])}[kind]
+        text = np.append(plain, 0).astype(np.uint16)
+        plain = text.tolist()
+        for most in (5, 50):
+            order, same = sorted_suffixes(text, k + 1, most, memory, block)
+            assert sorted(order.tolist()) == list(range(len(plain)))
+            assert [plain[i : i + most] for i in order] == sorted((plain[i : i + most] for i in order), reverse=True)
+            for i in range(1, len(order)):
+                a, b = plain[order[i - 1] :], plain[order[i] :]
+                want = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+                assert same[i] == want if want < most else same[i] >= most
+
+
+def test_suffixes_beyond_memory():
+    """A text far larger than what the sort may keep in memory: arrays go to disk, and the order is the same."""
+    r = np.random.default_rng(3)
+    text = np.append(r.integers(1, 200, 600_000), 0).astype(np.uint16)
+    want = np.concatenate([x for x, _ in induced.suffixes(text, 200, 50)])
+    tracemalloc.start()
+    at = 0
+    for got, _ in induced.suffixes(text, 200, 50, 1 << 14, 1 << 12):
+        assert np.array_equal(got, want[at : at + len(got)])
+        at += len(got)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == len(text) and peak < text.nbytes
 
 
 def kept_bytes(rows):
@@ -293,8 +321,21 @@ def test_passages_random(spark):
     r = random.Random(9)
     parts = ["".join(r.choice("ab ") for _ in range(r.randint(20, 90))) for _ in range(12)]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 8)))) for i in range(60)]
-    got = passages.without_repeats(spark.createDataFrame(rows, "doc_id int, text string"))
-    assert sorted((tuple(x)[:5] for x in got.collect()), key=str) == kept_bytes(rows)
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    for crowd in (passages.CROWD, 2, 0):  # with few segments an anchor's windows go one by one
+        assert sorted((tuple(x)[:5] for x in passages.without_repeats(df, crowd=crowd).collect()), key=str) == kept_bytes(rows)
+
+
+def test_passages_in_lots(spark, monkeypatch):
+    """One passage in every document, some documents of one id, and lots so small that a partition sends several."""
+    monkeypatch.setattr(passages, "HELD", 300)
+    r = random.Random(6)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    common = letters(160)
+    rows = [(i // 2 if i < 20 else i, letters(r.randint(0, 80)) + common[r.randint(0, 60) :] + letters(r.randint(0, 80))) for i in range(80)]
+    rows += [(90, rows[30][1]), (90, rows[30][1]), (5, rows[30][1]), (None, common)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert sorted((tuple(x)[:5] for x in passages.without_repeats(df).collect()), key=str) == kept_bytes(rows)
 
 
 @pytest.mark.parametrize("expression, labels", [("mit", {"mit"}), ("(mit or apache-2.0) and gpl-3.0-only", {"mit", "apache-2", "gpl-3"}), ("gpl-2.0-or-later with classpath-exception-2.0", {"gpl-2"}), ("mit or", None), ("(mit", None), ("mit)", None), ("and mit", None), ("mit mit", None), ("", None), ("mit */", {"mit"})])
