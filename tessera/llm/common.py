@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised helpers take at a time, so that their 8-byte temporaries stay small.
@@ -31,6 +31,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """The rows with `number`, from 0 in the given order: counted by ranges, so that no task sorts them all."""
+    ranged = cut(df.repartitionByRange(parts(df), *order).withColumn("_range", F.spark_partition_id()))
+    before, at = [], 0
+    for row in ranged.groupBy("_range").count().orderBy("_range").collect():  # a row for each range
+        before += [F.lit(row["_range"]), F.lit(at)]
+        at += row["count"]
+    start = F.element_at(F.create_map(*before), F.col("_range")) if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("number", (start + place - 1).cast("long")).drop("_range")
+
+
+def smallest(df: DataFrame, key: Column, most: int, *ties: str, rows: int | None = None) -> DataFrame:
+    """The rows of the `most` smallest 64-bit hashes. Hashes far above them are dropped where they are read, so that
+    what reaches the driver does not grow with the number of tasks."""
+    rows = df.count() if rows is None else rows
+    out = df.withColumn("_key", key)
+    if rows > 4 * most:
+        out = out.where(F.col("_key") < -(1 << 63) + int((1 << 64) * (2 * most / rows)))
+    return out.orderBy("_key", *ties).limit(most).drop("_key")
+
+
 def parts(df: DataFrame) -> int:
     """The session's shuffle width: it follows the input, so groups that are dealt over it stay bounded."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with awkward rows."""
 
 import hashlib
+import heapq
 import random
 import re
 import tracemalloc
@@ -134,6 +135,23 @@ def test_two_for_one_brute_force():
     assert packing._two(np.array([9, 2, 4, 6]), np.array([0, 1, 1, 1]), np.array([-1, 1]), 9) == (1, 3, 1)
 
 
+def test_one_for_two_brute_force():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        n, bins = int(r.integers(1, 15)), 4
+        sizes, where, slack = r.integers(1, 25, n), r.integers(0, bins, n), r.integers(-1, 12, bins)
+        size, mates = int(r.integers(1, 15)), r.integers(1, 15, int(r.integers(1, 5)))
+        gains = [int(size + m - sizes[b]) for b in range(n) for m in mates if slack[where[b]] > 0 and sizes[b] < size + m <= sizes[b] + slack[where[b]]]
+        got = packing._one(sizes, where, slack, size, mates)
+        assert (got is None) == (not gains)
+        if got:
+            b, c, to = got
+            assert to == where[b] and size + mates[c] - sizes[b] == max(gains) and size + mates[c] <= sizes[b] + slack[to]
+    # 3 and 4 go for the 6 in a bin with room 1, which neither can enter alone; then the 6 has a bin of its own.
+    sizes, where = np.array([3, 4, 6, 3, 9]), np.array([0, 0, 1, 1, 2])
+    assert packing._one(sizes, where, np.array([-1, 1, -1]), 4, np.array([3])) == (2, 0, 1)
+
+
 def test_packing(docs, none):
     got = packing.pack_documents(docs).toPandas()
     encode = packing.encoder(packing.tokenizer_file())
@@ -207,6 +225,31 @@ def test_mixing_whole_documents(spark):
     assert sorted(out.doc_id) == sorted(again.doc_id)
 
 
+def test_sainte_lague_many_parties(spark, monkeypatch):
+    """Parties far from their fair shares, a thousand of them, ties, and brackets that need several rounds."""
+    r = random.Random(2)
+    for votes, seats, listed in (([600] + [0.6] * 1000, 1200, mixing.LISTED), ([600] + [0.6] * 60, 1200, 3), ([r.randint(1, 40) for _ in range(400)], 90, 5), ([7] * 50, 120, 2), ([r.paretovariate(1) for _ in range(300)], 5000, 4)):
+        df = spark.createDataFrame([(f"p{i:04}", float(v), seats) for i, v in enumerate(votes)], "p string, v double, n int")
+        got = {x["p"]: x["seats"] for x in mixing.sainte_lague(df, ["p"], F.col("v"), F.col("n"), [], listed).collect()}
+        held = [0] * len(votes)
+        heap = [(-v, i) for i, v in enumerate(votes)]
+        heapq.heapify(heap)
+        for _ in range(seats):
+            i = heap[0][1]
+            held[i] += 1
+            heapq.heapreplace(heap, (-votes[i] / (2 * held[i] + 1), i))
+        assert [got[f"p{i:04}"] for i in range(len(votes))] == held
+
+
+def test_mixing_many_small_sources(spark):
+    """Sources far smaller than a block come near their targets too."""
+    rows = [(i, f"s{i:03}", " ".join(["w"] * 40)) for i in range(300)] + [(1000 + i, "whole", " ".join(["w"] * 600)) for i in range(100)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas()
+    per = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    small = per.drop("whole")
+    assert ((per.taken - per.target).abs() <= 0.02 * per.target + 1).all() and abs(small.taken.sum() - small.target.sum()) < 0.02 * small.target.sum()
+
+
 @pytest.mark.parametrize("votes, seats", [([53, 24, 23], 7), ([1000, 1, 1, 1], 50), ([5, 5, 5], 7), ([90, 6, 4], 10), ([7], 3)])
 def test_sainte_lague(spark, votes, seats):
     df = spark.createDataFrame([(f"p{i}", float(v), seats) for i, v in enumerate(votes)], "p string, v double, n int")
