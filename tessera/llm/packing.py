@@ -1,8 +1,9 @@
 """Best-fit packing of token pieces into sequences, improved by swap-based local search.
 
-Defined cases: a null or empty text is one piece of the single end id; equal lengths are told apart by document and
-piece; repeated rows are packed as documents of their own; an empty table gives an empty result; only the id and
-text columns are read.
+Defined cases: a null or empty text is one piece of the single end id; a very long text is encoded whole and cut into
+whole sequences behind a shorter first piece; equal lengths are told apart by document and piece; repeated rows are
+packed as documents of their own; an empty table gives an empty result; only the id and text columns are read,
+whatever else the table has.
 """
 
 from __future__ import annotations
@@ -101,8 +102,8 @@ def local_search(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndar
     """Exchange documents between underfull bins while the sum of squared fills grows; bins that empty go.
 
     The emptiest bin that can still change gives documents away: one into another bin's room, one for a smaller one,
-    one for two smaller ones, or two for one. Each step moves fill to a fuller bin, so the sum grows and the search ends; it
-    also ends when no packing can have fewer bins.
+    one for two smaller ones, or two for one that is less than both. Each step moves fill to a fuller bin, so the sum
+    grows and the search ends; it also ends when no packing can have fewer bins.
     """
     where = where.copy()
     fill = np.bincount(where, sizes).astype(np.int64)
@@ -142,6 +143,15 @@ def local_search(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndar
                 where[a], where[b], where[c], moved = to, victim, victim, True
                 fill[victim] -= gain
                 fill[to] += gain
+                continue
+            mate = np.flatnonzero((where == victim) & (np.arange(len(where)) != a))
+            found = _one(sizes, where, slack, size, sizes[mate]) if where[a] == victim and len(mate) else None
+            if found is not None:
+                b, c, to = found
+                gain = size + int(sizes[mate[c]]) - int(sizes[b])
+                where[a], where[mate[c]], where[b], moved = to, to, victim, True
+                fill[victim] -= gain
+                fill[to] += gain
         if fill[victim] == 0:
             live -= 1
             stuck[:] = False
@@ -170,6 +180,20 @@ def _two(sizes: np.ndarray, where: np.ndarray, slack: np.ndarray, size: int) ->
     return int(item[i]), int(item[other[i]]), int(bin_[i])
 
 
+def _one(sizes: np.ndarray, where: np.ndarray, slack: np.ndarray, size: int, mates: np.ndarray) -> tuple[int, int, int] | None:
+    """A document that two of the emptied bin, one of them of `size`, can take the place of: it, the other's index in `mates`, its bin."""
+    order = np.argsort(mates, kind="stable")
+    line = mates[order]
+    item = np.flatnonzero(slack[where] > 0)
+    # The largest mate that still fits, if both together are more than the document.
+    at = np.searchsorted(line, sizes[item] + slack[where[item]] - size, "right") - 1
+    gain = np.where(at >= 0, size + line[np.maximum(at, 0)] - sizes[item], 0)
+    if not len(item) or gain.max() <= 0:
+        return None
+    i = int(gain.argmax())
+    return int(item[i]), int(order[at[i]]), int(where[item[i]])
+
+
 def pack(sizes: np.ndarray, capacity: int = LENGTH) -> np.ndarray:
     full = sizes == capacity
     out = np.empty(len(sizes), np.int64)
