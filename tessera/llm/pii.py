@@ -4,8 +4,8 @@ Exact patterns (the base) are always kept. Wider patterns propose more spans; re
 vote on every span, expectation-maximisation over the counts of vote patterns estimates each labeler's reliability,
 and a logistic regression trained on the estimates decides on what is no base span. Defined cases: a null or empty
 text has no spans; places are code points, ends exclusive; spans of one kind do not overlap (base first, then the
-leftmost), kinds may; texts without an @ or digit are passed over quickly; repeated rows are alike; an empty table gives an
-empty result; only the id and text columns are read.
+leftmost), kinds may; texts without an @ or digit are passed over quickly; very long texts are read whole; repeated
+rows are alike; an empty table gives an empty result; only the id and text columns are read, whatever else the table has.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, smallest
 
 KINDS = ("email", "ip", "card", "phone")
 #: Spans that the classifier is fitted on (smallest seeded hashes first).
@@ -185,7 +185,7 @@ def trained(found: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     spans = found.select(F.explode("_spans").alias("s")).select("s.*")
     patterns = spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).toPandas()  # 4 x 3 ** 5 rows at most
     truth = expectation_maximisation(patterns.sort_values(["kind", "votes"]))
-    rows = spans.orderBy(F.xxhash64(F.lit(11), "start", "end", "votes", "x")).limit(sample).select("kind", "votes", "x").collect()
+    rows = smallest(spans, F.xxhash64(F.lit(11), "start", "end", "votes", "x"), sample, "kind", "start", "votes", rows=int(patterns["n"].sum())).select("kind", "votes", "x").collect()
     if not rows:
         return np.zeros(SLOTS + 1)
     return fit(np.array([r["x"] for r in rows], float), np.array([truth[r["kind"], r["votes"]] for r in rows]))

@@ -1,10 +1,12 @@
 """Toxicity with noisy-channel deobfuscation.
 
-Disguised tokens (leetspeak, spaced or punctuated letters, repeated letters) become lattices of characters, decoded
-by Viterbi under a character trigram model of the whole corpus; the restored words are then scored. Defined cases:
-a null or empty text has no words and the score of a text without signs; equal texts have equal scores; a long text is
-read whole; repeated rows are scored alike; without labelled rows every score is 0; an empty table gives an empty
-result; only the id and text columns (and id and label of the labels) are read.
+Disguised tokens (leetspeak, letters spaced by blanks, line breaks or signs, repeated letters) become lattices of
+characters, decoded by Viterbi under a character trigram model of the whole corpus; the words of the restored text are
+then scored. Defined cases: a null or empty text has no words and the score of a text without signs; equal texts have
+equal scores; a very long text or token is read whole (runs of one character count as three); repeated rows are scored
+alike; of several labels of one document the highest counts; equal signs are ordered by name; without labelled rows
+every score is 0; an empty table gives an empty result; only the id and text columns (and id and label of the labels)
+are read, whatever else the tables have.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks
+from tessera.llm.common import chunks, smallest
 
 #: Labelled rows that are learned from (smallest seeded hashes first), and signs that are kept.
 SAMPLE, SIGNS = 12_000, 20_000
@@ -31,9 +33,12 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 FILLERS = set(".-_*~'`^:,/\\ ")
 LEET_COST, DROP_COST, REPEAT_COST, KEEP_COST = 0.7, 0.2, 0.4, 9.0
 LETTERS = re.compile(r"[^\W\d_]+")
-THRICE = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?!\S)")
+TWICE = re.compile(r"([^\W\d_])\1")
+RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S)+(?!\S)")
+#: What may stand around a token; of these some may be letters in disguise.
 EDGES = ".,;:!?\"'()[]{}<>#%&*$|-_~"
+PLAIN_EDGES = "".join(c for c in EDGES if c not in LEET)
 CACHED = 200_000
 
 
@@ -104,7 +109,28 @@ def restore(token: str, costs: np.ndarray) -> str:
 
 
 def disguised(token: str) -> bool:
-    return not token.isalpha() and sum(map(str.isalpha, token)) >= 2 or THRICE.search(token) is not None
+    """Letters among other characters, signs that stand for letters, or a letter that repeats the one before; not a number."""
+    if token.isalpha():
+        return TWICE.search(token) is not None
+    return any(c.isalpha() or c in LEET and not c.isdigit() for c in token) and sum(c.isalpha() or c in LEET for c in token) >= 2
+
+
+def spaced(text: str) -> Iterator[str]:
+    """Runs of one-character tokens as one token each; where some gaps are wider than others, also what stands between these."""
+    for run in SPACED.finditer(text):
+        letters = run[0].split()
+        if len(letters) >= 3:
+            yield "-".join(letters)
+            gaps = re.findall(r"\s+", run[0])
+            least = min(map(len, gaps))
+            if max(map(len, gaps)) > least:
+                part = [letters[0]]
+                for gap, letter in zip(gaps, letters[1:], strict=True):
+                    if len(gap) > least:
+                        yield "-".join(part)
+                        part = []
+                    part.append(letter)
+                yield "-".join(part)
 
 
 class Reader:
@@ -114,19 +140,20 @@ class Reader:
         self.costs, self.kept = costs, {}
 
     def words(self, token: str) -> tuple[str, ...]:
-        bare = token.strip(EDGES)
-        if not bare:
-            return ()
-        if len(bare) <= 40 and disguised(bare):
-            shown = LETTERS.findall(restore(bare, self.costs))
-            return tuple(dict.fromkeys([*shown, *LETTERS.findall(bare)]))
-        return tuple(LETTERS.findall(bare))
+        bare, wide = token.strip(EDGES), token.strip(PLAIN_EDGES)
+        found = LETTERS.findall(bare)
+        # A sign at the edge may be a letter; exclamation marks behind a word are none.
+        for shape in dict.fromkeys((bare, wide if wide.rstrip("!") != bare else bare)):
+            if shape and disguised(shape):
+                found = [*LETTERS.findall(restore(RUN.sub(r"\1\1\1", shape), self.costs)), *found]
+        return tuple(dict.fromkeys(found))
 
     def tokens(self, text: str | None) -> set[str]:
         low = (text or "").lower()
-        found = set(low.split())
-        if sum(len(t) == 1 for t in found) >= 3:  # letters that stand apart become one token
-            found.update(m[0].replace(" ", "-") for m in SPACED.finditer(low))
+        every = low.split()
+        found = set(every)
+        if sum(len(t) == 1 for t in found) and "111" in "".join("1" if len(t) == 1 else "0" for t in every):
+            found.update(spaced(low))  # letters that stand apart become one token
         return found
 
     def signs(self, token: str) -> list[str]:
@@ -143,24 +170,28 @@ class Reader:
             self.kept[token] = max((weights[s] for s in self.signs(token) if s in weights), default=0.0)
         return self.kept[token]
 
-    def features(self, text: str | None, weights: dict[str, float]) -> list[float]:
-        """The strongest sign, its square, the second, and how many there are."""
+    def found(self, text: str | None, weights: dict[str, float]) -> list[tuple[float, str]]:
+        """The tokens with a sign, strongest first."""
         found, kept = [], self.kept
         for t in self.tokens(text):
             x = kept.get(t)
             if x is None:
                 x = self.scored(t, weights)
             if x:
-                found.append(x)
-        found.sort(reverse=True)
-        top = found[0] if found else 0.0
-        return [top, top * top / 10, found[1] if len(found) > 1 else 0.0, math.log1p(len(found))]
+                found.append((x, t))
+        return sorted(found, reverse=True)
+
+
+def features(found: list[tuple[float, str]]) -> list[float]:
+    """The strongest sign, its square, the second, and how many there are."""
+    top = found[0][0] if found else 0.0
+    return [top, top * top / 10, found[1][0] if len(found) > 1 else 0.0, math.log1p(len(found))]
 
 
 def learn(docs: DataFrame, labels: DataFrame, costs: np.ndarray, held_out, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], np.ndarray]:
     """Sign weights (smoothed log odds) and a logistic regression over a text's four features, from labelled rows not held out."""
     few = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    few = few.dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(sample)
+    few = smallest(few.groupBy("doc_id").agg(F.max("label").alias("label")), F.xxhash64(F.lit(7), "doc_id"), sample, "doc_id")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(few), "doc_id").select("text", "label")  # `sample` rows at most
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,12 +210,12 @@ def learn(docs: DataFrame, labels: DataFrame, costs: np.ndarray, held_out, sampl
     best = per.where("n1 >= 3").withColumn("w", weight).where("w > 2").orderBy(F.desc(F.col("w") * F.log1p("n1")), "sign").limit(SIGNS)
     weights = {r["sign"]: r["w"] for r in best.collect()}
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(costs)
         for batch in batches:
-            yield pd.DataFrame([[*reader.features(t, weights), y] for t, y in zip(batch["text"], batch["label"], strict=True)], columns=["a", "b", "c", "d", "y"])
+            yield pd.DataFrame([[*features(reader.found(t, weights)), y] for t, y in zip(batch["text"], batch["label"], strict=True)], columns=["a", "b", "c", "d", "y"])
 
-    table = rows.mapInPandas(features, "a double, b double, c double, d double, y int").toPandas().sort_values(["a", "b", "c", "d", "y"])  # `sample` rows at most
+    table = rows.mapInPandas(rows_of, "a double, b double, c double, d double, y int").toPandas().sort_values(["a", "b", "c", "d", "y"])  # `sample` rows at most
     x, y = np.hstack([table[["a", "b", "c", "d"]].to_numpy(), np.ones((len(table), 1))]), (table["y"] > 0).to_numpy(float)
     model = np.zeros(FEATURES + 1)
     for _ in range(40):  # Newton steps of a ridge logistic regression, each row counting the same
@@ -199,17 +230,18 @@ def held_out_fifth(doc_id):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted and the restored disguises of a text, a row for each document."""
+    """doc_id, held_out, score, predicted, and the signs found in the restored text (strongest first), a row for each document."""
     costs = char_model(char_counts(docs, text_col))
     weights, model = learn(docs, labels, costs, held_out_fifth, sample, id_col, text_col, label_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(costs)
         for batch in batches:
-            x = np.array([[*reader.features(t, weights), 1.0] for t in batch["text"]]).reshape(-1, FEATURES + 1)
+            found = [reader.found(t, weights) for t in batch["text"]]
+            x = np.array([[*features(f), 1.0] for f in found]).reshape(-1, FEATURES + 1)
             score = 1 / (1 + np.exp(-np.clip(x @ model, -30, 30))) if weights else np.zeros(len(x))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score, "predicted": (score >= 0.5).astype("int32")})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score, "predicted": (score >= 0.5).astype("int32"), "signs": [" ".join(t for _, t in f) for f in found]})
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(held_out_fifth(F.col(f"`{id_col}`")), F.lit(False)).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int, signs string")
