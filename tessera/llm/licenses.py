@@ -1,8 +1,11 @@
 """License scans: Aho-Corasick over notice phrases and identifier tags, and a shunting-yard parser for expressions.
 
-Defined cases: a null or empty text has no words, no places and score 0; a tag whose expression does not parse adds
-no label; very long texts are read whole, in one pass; repeated rows are scanned alike; an empty table gives an
-empty result; only the id and text columns are read.
+One automaton finds phrases and tags among a text's words. Behind a tag the longest valid expression is parsed: its
+identifiers are labels, and the expression itself, in a normal form that keeps `and` and `or` apart, is a result too.
+Defined cases: a null or empty text has no words, no places and score 0; a tag without a valid expression adds no
+label; what follows an expression is passed over; very long texts are read whole, in one pass; several phrases at one
+place all count; repeated rows are scanned alike; an empty table gives an empty result; only the id and text columns
+are read, whatever else the table has.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ NOTICES = (
     ("gnu general public license version 2", "gpl-2"), ("gnu general public license version 3", "gpl-3"), ("gnu lesser general public license", "lgpl"),
     ("gnu affero general public license", "agpl"), ("mozilla public license", "mpl"), ("bsd 2 clause", "bsd-2-clause"), ("bsd 3 clause", "bsd-3-clause"),
     ("cc by sa", "cc-by-sa"), ("cc by nd", "cc-by-nd"), ("cc0 1 0", "cc0"), ("creative commons attribution", "cc-by"), ("all rights reserved", "all-rights-reserved"),
+    ("gnu free documentation license", "gfdl"), ("artistic license", "artistic"), ("european union public licence", "eupl"), ("common development and distribution license", "cddl"), ("sil open font license", "ofl"), ("do what the fuck you want to public license", "wtfpl"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"), ("creative commons zero", "cc0"), ("released under the bsd license", "bsd"), ("licensed under the apache license", "apache"), ("all rights are reserved", "all-rights-reserved"),
     ("permission is hereby granted free of charge", "mit"), ("redistribution and use in source and binary forms", "bsd"), ("isc license", "isc"), ("eclipse public license", "epl"), ("boost software license", "bsl-1"),
 )
 TAG = "spdx license identifier"
@@ -28,9 +33,11 @@ TAG = "spdx license identifier"
 SURE = {"base": 0.9, "notice": 0.8, "tag": 0.95}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-TAGGED = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\n\r]*)")
-TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*|\S")
+BETWEEN = re.compile(r"[\s:=\"']*")
+TOKEN = re.compile(r"\s*([()]|[a-z0-9][a-z0-9.+-]*)")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
+#: Identifiers without a digit or hyphen; a word of prose behind a tag is none.
+BARE = {"mit", "isc", "zlib", "curl", "unlicense", "wtfpl", "artistic", "beerware", "vim", "openssl", "postgresql", "python", "ruby", "ncsa", "ntp", "icu", "gfdl"}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -48,82 +55,111 @@ def label_of(identifier: str) -> str:
     return re.sub(r"^(apache|gpl|lgpl|agpl|mpl|epl|bsl)-(\d+)\.\d+$", r"\1-\2", bare)
 
 
-def evaluate(expression: str) -> set[str] | None:
-    """The labels of a licence expression, or None if it does not parse; an exception after WITH is no label."""
-    output: list[set[str]] = []
+def valid_prefix(text: str, at: int) -> list[str]:
+    """The tokens of the longest valid expression that begins at a place of a text."""
+    tokens: list[str] = []
+    valid, depth, operand = 0, 0, True
+    while found := TOKEN.match(text, at):
+        token, at = found[1], found.end()
+        bare = token.rstrip(".-")
+        if token in PRECEDENCE:
+            if operand:
+                break
+            operand = True
+        elif token == "(":
+            if not operand:
+                break
+            depth += 1
+        elif token == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        elif operand and (bare in BARE or re.search("[0-9-]", bare)):
+            operand = False
+        else:
+            break
+        tokens.append(token if token in "()" else bare)
+        if not operand and not depth:
+            valid = len(tokens)
+        if bare != token and token not in "()":  # the end of a sentence
+            break
+    return tokens[:valid]
+
+
+def evaluate(tokens: list[str]) -> tuple[set[str], str]:
+    """The labels of a valid expression and its normal form: a shunting yard on two stacks.
+
+    Operands of `or` are alternatives and those of `and` all apply: both are put in order, and an `or` within an `and`
+    keeps its brackets. An exception after `with` stays with its licence and is no label.
+    """
+    output: list[tuple[str, set[str], set[str]]] = []  # operator, operands in normal form, labels
     waiting: list[str] = []
 
-    def apply() -> bool:
-        op = waiting.pop()
-        if op == "(" or len(output) < 2:
-            return False
-        right, left = output.pop(), output.pop()
-        output.append(left if op == "with" else left | right)
-        return True
+    def text(op: str, operands: set[str]) -> str:
+        return f" {op} ".join(sorted(operands))
 
-    operand = True
-    for token in TOKEN.findall(expression):
+    def apply() -> None:
+        op, right, left = waiting.pop(), output.pop(), output.pop()
+        if op == "with":
+            output.append(("", {f"{text(*left[:2])} with {text(*right[:2])}"}, left[2]))
+            return
+        sides = [x[1] if x[0] in ("", op) else {f"({text(*x[:2])})" if op == "and" else text(*x[:2])} for x in (left, right)]
+        output.append((op, sides[0] | sides[1], left[2] | right[2]))
+
+    for token in tokens:
         if token in PRECEDENCE:
-            if operand:
-                return None
             while waiting and waiting[-1] != "(" and PRECEDENCE[waiting[-1]] >= PRECEDENCE[token]:
-                if not apply():
-                    return None
+                apply()
             waiting.append(token)
-            operand = True
         elif token == "(":
-            if not operand:
-                return None
             waiting.append(token)
         elif token == ")":
-            if operand:
-                return None
-            while waiting and waiting[-1] != "(":
-                if not apply():
-                    return None
-            if not waiting:
-                return None
+            while waiting[-1] != "(":
+                apply()
             waiting.pop()
-        elif operand and token[0].isalnum():
-            output.append({label_of(token)})
-            operand = False
-        elif token in ("*", "/", "-", "#", '"', "'", "<", ">"):  # the end of a comment
-            break
         else:
-            return None
+            output.append(("", {label_of(token)}, {label_of(token)}))
     while waiting:
-        if not apply():
-            return None
-    return output[0] if len(output) == 1 and not operand else None
+        apply()
+    op, operands, labels = output[0]
+    return labels, text(op, operands)
 
 
 def scan(text: str | None, places: ahocorasick.Automaton) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label:first word, comma-joined)."""
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label:first word, comma-joined), expressions (semicolons between)."""
     low = (text or "").translate(LOWER)
     words = WORD.findall(low)
     line = f" {' '.join(words)} "
-    base, labels, starts, doubt, spans, seen, at = set(), set(), [], 1.0, [], 0, 0
+    base, labels, starts, doubt, spans, tags, seen, at = set(), set(), [], 1.0, [], [], 0, 0
     for end, (length, sort, label) in places.iter(line):
         start = end - length
         at, seen = at + line.count(" ", seen, start) if start >= seen else at - line.count(" ", start, seen), start
+        if sort == "tag":
+            tags.append(at)
+            continue
         if sort == "base":
             base.add(label)
             starts.append(at)
-        if sort != "tag":
-            labels.add(label)
-            doubt *= 1 - SURE[sort]
-            spans.append(f"{label}:{at}")
-    for tag in TAGGED.finditer(low) if TAG.replace(" ", "-") in low else ():
-        more = evaluate(tag[1])
-        if more:
-            labels |= more
-            doubt *= 1 - SURE["tag"]
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - doubt, ",".join(spans)
+        labels.add(label)
+        doubt *= 1 - SURE[sort]
+        spans.append(f"{label}:{at}")
+    expressions = []
+    if tags:  # from the number of a tag's last word to its place in the text
+        ends = [m.end() for m in WORD.finditer(low)]
+        for tag in tags:
+            tokens = valid_prefix(low, BETWEEN.match(low, ends[tag + TAG.count(" ")]).end())
+            if tokens:
+                more, form = evaluate(tokens)
+                labels |= more
+                doubt *= 1 - SURE["tag"]
+                spans.append(f"tag:{tag}")
+                expressions.append(form)
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - doubt, ",".join(spans), ";".join(expressions)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document; one scan, no shuffle."""
-    columns = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+    columns = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans", "expressions")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places = automaton()
@@ -133,4 +169,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
+    return rows.mapInPandas(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string, expressions string")

@@ -381,18 +381,67 @@ def test_passages_in_lots(spark, monkeypatch):
     assert sorted((tuple(x)[:5] for x in passages.without_repeats(df).collect()), key=str) == kept_bytes(rows)
 
 
-@pytest.mark.parametrize("expression, labels", [("mit", {"mit"}), ("(mit or apache-2.0) and gpl-3.0-only", {"mit", "apache-2", "gpl-3"}), ("gpl-2.0-or-later with classpath-exception-2.0", {"gpl-2"}), ("mit or", None), ("(mit", None), ("mit)", None), ("and mit", None), ("mit mit", None), ("", None), ("mit */", {"mit"})])
-def test_expressions(expression, labels):
-    assert licenses.evaluate(expression) == labels
+@pytest.mark.parametrize(
+    "expression, form",
+    [
+        ("mit", "mit"), ("(mit or apache-2.0) and gpl-3.0-only", "(apache-2 or mit) and gpl-3"), ("gpl-2.0-or-later with classpath-exception-2.0", "gpl-2 with classpath-exception-2.0"), ("mit or gpl-3.0", "gpl-3 or mit"), ("mit and gpl-3.0", "gpl-3 and mit"),
+        ("mit or isc and zlib", "isc and zlib or mit"), ("isc or (mit or zlib)", "isc or mit or zlib"), ("mit or", "mit"), ("(mit", None), ("mit)", "mit"), ("and mit", None), ("mit mit", "mit"), ("", None), ("mit */", "mit"), ("mit. copyright 2020", "mit"), ("mit, see license", "mit"), ("mit copyright 2020", "mit"), ("mit and then", "mit"), ("of this file", None),
+    ],
+)
+def test_expressions(expression, form):
+    tokens = licenses.valid_prefix(expression, 0)
+    assert (licenses.evaluate(tokens)[1] if tokens else None) == form
+
+
+def test_expressions_brute_force():
+    """Random expressions mean the same as their normal form, for every choice of licences that are held."""
+    r, names = random.Random(4), ["mit", "isc", "zlib", "gpl-3"]
+
+    def some(depth):
+        if not depth or r.random() < 0.3:
+            return r.choice(names)
+        op = r.choice([" or ", " and "])
+        return "(" + op.join(some(depth - 1) for _ in range(r.randint(2, 3))) + ")"
+
+    def holds(text, held):
+        return eval(re.sub(r"[a-z][a-z0-9-]*", lambda m: m[0] if m[0] in ("and", "or") else str(m[0] in held), text))  # noqa: S307
+
+    for _ in range(200):
+        text = some(3)
+        labels, form = licenses.evaluate(licenses.valid_prefix(text, 0))
+        assert labels == {n for n in names if n in text}
+        for k in range(16):
+            held = {n for i, n in enumerate(names) if k >> i & 1}
+            assert holds(text, held) == holds(form, held)
+
+
+def test_license_places_brute_force():
+    """Places, counts and labels against a comparison at every word of random texts."""
+    r, find = random.Random(12), licenses.automaton()
+    phrases = [(p.split(), label) for p, label in licenses.BASE]
+    more = [(p.split(), label) for p, label in licenses.NOTICES]
+    vocabulary = ["under", "the", "MIT", "License", "apache", "version", "2", "cc", "by", "nc", "sa", "x", "gnu", "general", "public"]
+    for _ in range(400):
+        words = []
+        for _ in range(r.randint(0, 25)):
+            words += r.choice([*[[w] for w in vocabulary], *[p for p, _ in phrases], *[p for p, _ in more[:4]]])
+        text = "".join(r.choice(["", " ", "-", "\n. "]) * (i > 0) + (" " if i else "") + w for i, w in enumerate(words))
+        low = [w.lower() for w in words]
+        at = [(i, label) for p, label in phrases for i in range(len(low)) if low[i : i + len(p)] == p]
+        extra = {label for p, label in more if any(low[i : i + len(p)] == p for i in range(len(low)))}
+        got = licenses.scan(text, find)
+        assert got[:4] == (len(low), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
+        assert got[4] == ",".join(sorted({x for _, x in at})) and got[5] == ",".join(sorted({x for _, x in at} | extra))
 
 
 def test_licenses(spark, docs, none):
-    rows = [(1, "Released UNDER the MIT-license. under the mit license"), (2, "CC BY-NC 4.0 cc by nc"), (3, None), (4, "// SPDX-License-Identifier: MIT OR Apache-2.0\n"), (5, "apache license, version 2.0"), (6, "apache license version 20"), (7, "é under the mit licensé")]
+    rows = [(1, "Released UNDER the MIT-license. under the mit license"), (2, "CC BY-NC 4.0 cc by nc"), (3, None), (4, "// SPDX-License-Identifier: MIT OR Apache-2.0\n"), (5, "apache license, version 2.0"), (6, "apache license version 20"), (7, "é under the mit licensé"), (8, "x SPDX License Identifier = (MIT AND GPL-2.0-only), see file. spdx-license-identifier: none"), (9, "SPDX-License-Identifier: MIT. " + "word " * 50_000 + "under the mit license")]
     got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert [got[1][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")] == [9, 2, 1, 5, "mit"]
     assert [got[2][c] for c in ("n_base", "first_word", "last_word", "labels")] == [2, 0, 5, "cc-by-nc"]
     assert [got[3][c] for c in ("n_words", "n_base", "first_word", "labels", "score")] == [0, 0, None, "", 0.0]
-    assert got[4]["labels"] == "apache-2,mit" and got[4]["n_base"] == 0 and got[5]["base_labels"] == "apache-2" and got[6]["n_base"] == 0 and got[7]["n_base"] == 0
+    assert got[4]["labels"] == "apache-2,mit" and got[4]["expressions"] == "apache-2 or mit" and got[4]["n_base"] == 0 and got[5]["base_labels"] == "apache-2" and got[6]["n_base"] == 0 and got[7]["n_base"] == 0
+    assert got[8]["expressions"] == "gpl-2 and mit" and got[8]["labels"] == "gpl-2,mit" and got[9]["labels"] == "mit" and got[9]["last_word"] == 50_004
     assert licenses.license_scan(docs).count() == len(corpus()) and licenses.license_scan(none).count() == 0
 
 
