@@ -31,6 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def whole_rows(df: DataFrame, *more: Column) -> DataFrame:
+    """The rows as one column, `doc`, beside others: so no name of theirs clashes with what they are joined to."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), *more)
+
+
 def numbered(df: DataFrame, *order) -> DataFrame:
     """The rows with `number`, from 0 in the given order: counted by ranges, so that no task sorts them all."""
     ranged = cut(df.repartitionByRange(parts(df), *order).withColumn("_range", F.spark_partition_id()))

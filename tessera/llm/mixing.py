@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, cut, numbered, words
+from tessera.llm.common import chunks, cut, numbered, whole_rows, words
 
 #: Words of a block, words of a shard (a sum over documents in one shard stays in one task), and the most passes over a source.
 BLOCK, SHARD, MOST = 64, 400_000, 3
@@ -158,22 +158,24 @@ def copies(mixed: DataFrame, seed: int = 7, shard_words: int = SHARD) -> DataFra
 def repeated(docs: DataFrame, seed: int = 7, shard_words: int = SHARD, **options) -> DataFrame:
     """The documents as the mix takes them: each as many times as its taken words make whole documents (see `copies`), up to the most.
 
-    Copies are joined back by id, text hash and source; repeated rows of one document share what they take evenly.
+    Copies are joined back by id, text hash and source; repeated rows of one document share what they take evenly, the
+    first by content taking what is left over. Documents without a word are not taken; further columns stay as they
+    are, whatever their names; an empty table stays empty.
     """
     each = copies(cut(mix_sources(docs, seed=seed, shard_words=shard_words, **options)), seed, shard_words)
     taken = cut(each.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("source").alias("_s")).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows")).where("_n > 0"))
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = whole_rows(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
 
     def joined(of: DataFrame) -> DataFrame:
-        return keyed.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")) & F.col("source").eqNullSafe(F.col("_s")))
+        return keyed.join(of, F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")) & F.col("doc.source").eqNullSafe(F.col("_s")))
 
     def laid(rows: DataFrame) -> DataFrame:
-        return rows.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+        return rows.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("doc.*")
 
     out = laid(joined(taken.where("_rows = 1")))
     several = taken.where("_rows > 1")
     if several.isEmpty():
         return out
-    place = Window.partitionBy("_id", "_th", "_s").orderBy(F.lit(0))
+    place = Window.partitionBy("_id", "_th", "_s").orderBy(F.xxhash64(F.to_json("doc")))
     rows = joined(several).withColumn("_k", F.row_number().over(place))
     return out.unionByName(laid(rows.withColumn("_n", F.floor(F.col("_n") / F.col("_rows")) + F.when(F.col("_k") <= F.col("_n") % F.col("_rows"), 1).otherwise(0))))

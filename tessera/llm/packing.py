@@ -117,6 +117,8 @@ def local_search(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndar
         victim = int(np.flatnonzero(free)[fill[free].argmin()])
         moved = False
         for a in np.flatnonzero(where == victim)[np.argsort(-sizes[where == victim], kind="stable")]:
+            if where[a] != victim:  # it has gone with another
+                continue
             size, slack = int(sizes[a]), capacity - fill
             slack[(fill < fill[victim]) | (fill == 0)] = -1  # only to bins at least as full
             slack[victim] = -1
@@ -145,7 +147,7 @@ def local_search(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndar
                 fill[to] += gain
                 continue
             mate = np.flatnonzero((where == victim) & (np.arange(len(where)) != a))
-            found = _one(sizes, where, slack, size, sizes[mate]) if where[a] == victim and len(mate) else None
+            found = _one(sizes, where, slack, size, sizes[mate]) if len(mate) else None
             if found is not None:
                 b, c, to = found
                 gain = size + int(sizes[mate[c]]) - int(sizes[b])

@@ -1,9 +1,10 @@
 """Quality rules: repetition counts per document, and lines that too many documents of one host share.
 
 Expressions and joins only. Defined cases: a null or empty text has no words and fails; a null host is a host of its
-own; a repeated row counts as another document of its host, and equal rows are judged alike; ties on the first
-document of a line go to the smallest id (null last); an empty table gives an empty result; only the id, text and
-host columns are read.
+own; a line is counted once for each id, however often that id's rows or lines repeat (null is one id), against the
+rows of its host, and equal rows are judged alike; ties on the first document of a line go to the smallest id (null
+last); very long texts are judged whole; an empty table gives an empty result; only the id, text and host columns are
+read, whatever else the table has.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, whole_rows
 
 SPACES = " \t\n\u000b\u000c\r"
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -88,7 +89,8 @@ def crowded_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, li
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{host_col}`").alias("host"), plain_lines(F.col(f"`{text_col}`")).alias("ls"))
     once = rows.select("id", "host", F.explode_outer(F.array_distinct("ls")).alias("x")).where("x is not null").select("id", "host", line_key(F.col("x")).alias("k")).select("id", "host", "k.a", "k.b")
-    counts = once.groupBy("host", "a", "b").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    # Each id once: Spark first deals by line and id, so that a line of very many documents is no hot task.
+    counts = once.groupBy("host", "a", "b").agg(F.count_distinct(F.struct("id")).alias("n"), F.min("id").alias("first"))
     hosts = docs.groupBy(F.col(f"`{host_col}`").alias("_h")).agg(F.count("*").alias("docs"))
     few = counts.where(F.col("n") > limits.line_documents)
     crowded = few.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).where(F.col("n") > limits.line_share * F.col("docs"))
@@ -115,12 +117,19 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def clean_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The kept documents with their columns, without the lines above the limits (n_chars follows the text)."""
-    columns = docs.columns
+    """The kept documents with their columns, without the lines above the limits (n_chars follows the text).
+
+    Null and empty texts are rejected; of repeated rows all stay or none; further columns stay as they are, whatever
+    their names; an empty table stays empty.
+    """
     # Written first: a filter pushed below the counts would write their expressions out many times over.
     verdict = cut(quality(docs, limits=limits)).where("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("host").alias("_host"), "removed_lines").dropDuplicates(["_id", "_th", "_host"])
-    docs = docs.withColumn("_h", F.xxhash64("text"))
-    both = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")) & F.col("source").eqNullSafe(F.col("_host")))
-    shorter = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("removed_lines"), line_key(normal(x)))), "\n")
-    both = both.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(shorter))
-    return both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
+    rows = whole_rows(docs, F.xxhash64("text").alias("_h"))
+    both = rows.join(verdict, F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")) & F.col("doc.source").eqNullSafe(F.col("_host")))
+    text = F.col("doc.text")
+    shorter = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("removed_lines"), line_key(normal(x)))), "\n")
+    both = both.withColumn("left", F.when(F.col("removed_lines").isNull(), text).otherwise(shorter))
+    changed = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    return both.select(*[changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -174,6 +174,12 @@ def test_local_search_improves():
         end = packing.local_search(sizes, start, 100)
         fill = np.bincount(end, sizes)
         assert fill.max() <= 100 and len(fill) <= len(np.unique(start)) and (fill**2).sum() >= (np.bincount(start, sizes) ** 2).sum() - 1e-9
+    for _ in range(200):  # from any start, with few and small documents, so that every kind of exchange is made
+        sizes = r.integers(1, 13, int(r.integers(3, 40)))
+        start = packing.pack(sizes, 12)
+        where = np.arange(len(sizes)) if r.random() < 0.5 else start
+        fill = np.bincount(packing.local_search(sizes, where, 12), sizes)
+        assert fill.max() <= 12 and fill.sum() == sizes.sum()
     # Best fit leaves four bins here, an exchange gets three.
     sizes = np.array([6, 5, 5, 5, 4, 3, 2])
     assert packing.local_search(sizes, np.array([0, 1, 2, 1, 0, 3, 3]), 10).max() == 2
