@@ -1,12 +1,15 @@
 """The training-data pipeline: quality rules, near duplicates, personal data, source mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of documents; further
+columns stay too, whatever their names. Null, empty and wordless texts are rejected by the first stage; where a later
+one meets them, they are linked with nothing, hold no personal data, are not taken by the mix, and are packed as the
+single end id. Texts of any length are taken whole; ties and repeated rows have results of their own in each
+operator's docstring; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import mixing, packing, pii, quality, similarity
 from tessera.llm.common import cut
