@@ -31,6 +31,7 @@ BOARD_URLS = (
     ("bamboohr", "([a-z0-9-]+\\.bamboohr\\.com)"),
 )
 NO_BOARDS = ("embed", "jobs", "v1", "api", "careers", "www", "app", "apply", "widget", "job_board")
+# The names by which a language is asked for.
 LANGUAGES = {
     "en": ["English"], "fr": ["French"], "de": ["German"], "nl": ["Dutch", "Flemish"], "it": ["Italian"], "es": ["Spanish", "Castilian"],
     "pt": ["Portuguese"], "pl": ["Polish"], "cs": ["Czech"], "sk": ["Slovak"], "hr": ["Croatian"], "sr": ["Serbian"], "sl": ["Slovenian", "Slovene"],
@@ -39,6 +40,23 @@ LANGUAGES = {
     "ca": ["Catalan"], "he": ["Hebrew"], "ar": ["Arabic"], "ja": ["Japanese"], "ko": ["Korean"], "zh": ["Chinese", "Mandarin", "Cantonese"], "hi": ["Hindi"],
 }
 
+# What makes a language a requirement, what softens it, and which nouns make a name no language.
+CUES = (
+    r"fluen(?:t|cy)|proficien(?:t|cy)|(?<!AI[- ])(?<!cloud[- ])(?<!digital[- ])\bnative\b|bilingual|mother tongue|\bC[12]\b"
+    r"|(?:business|professional|working)[- ]level|written and (?:spoken|verbal)|(?:spoken|verbal) and written|\bspeakers?\b|\bspeak\b|required|requirement"
+    r"|\bmust\b|mandatory|essential|non\\?-negotiable|command of|(?:knowledge of|skills in) (?-i:[A-Z])"
+)
+SOFTENERS = (
+    r"\bplus\b|bonus|nice[- ]to[- ]have|advantage|preferred|preferably|desirable|desired|\basset\b|beneficial|ideally|appreciated|welcome|\bhelps?\b|helpful|optional"
+    r"|n[o\u2019']t (?:be )?(?:required|necessary|needed|mandatory|essential|expected|a must|something)"
+)
+NOUNS = r"markets?|sector|industry|customers?|clients?|users?|region|law|regulations?|legislation|compan(?:y|ies)|teams?|office|government|authorit(?:y|ies)|entity|subsidiary"
+#: How many characters a cue may be away from a language's name.
+NEAR = 40
+# Markdown escapes, noise in front of and behind a sentence, bullets, numbers, and where a sentence ends.
+ESCAPED, LEAD, TRAIL = r"\\([-_*.\[\]()#+!`&|~<>])", "^[\\s*_>#•·‣◦-]+", "[\\s*_#]+$"
+PREFIX, NUMBER, STOP = "^[•·*‣◦\\-]\\s*", "^\\d+[.)]\\s+", "(?<=[.!?])\\s+"
+
 
 def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -51,10 +69,44 @@ def strip(c: Column) -> Column:
 
 def clean_sentence(c: Column | str) -> Column:
     """Markdown escapes undone; bold marks, leading bullets and headings, trailing emphasis gone."""
-    t = F.regexp_replace(text(c), r"\\([-_*.\[\]()#+!`&|~<>])", "$1")
+    t = F.regexp_replace(text(c), ESCAPED, "$1")
     t = F.replace(F.replace(t, F.lit("**"), F.lit("")), F.lit("__"), F.lit(""))
-    t = F.regexp_replace(t, "^[\\s*_>#•·‣◦-]+", "")
-    return strip(F.regexp_replace(t, "[\\s*_#]+$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(t, LEAD, ""), TRAIL, ""))
+
+
+def sentences(c: Column | str) -> Column:
+    """An array of a text's sentences of at least five characters.
+
+    A line that starts with , ; : or ) goes on with the one above: the break before it, and the noise around the break,
+    go in one replacement (both patterns move forward only). Lines are then cut at stops, and what is left is cleaned.
+    """
+    lines = F.regexp_replace(text(c), "\n\\s*+", "\n")
+    lines = F.regexp_replace(lines, "(?<![\\s*_#])[\\s*_#]*+(?<=\n)(?=[,;:)])", "")
+    parts = F.flatten(F.transform(F.split(lines, "\n"), lambda x: F.split(clean_sentence(x), STOP)))
+    bare = F.transform(parts, lambda x: clean_sentence(F.regexp_replace(F.regexp_replace(strip(x), PREFIX, ""), NUMBER, "")))
+    return F.filter(bare, lambda x: F.length(x) >= 5)
+
+
+def requirement(title: Column | str, body: Column | str, readable: list[str]) -> Column:
+    """The first sentence that asks for a language outside the readable ones (codes or names), or ''; a title that asks for speakers is one.
+
+    A cue and a name close to each other are one pattern in either order; texts that name no other language are not
+    parted at all.
+    """
+    code_of = {n.lower(): c for c, names in LANGUAGES.items() for n in (c, *names)}
+    known = {code_of[k] for r in readable for k in (r.strip().lower(), r.strip().lower().split("-")[0]) if k in code_of}
+    if not known:
+        return F.lit("")
+    own = "|".join(n for c in sorted(known) for n in LANGUAGES[c])
+    other = "|".join(n for c, names in LANGUAGES.items() if c not in known for n in names)
+    asked = f"\\b(?:{other})\\b(?!(?: [\\w-]+){{0,2}} (?:{NOUNS})\\b)"
+    between = f".{{0,{NEAR - 1}}}"
+    near = f"(?sU){asked}{between}(?i:{CUES})|(?i:{CUES}){between}{asked}|(?i:knowledge of|skills in) {asked}"
+    excused = f"(?U)(?i:{SOFTENERS})|\\b(?:{own})\\b,? (?:and/)?or\\b|\\bor (?:{own})\\b|\\beither\\b"
+    both = F.concat(text(title), F.lit("\n"), text(body))
+    found = F.filter(F.split(both, "[.;\n]+"), lambda x: x.rlike(near) & ~x.rlike(excused))
+    said = F.when(text(title).rlike(f"(?U)\\b(?:{other})\\\\?[- ][Ss]peak(?:ing|er)\\b"), strip(text(title))).otherwise(F.coalesce(strip(F.get(found, F.lit(0))), F.lit("")))
+    return F.when(both.rlike(f"(?U)\\b(?:{other})\\b"), said).otherwise(F.lit(""))
 
 
 def tokens(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.graph import cut
+from tessera.operators.graph import numbered
 
 #: Days until a miss is looked up again, and the vendors that are tried, in order.
 RETRY_DAYS = 30
@@ -93,17 +93,7 @@ def to_share(local: DataFrame, shared: DataFrame, sent: DataFrame) -> DataFrame:
     """
     ok = local.where("confirmed").where(T.valid_board(F.col("vendor"), F.col("slug")))
     df = ok.join(shared.select("company_key"), "company_key", "left_anti").join(sent.select("company_key"), "company_key", "left_anti")
-    return numbered(df, "company_key").withColumn("batch_n", F.floor(F.col("n") / BATCH)).drop("n")
-
-
-def numbered(df: DataFrame, key: str, groups: int = 64) -> DataFrame:
-    """df with n, its place from 0 in ascending order of the key: rows are numbered within ranges, and ranges start
-    where those before them end (one small row of each range)."""
-    ranged = cut(df.repartitionByRange(groups, key).withColumn("_p", F.spark_partition_id()))  # written: ranges are sampled anew each time
-    per = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    start = per.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_p").alias("_q"), "_s")
-    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
-    return within.join(F.broadcast(start), F.col("_p") == F.col("_q")).withColumn("n", F.col("_s") + F.col("_n")).drop("_p", "_q", "_s", "_n", "_c")
+    return numbered(df, "n", F.col("company_key")).withColumn("batch_n", F.floor((F.col("n") - 1) / BATCH)).drop("n")
 
 
 def contributions(offered: DataFrame, filled: DataFrame) -> DataFrame:

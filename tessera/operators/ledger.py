@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.graph import numbered
 
 JUDGED = ("title", "company", "status", "stage_reached", "reasoning", "run_id")
 KEPT = ("user_action", "reason", "decided_at", "review_status")
@@ -20,13 +21,15 @@ def unseen(postings: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def upserted(ledger: DataFrame, results: DataFrame) -> DataFrame:
-    """The snapshot with a run's results: a row for each URL and each duplicate URL, the last write of a hash wins.
+    """The snapshot with a run's results: a row for each URL and each duplicate URL, the last write of a hash wins
+    (by ord, and of one ord the greatest row).
 
     Judgments are overwritten, source keeps its old value where the new one is null, decisions stay untouched.
     """
     rows = results.select("*", F.explode(F.array_union(F.array("job_url"), F.coalesce("duplicate_job_urls", F.array().cast("array<string>")))).alias("url"))
     rows = rows.withColumn("job_url_hash", T.url_hash("url"))
-    last = rows.groupBy("job_url_hash").agg(F.max_by(F.struct(F.col("url").alias("job_url"), *JUDGED, "source", "last_seen_at"), "ord").alias("x")).select(F.col("job_url_hash").alias("_h"), "x")
+    row = F.struct(F.col("url").alias("job_url"), *JUDGED, "source", "last_seen_at")
+    last = rows.groupBy("job_url_hash").agg(F.max_by(row, F.struct(F.col("ord"), row)).alias("x")).select(F.col("job_url_hash").alias("_h"), "x")
     both = ledger.join(last, F.col("job_url_hash") == F.col("_h"), "full")
     new = F.col("x").isNotNull()
     over = [F.when(new, F.col(f"x.{c}")).otherwise(F.col(c)).alias(c) for c in ("job_url", *JUDGED, "last_seen_at")]
@@ -182,13 +185,13 @@ def result_listing(ledger: DataFrame, status: str | None = None) -> DataFrame:
     order = [rank, F.desc("last_seen_at"), F.col("job_url_hash")]
     by = Window.partitionBy("run_id", "title", "company", "reasoning")
     first = rows.withColumn("repost_count", F.count("*").over(by)).withColumn("_k", F.row_number().over(by.orderBy(*order))).where("_k = 1").drop("_k")
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)))
+    return numbered(first, "place", *order, within=("run_id",))
 
 
 def page(listing: DataFrame, number: int, size: int = 10) -> DataFrame:
     """One page of each run's listing, with total and total_pages; the number is clamped."""
-    total = F.count("*").over(Window.partitionBy("run_id"))
-    df = listing.withColumn("total", total).withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)))
+    total = listing.groupBy(F.col("run_id").alias("_r")).agg(F.count("*").alias("total"))
+    df = listing.join(total, F.col("run_id").eqNullSafe(F.col("_r"))).drop("_r").withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)))
     at = F.least(F.greatest(F.lit(number), F.lit(1)), F.col("total_pages"))
     return df.withColumn("page", at).where((F.col("place") > (F.col("page") - 1) * size) & (F.col("place") <= F.col("page") * size))
 
@@ -202,7 +205,7 @@ def kept_runs(runs: DataFrame, most: int = 4) -> DataFrame:
 def normal_runs(runs: DataFrame) -> DataFrame:
     """Run records with what old ones lack filled in, and their place, newest first, within a profile."""
     filled = runs.withColumn("stages", F.coalesce("stages", F.array(F.lit("stage1"), F.lit("stage2")))).withColumn("stage0_passed", F.coalesce("stage0_passed", "total")).withColumn("stopped_after", F.coalesce("stopped_after", F.try_element_at("stages", F.lit(-1))))
-    return filled.withColumn("place", F.row_number().over(Window.partitionBy("profile_id").orderBy(F.desc("started_at"), "run_id")))
+    return numbered(filled, "place", F.desc("started_at"), F.col("run_id"), within=("profile_id",))
 
 
 def stage1_listing(ledger: DataFrame, passed: bool) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectorized as V
 from tessera.operators import linkage
-from tessera.operators.graph import cut
+from tessera.operators.graph import cut, numbered
 
 RULES = ("language", "no_tier1_hit", "exclude_keyword", "language_requirement", "no_remote_keyword", "duplicate_content", "already_seen")
 STAGES = ("remote", "stage1", "stage2")
@@ -16,9 +16,11 @@ STAGES = ("remote", "stage1", "stage2")
 
 def search_plan(terms: DataFrame, places: DataFrame) -> DataFrame:
     """search_n, term, place: terms by places in their order (columns term_n, term; place_n, place); a term is searched once without a place."""
-    both = terms.join(F.broadcast(places), F.lit(True), "left") if "profile_id" not in terms.columns else terms.join(places, "profile_id", "left")
-    by = Window.partitionBy("profile_id") if "profile_id" in terms.columns else Window.partitionBy(F.lit(0))
-    return both.withColumn("search_n", F.row_number().over(by.orderBy("term_n", F.col("place_n").asc_nulls_first())))
+    if "profile_id" in terms.columns:
+        both = terms.join(places, "profile_id", "left")
+        return both.withColumn("search_n", F.row_number().over(Window.partitionBy("profile_id").orderBy("term_n", F.col("place_n").asc_nulls_first())))
+    both = terms.join(places, F.lit(True), "left")  # terms by places is what is asked for; Spark takes the smaller side
+    return numbered(both, "search_n", F.col("term_n"), F.col("place_n").asc_nulls_first()).withColumn("search_n", F.col("search_n").cast("int"))
 
 
 def merged_searches(postings: DataFrame) -> DataFrame:
@@ -77,15 +79,17 @@ def rubric_problems(criteria: DataFrame) -> DataFrame:
 def waterfall(postings: DataFrame, languages: list[str], tier1: list[str], exclude: list[str], remote: list[str] | None = None, stage1: bool = True, drop_without_keywords: bool = True, terms: list[str] | None = None, language_column: str | None = None) -> DataFrame:
     """The postings with blocks, content hash, requirement and drop_reason: the first rule, in order, that drops them.
 
-    All the text work of a row is done in one Arrow pass; an existing language column spares the detector.
+    Postings that the language rule drops have no blocks (null): their texts are not read further. For the others
+    sentences are cut in the JVM and one Arrow pass looks up all keywords; an existing language column spares the detector.
     """
     detected = F.col(language_column) if language_column else V.detect_language()(F.coalesce("description", F.lit("")))
-    df = postings.withColumn("_lang", detected)
-    df = df.withColumn("_b", V.keyword_blocks(tier1, remote or [], terms or [])(F.col("title"), F.col("description")))
-    df = df.withColumn("requirement", V.language_requirement(languages)(F.col("title"), F.col("description")))
-    df = df.select("*", "_b.t1_blocks", "_b.remote_blocks", "_b.title_hits").drop("_b")
     short = F.length(T.strip(T.text("description"))) < 20
-    reason = F.when(F.lit(bool(languages)) & ~short & F.col("_lang").isNotNull() & ~F.col("_lang").isin(languages or [""]), "language")
+    foreign = F.lit(bool(languages)) & ~short & F.coalesce(~detected.isin(languages or [""]), F.lit(False))
+    df = postings.withColumn("_foreign", foreign)
+    df = df.withColumn("_b", V.keyword_blocks(tier1, remote or [], terms or [])(F.col("title"), F.when(~F.col("_foreign"), T.sentences("description"))))
+    df = df.withColumn("requirement", F.when(F.col("_foreign"), "").otherwise(T.requirement("title", "description", languages)))
+    df = df.select("*", "_b.t1_blocks", "_b.remote_blocks", "_b.title_hits").drop("_b")
+    reason = F.when(F.col("_foreign"), "language")
     if stage1:
         reason = reason.when(F.size("t1_blocks") == 0, "no_tier1_hit")
     reason = reason.when(T.excluded("title", "description", exclude), "exclude_keyword").when(F.col("requirement") != "", "language_requirement")
@@ -93,7 +97,7 @@ def waterfall(postings: DataFrame, languages: list[str], tier1: list[str], exclu
         reason = reason.when(F.size("remote_blocks") == 0, "no_remote_keyword")
     own = T.block_signature(F.col("t1_blocks"))
     sign = own if remote is None else F.when(F.size("t1_blocks") == 0, T.block_signature(F.col("remote_blocks"))).otherwise(own)
-    return df.withColumn("content_hash", sign).withColumn("drop_reason", reason).drop("_lang")
+    return df.withColumn("content_hash", sign).withColumn("drop_reason", reason).drop("_foreign")
 
 
 def screened(filtered: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -112,6 +116,11 @@ def screened(filtered: DataFrame, ledger: DataFrame) -> DataFrame:
     return filtered.join(late, F.col("ord") == F.col("_o"), "left").withColumn("drop_reason", F.coalesce("drop_reason", "_late")).drop("_o", "_late")
 
 
+def of_title(filtered: DataFrame) -> DataFrame:
+    """The rows whose title has a term that returned them (columns title_hits, search_terms); the first to be left out of a search."""
+    return filtered.where(title_matches(F.col("title_hits"), F.col("search_terms")))
+
+
 def title_matches(hits: Column, terms: Column) -> Column:
     """Whether a term that returned the posting is in its title."""
     return F.exists(terms, lambda t: F.array_contains(hits, t))

@@ -6,7 +6,6 @@ split or detect, graph components) there is none, and tests hold the operator ag
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectorized as V
 from tessera.operators import boards, judging, ledger, linkage, stage0
+from tessera.operators.graph import shared_folder
 from tessera.plans import tables as S
 from tessera.sources import exports, history, landing
 from tessera.streaming import jobs
@@ -57,9 +57,18 @@ def t1_clean_sentence(spark, d):
     return S.read(spark, d, D).select("doc_id", F.md5(T.clean_sentence("text")).alias("h"))
 
 
-@query()
+CLEAN = "regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace({0}, '\\\\([-_*.\\[\\]()#+!`&|~<>])', '\\1', 'g'), '**', ''), '__', ''), '^[\\s*_>#•·‣◦-]+', ''), '[\\s*_#]+$', ''), '^\\s+|\\s+$', '', 'g')"
+#: doc_id, n and s of every sentence, n from 1 in order.
+SENTENCES = (
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS n, s FROM (SELECT doc_id, i, j, " + CLEAN.format("regexp_replace(regexp_replace(trim(p), '^[•·*‣◦\\-]\\s*', ''), '^\\d+[.)]\\s+', '')") + " AS s FROM ("
+    "SELECT doc_id, i, generate_subscripts(ps, 1) AS j, unnest(ps) AS p FROM (SELECT doc_id, i, string_split(regexp_replace(" + CLEAN.format("l") + ", '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM ("
+    "SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\n\\s*', chr(10), 'g'), '[\\s*_#]*\n([,;:)])', '\\1', 'g'), chr(10)) AS ls FROM documents))))) WHERE length(s) >= 5"
+)
+
+
+@query("SELECT d.doc_id, CAST(count(s) AS INT) AS n, md5(coalesce(string_agg(s, chr(10) ORDER BY n), '')) AS h FROM documents d LEFT JOIN (" + SENTENCES + ") s USING (doc_id) GROUP BY d.doc_id")
 def t2_sentences(spark, d):
-    return S.read(spark, d, D).select("doc_id", V.split_sentences("text").alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "\n")).alias("h"))
+    return S.read(spark, d, D).select("doc_id", T.sentences("text").alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "\n")).alias("h"))
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS INT) AS n, md5(array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), ' ')) AS h FROM documents")
@@ -75,7 +84,16 @@ def t4_stems(spark, d):
 
 @query("SELECT doc_id, regexp_matches(text, '(?i)(^|[^\\w])password=') AS hit FROM documents")
 def t5_literal_keyword(spark, d):
-    return S.read(spark, d, D).select("doc_id", F.col("text").rlike("(?i)(?<!\\w)password=").alias("hit"))
+    return S.read(spark, d, D).select("doc_id", T.literal_keyword("text", "password=").alias("hit"))
+
+
+KEYWORDS = (("password=", "(?i)(^|[^\\p{L}\\p{N}_])password="), ("GPL", "(^|[^\\p{L}\\p{N}])GPL([^\\p{L}\\p{N}]|$)"), ("rights reserved", "(?i)(^|[^\\p{L}\\p{N}])rights?[^\\p{L}\\p{N}]+reserv(e|es|ed|ing)([^\\p{L}\\p{N}]|$)"), ("License", "(?i)(^|[^\\p{L}\\p{N}])licens(e|es|ed|ing)([^\\p{L}\\p{N}]|$)"), ("never a word", "(?i)never a word"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in KEYWORDS) + "], lambda x: x IS NOT NULL), ',') AS hits FROM documents")
+def t5_j2_keyword_modes(spark, d):
+    """Literal, acronym and stemmed keywords over whole texts."""
+    return S.read(spark, d, D).select("doc_id", F.array_join(V.keyword_hits([k for k, _ in KEYWORDS])("text"), ",").alias("hits"))
 
 
 @query(f"SELECT doc_id, md5({NT.format('text')}) AS body, {NT.format('source')} AS company FROM documents")
@@ -88,10 +106,17 @@ def t7_quote_form(spark, d):
     return S.read(spark, d, D).select("doc_id", F.md5(T.quote_form("text")).alias("h"))
 
 
-@query("SELECT doc_id, length(trim(q)) > 0 AS held FROM (SELECT doc_id, regexp_replace(translate(substr(text, 11, 20), '*_`#>|~\\', '        '), '\\s+', ' ', 'g') AS q FROM documents)")
+QUOTE = "replace(lower(trim(regexp_replace(translate(regexp_replace(regexp_replace({0}, '\\\\([\\\\`*_{{}}\\[\\]()#+\\-.!&|~<>])', '\\1', 'g'), '[*_`#>|~]+', ' ', 'g'), '’‘“”«»‐‑–—', '''''\"\"\"\"----'), '\\s+', ' ', 'g'))), 'ß', 'ss')"
+
+
+@query("WITH q AS (SELECT d.doc_id, " + QUOTE.format("d.text") + " AS hay, " + QUOTE.format("split_part(coalesce(o.text, d.text), '.', 1)") + " AS a, " + QUOTE.format("split_part(d.text, '.', 3)") + " AS b FROM documents d LEFT JOIN documents o ON d.doc_id % 2 = 1 AND o.doc_id = d.doc_id + 1) SELECT doc_id, CASE WHEN a = '' THEN b <> '' WHEN b = '' THEN contains(hay, a) ELSE instr(hay, a) > 0 AND contains(substr(hay, instr(hay, a) + length(a)), b) END AS held FROM q")
 def t8_quote_in_text(spark, d):
-    """A stretch of each text, quoted, is found in it."""
-    return S.read(spark, d, D).select("doc_id", T.quote_in_text(F.translate(F.substring("text", 11, 20), "*_`#>|~\\", "        "), F.translate("text", "*_`#>|~\\", "        ")).alias("held"))
+    """Two sentences in a quote, the first of odd documents taken from the next one: mostly not in the text."""
+    docs = S.read(spark, d, D)
+    other = docs.select((F.col("doc_id") - 1).alias("_id"), F.col("text").alias("_text"))
+    rows = docs.join(other, (F.col("doc_id") == F.col("_id")) & (F.col("doc_id") % 2 == 1), "left")
+    quote = F.concat(F.split_part(F.coalesce("_text", "text"), F.lit("."), F.lit(1)), F.lit(" ... "), F.split_part("text", F.lit("."), F.lit(3)))
+    return rows.select("doc_id", T.quote_in_text(quote, "text").alias("held"))
 
 
 @query()
@@ -260,18 +285,9 @@ def a4_keyword_coverage(spark, d):
 # -- reposts
 
 
-def _hashed(spark, d) -> DataFrame:
-    """Hashes of openings, as x2_hash_edges' SQL has them; x2_content_hash_edges, x3 and x4 take whole texts and titles."""
-    rows = S.postings(spark, d).withColumn("title", F.substring("title", 1, 4))
-    return rows.withColumn("content_hash", F.when(F.length("description") > 200, F.md5(F.substring("description", 1, 150))).otherwise(""))
-
-
-HASHED = "SELECT ord, substr(title, 1, 4) AS title, company, description, job_url, location, CASE WHEN length(description) > 200 THEN md5(substr(description, 1, 150)) ELSE '' END AS content_hash FROM (" + S.POSTINGS_SQL + ")"
-
-
-@query("SELECT m AS a, ord AS b FROM (SELECT ord, min(ord) OVER (PARTITION BY content_hash) AS m FROM (" + HASHED + ") WHERE content_hash <> '') WHERE m <> ord")
+@query("SELECT m AS a, ord AS b FROM (SELECT ord, min(ord) OVER (PARTITION BY md5(description)) AS m FROM (" + S.POSTINGS_SQL + ") WHERE description <> '') WHERE m <> ord")
 def x2_hash_edges(spark, d):
-    return linkage.hash_edges(_hashed(spark, d))
+    return linkage.hash_edges(S.postings(spark, d).withColumn("content_hash", F.when(F.col("description") != "", F.md5("description")).otherwise("")))
 
 
 def _whole(spark, d) -> DataFrame:
@@ -402,24 +418,24 @@ def _answers(spark, d) -> DataFrame:
     docs = docs.withColumn("job_url", F.concat(F.lit(S.URL), F.col("ord").cast("string")))
     one = lambda i, result, quote, why: F.struct(F.lit(i).alias("id"), F.lit(result).alias("result"), quote.alias("quote"), F.lit(why).alias("why"))
     none = F.lit(None).cast("string")
-    return docs.withColumn("results", F.array(one("c1", "met", F.substring("description", 1, 12), "said"), one("c2", "Not Applicable", none, ""), one("c3", "met", F.lit("qqq zzz invented"), ""), one("c1", "not_met", none, "later"), one("c9", "met", none, "")))
+    return docs.withColumn("results", F.array(one("c1", "met", F.regexp_extract("description", "[\\p{L}\\p{N}][\\p{L}\\p{N} ,]*", 0), "said"), one("c2", "Not Applicable", none, ""), one("c3", "met", F.lit("qqq zzz invented"), ""), one("c1", "not_met", none, "later"), one("c9", "met", none, "")))
 
 
 def _rubric(spark) -> DataFrame:
     return spark.createDataFrame([(0, "c1", "pass", "first", None), (1, "c2", "fail", "second", None), (2, "c3", "pass", "third", None), (3, "c4", "preference", "fourth", None)], "ord int, id string, kind string, label string, grp string")
 
 
-@query("SELECT 'https://jobs.example.com/view/' || doc_id AS job_url, id, result, downgraded_from, why FROM documents, (VALUES ('c1', 'met', NULL, 'said'), ('c2', 'not_applicable', NULL, ''), ('c3', 'unclear', 'met', ''), ('c4', 'unclear', NULL, 'Not judged.')) r(id, result, downgraded_from, why) WHERE length(trim(translate(substr(text, 1, 12), '*_`#>|~\\' || chr(10), '         '))) > 0")
+@query("SELECT 'https://jobs.example.com/view/' || doc_id AS job_url, id, result, downgraded_from, why FROM documents, (VALUES ('c1', 'met', NULL, 'said'), ('c2', 'not_applicable', NULL, ''), ('c3', 'unclear', 'met', ''), ('c4', 'unclear', NULL, 'Not judged.')) r(id, result, downgraded_from, why) WHERE regexp_matches(text, '[\\p{L}\\p{N}]')")
 def n1_n2_j12_merged_criteria(spark, d):
-    rows = _answers(spark, d).where(F.length(F.trim(F.translate(F.substring("description", 1, 12), "*_`#>|~\\\n", "         "))) > 0)
+    rows = _answers(spark, d).where(F.col("description").rlike("[\\p{L}\\p{N}]"))
     posts = rows.select("job_url", "title", "company", "location", "description")
     return judging.merged_criteria(judging.checked_text(rows.select("job_url", "results"), posts), _rubric(spark)).select("job_url", "id", "result", "downgraded_from", "why")
 
 
-@query("SELECT doc_id, 'A maker of things' AS company_line, 1 AS employer, 'preferred' AS kind, 3 AS notes FROM documents WHERE length(trim(translate(substr(text, 1, 12), '*_`#>|~\\' || chr(10), '         '))) > 0")
+@query("SELECT doc_id, 'A maker of things' AS company_line, 1 AS employer, 'preferred' AS kind, 3 AS notes FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]')")
 def n4_extras(spark, d):
-    raw = F.to_json(F.struct(F.lit(" A  maker\n of things ").alias("company_line"), F.array(F.struct(F.lit("odd").alias("kind"), F.lit("asks").alias("label"), F.substring("text", 1, 12).alias("quote")), F.struct(F.lit("must").alias("kind"), F.lit("x").alias("label"), F.lit("qqq zzz invented").alias("quote"))).alias("employer_requirements"), F.array(*[F.struct(F.lit(f"note {i}").alias("text"), F.lit(None if i else "qqq zzz invented").cast("string").alias("quote")) for i in range(6)]).alias("notes")))
-    rows = S.read(spark, d, D).where(F.length(F.trim(F.translate(F.substring("text", 1, 12), "*_`#>|~\\\n", "         "))) > 0)
+    raw = F.to_json(F.struct(F.lit(" A  maker\n of things ").alias("company_line"), F.array(F.struct(F.lit("odd").alias("kind"), F.lit("asks").alias("label"), F.regexp_extract("text", "[\\p{L}\\p{N}][\\p{L}\\p{N} ,]*", 0).alias("quote")), F.struct(F.lit("must").alias("kind"), F.lit("x").alias("label"), F.lit("qqq zzz invented").alias("quote"))).alias("employer_requirements"), F.array(*[F.struct(F.lit(f"note {i}").alias("text"), F.lit(None if i else "qqq zzz invented").cast("string").alias("quote")) for i in range(6)]).alias("notes")))
+    rows = S.read(spark, d, D).where(F.col("text").rlike("[\\p{L}\\p{N}]"))
     rows = rows.withColumn("a", judging.parsed(F.concat(F.lit("```json\n"), raw, F.lit("\n```")), judging.STAGE2)).withColumn("e", judging.extras(F.col("a"), F.col("text")))
     return rows.select("doc_id", "e.company_line", F.size("e.employer").alias("employer"), F.get("e.employer.kind", F.lit(0)).alias("kind"), F.size("e.notes").alias("notes"))
 
@@ -533,7 +549,7 @@ def j4_unseen(spark, d):
     return ledger.unseen(S.postings(spark, d), S.ledger(spark, d).where("ord % 3 = 0")).select(F.col("ord").alias("doc_id"))
 
 
-@query("WITH l AS (" + S.LEDGER_SQL + "), r AS (SELECT 2 * l_orderkey AS k, max_by(l_returnflag, l_partkey * 10 + l_linenumber) AS status, max_by(l_linestatus, l_partkey * 10 + l_linenumber) AS reasoning FROM lineitem GROUP BY 1), u AS (SELECT '" + S.URL + "' || k AS job_url, status, reasoning FROM r) SELECT coalesce(u.job_url, l.job_url) AS job_url, coalesce(u.status, l.status) AS status, coalesce(u.reasoning, l.reasoning) AS reasoning, l.source, l.user_action FROM l FULL JOIN u USING (job_url)")
+@query("WITH l AS (" + S.LEDGER_SQL + "), r AS (SELECT 2 * l_orderkey AS k, l_returnflag AS status, l_linestatus AS reasoning FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey * 10 + l_linenumber DESC, l_returnflag DESC, l_linestatus DESC) AS k FROM lineitem) WHERE k = 1), u AS (SELECT '" + S.URL + "' || k AS job_url, status, reasoning FROM r) SELECT coalesce(u.job_url, l.job_url) AS job_url, coalesce(u.status, l.status) AS status, coalesce(u.reasoning, l.reasoning) AS reasoning, l.source, l.user_action FROM l FULL JOIN u USING (job_url)")
 def l1_upserted(spark, d):
     rows = S.read(spark, d, "lineitem").selectExpr(f"concat('{S.URL}', cast(2 * l_orderkey as string)) as job_url", f"array(concat('{S.URL}', cast(2 * l_orderkey as string))) as duplicate_job_urls", "'t' as title", "'c' as company", "l_returnflag as status", "2 as stage_reached", "l_linestatus as reasoning", "'run-x' as run_id", "cast(null as string) as source", "cast(l_shipdate as timestamp) as last_seen_at", "l_partkey * 10 + l_linenumber as ord")
     return ledger.upserted(S.ledger(spark, d), rows).select("job_url", "status", "reasoning", "source", "user_action")
@@ -799,8 +815,7 @@ def io13_remote_table(spark, d):
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _stream(spark, d, name: str) -> DataFrame:
