@@ -236,9 +236,19 @@ def f1_f3_f6_blocks(spark, d):
     return df.select("ord", "drop_reason", "content_hash", F.size("t1_blocks").alias("t1"), F.size("remote_blocks").alias("remote"), F.array_join("title_hits", ",").alias("title_hits"))
 
 
-@query()
+#: Sentences that ask for a language, name one otherwise, or ask for none, dealt to documents by their ids; whether they ask.
+ASKS = (
+    ("Fluent Dutch is required.", True), ("Swedish is a plus; you must travel.", False), ("Fluent in Polish or English.", False), ("Knowledge of the Danish market is required.", False), ("Native Finnish speakers, please", True),
+    ("You must polish the roadmap.", False), ("Business-level Japanese, written and spoken", True), ("Nothing of the kind.", False), ("Czech is spoken by our neighbours, and all who join us should know that it is not an easy tongue; required: patience", False),
+)
+
+
+@query("WITH p AS (SELECT *, doc_id % " + str(len(ASKS)) + " AS k FROM (SELECT ord AS doc_id, * EXCLUDE (ord) FROM (" + S.POSTINGS_SQL + "))), a(k, said, asks) AS (VALUES " + ", ".join(f"({i}, '{said.rstrip('.')}', {asks})" for i, (said, asks) in enumerate(ASKS)) + ") SELECT job_url, title, company, location, 'language_requirement' AS reason, said AS evidence FROM p JOIN a USING (k) WHERE asks AND NOT contains(lower(description), 'unsubscribe') AND NOT contains(lower(description), 'password=')")
 def f5_f8_language_requirements(spark, d):
-    return stage0.requirement_evidence(_filtered(spark, d))
+    """Whole texts with a sentence more, of a kind that the document's id names: the rule's evidence."""
+    said = F.element_at(F.array(*[F.lit(x) for x, _ in ASKS]), (F.col("ord") % len(ASKS) + 1).cast("int"))
+    rows = S.postings(spark, d).withColumn("description", F.concat("description", F.lit("\n"), said))
+    return stage0.requirement_evidence(stage0.waterfall(rows, READS, [], EXCLUDE, stage1=False, language_column="location"))
 
 
 @query("SELECT p_name AS keyword, CASE WHEN p_size < 20 THEN 'en' WHEN p_size < 40 THEN 'fr' END AS language FROM part WHERE p_size < 20 OR p_size >= 40")
@@ -276,7 +286,16 @@ def a3_search_totals(spark, d):
     return stage0.search_totals(rows)
 
 
-@query()
+IN_SENTENCE = {
+    "licensed": "(?i)(^|[^\\p{L}\\p{N}])licens(e|es|ed|ing)([^\\p{L}\\p{N}]|$)",
+    "MIT": "(^|[^\\p{L}\\p{N}])MIT([^\\p{L}\\p{N}]|$)",
+    "apache license": "(?i)(^|[^\\p{L}\\p{N}])apache[^\\p{L}\\p{N}]+licens(e|es|ed|ing)([^\\p{L}\\p{N}]|$)",
+    "trash": "(?i)(^|[^\\p{L}\\p{N}])trash(es|ed|ing)?([^\\p{L}\\p{N}]|$)",
+    "C++": "(?i)(^|[^\\p{L}\\p{N}_])C\\+\\+([^\\p{L}\\p{N}_]|$)",
+}
+
+
+@query("WITH s AS (SELECT doc_id, s FROM (" + SENTENCES + ") UNION ALL SELECT ord, trim(title) FROM (" + S.POSTINGS_SQL + ")) " + " UNION ALL ".join(f"SELECT '{k}' AS keyword, count(DISTINCT doc_id) AS postings FROM s WHERE regexp_matches(s, '{p}')" for k, p in IN_SENTENCE.items()))
 def a4_keyword_coverage(spark, d):
     words = spark.createDataFrame([(k,) for k in REMOTE], "keyword string")
     return stage0.keyword_coverage(_filtered(spark, d).select(F.flatten(F.transform("remote_blocks", lambda b: b["matched_keywords"])).alias("matched_keywords")), words)
@@ -300,15 +319,29 @@ def x2_content_hash_edges(spark, d):
     return linkage.hash_edges(_whole(spark, d))
 
 
-@query()
+TITLE = "regexp_replace(regexp_replace(regexp_replace({0}, '\\bsr\\b', 'senior', 'g'), '\\bjr\\b', 'junior', 'g'), '\\bmgr\\b', 'manager', 'g')"
+#: k (company and title), ord and w (its words) of postings; the first of each word set; pairs of those by likeness, and stars to them.
+WORDS = (
+    "w AS (SELECT ord, " + NT.format("company") + " || chr(1) || " + TITLE.format(NT.format("title")) + " AS k, list_sort(list_distinct(string_split(" + NT.format("description") + ", ' '))) AS w FROM (" + S.POSTINGS_SQL + ") WHERE " + NT.format("description") + " <> '' AND " + NT.format("title") + " <> ''), "
+    "f AS (SELECT k, w, min(ord) AS a FROM w GROUP BY k, w), "
+    "e AS (SELECT f.a, w.ord AS b FROM w JOIN f USING (k, w) WHERE f.a <> w.ord UNION ALL SELECT least(x.a, y.a), greatest(x.a, y.a) FROM f x JOIN f y ON x.k = y.k AND x.a < y.a WHERE len(list_intersect(x.w, y.w)) * 100 >= 85 * len(list_distinct(list_concat(x.w, y.w))))"
+)
+
+
+@query("WITH " + WORDS + " SELECT a, b FROM e")
 def x3_word_edges(spark, d):
     return linkage.word_edges(_whole(spark, d))
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + WORDS + ", p AS (SELECT *, " + NT.format("description") + " AS body FROM (" + S.POSTINGS_SQL + ")), h AS (SELECT m AS a, ord AS b FROM (SELECT ord, min(ord) OVER (PARTITION BY body) AS m FROM p WHERE body <> '') WHERE m <> ord), "
+    "t AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, b FROM h UNION SELECT b, a FROM h), r AS (SELECT ord AS a, ord AS b FROM p UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a), "
+    "g AS (SELECT a AS ord, min(b) AS root FROM r GROUP BY a), o AS (SELECT root, string_agg(job_url, '|' ORDER BY ord) AS urls, list(location ORDER BY ord) AS ls, count(*) AS merged FROM p JOIN g USING (ord) WHERE ord <> root GROUP BY root) "
+    "SELECT p.ord, job_url, urls AS duplicate_job_urls, nullif(array_to_string(list_sort(list_distinct(list_filter(ls, lambda x: x <> '' AND x <> p.location))), '|'), '') AS duplicate_locations, CAST(coalesce(merged, 0) AS INT) AS merged FROM p JOIN g USING (ord) LEFT JOIN o ON o.root = p.ord WHERE g.root = p.ord"
+)
 def x4_representatives(spark, d):
     df = linkage.representatives(_whole(spark, d))
-    return df.select("ord", "job_url", F.array_join("duplicate_job_urls", "|").alias("duplicate_job_urls"), F.array_join("duplicate_locations", "|").alias("duplicate_locations"), "merged")
+    return df.select("ord", "job_url", F.array_join("duplicate_job_urls", "|").alias("duplicate_job_urls"), F.array_join(F.array_sort("duplicate_locations"), "|").alias("duplicate_locations"), "merged")
 
 
 @query("SELECT ord, title, company, reasoning, repost_count FROM (SELECT *, count(*) OVER (PARTITION BY title, company, reasoning) AS repost_count, row_number() OVER (PARTITION BY title, company, reasoning ORDER BY ord) AS k FROM (" + S.LEDGER_SQL + ")) WHERE k = 1")
@@ -391,6 +424,15 @@ def j16_contributions(spark, d):
     return boards.contributions(rows, S.board_postings(spark, d)).select("s_suppkey", "reason")
 
 
+@query("WITH o AS (SELECT DISTINCT company_key, slug FROM (" + OFFERED + ") o WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND EXISTS (SELECT 1 FROM part WHERE 'b' || (p_partkey % 25) = o.slug)), c AS (SELECT " + NORM.format("c_name") + " AS company_key, c_name AS name, 'c' || c_custkey AS slug FROM customer) SELECT company_key, vendor, slug, source FROM (SELECT company_key, 'ashby' AS vendor, slug, 'shipped' AS source FROM c UNION ALL SELECT company_key, 'lever', slug, 'users' FROM o WHERE company_key NOT IN (SELECT company_key FROM c))")
+def j16_merged_boards(spark, d):
+    """Offers that hold, merged into a shipped list made of customers."""
+    rows = S.read(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 5 == 0, "other").otherwise(T.company_key("s_name")).alias("company_key"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 7 == 0, "unknown").otherwise("lever").alias("vendor"), F.concat(F.lit("b"), (F.col("s_suppkey") % 40).cast("string")).alias("slug"))
+    shared = S.read(spark, d, "customer").select(T.company_key("c_name").alias("company_key"), F.col("c_name").alias("name"), F.lit("ashby").alias("vendor"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("slug"), F.lit("shipped").alias("source"))
+    good = boards.contributions(rows, S.board_postings(spark, d)).where("reason is null")
+    return boards.merged_boards(shared, good, "users").select("company_key", "vendor", "slug", "source")
+
+
 @query("SELECT " + NORM.format("c_name") + " AS company_key, c_name AS name, 'lever' AS vendor, 'c' || c_custkey AS slug FROM customer WHERE c_custkey % 3 <> 0")
 def j17_candidates(spark, d):
     n = F.col("c_custkey").cast("string")
@@ -721,7 +763,7 @@ def w3_stage1_listing(spark, d):
     return ledger.stage1_listing(rows, True).select("run_id", "job_url", "reasoning", "repost_count")
 
 
-@query()
+@query("SELECT min(job_url) AS job_url, min_by(reason, job_url) AS reason, count(*) AS repost_count FROM (SELECT job_url, CASE WHEN none THEN 'none' WHEN a = 0 THEN 'office' WHEN a = 1 THEN 'other' ELSE 'remote' END AS answers, CASE WHEN none THEN '" + judging.NO_KEYWORD + "' WHEN a = 0 THEN 'Level: On-site' WHEN NOT says_fail AND unshown THEN '" + judging.NO_EVIDENCE + "' ELSE event_type END AS reason, none OR a = 0 OR says_fail OR unshown AS fails FROM (" + REMOTE_SQL + ")) WHERE fails GROUP BY answers")
 def w4_remote_listing(spark, d):
     rows, options = _remote(spark, d)
     judged = judging.remote_judgment(rows.select("job_url", "answer", "shown"), options).withColumn("title", F.lit("t")).withColumn("company", F.lit("c"))
@@ -759,6 +801,37 @@ def io3_board_payloads(spark, d):
     return landing.board_postings(rows).select("slug", "title", "description", "url")
 
 
+VENDORS = ("greenhouse", "ashby", "workable", "recruitee", "smartrecruiters", "bamboohr", "lever_eu")
+
+
+@query("SELECT v AS vendor, 'p' || p_partkey AS slug, p_name AS title, CASE v WHEN 'recruitee' THEN p_type || chr(10) || p_brand WHEN 'lever_eu' THEN p_type || chr(10) || p_brand || chr(10) || p_name WHEN 'smartrecruiters' THEN NULL WHEN 'bamboohr' THEN NULL ELSE p_type END AS description, CASE WHEN v NOT IN ('smartrecruiters', 'bamboohr') THEN p_brand END AS url, CASE WHEN v IN ('smartrecruiters', 'bamboohr') THEN CAST(p_partkey AS VARCHAR) END AS ref FROM part, (VALUES " + ", ".join(f"('{v}')" for v in VENDORS) + ") x(v) WHERE NOT (v = 'bamboohr' AND p_size % 4 = 0)")
+def io3_other_vendors(spark, d):
+    """The other vendors' payloads made of parts: HTML escaped once or twice, texts in several fields, references that are no numbers."""
+    name, kind, brand = F.col("p_name"), F.col("p_type"), F.col("p_brand")
+    html, twice, ref = F.concat(F.lit("<p>"), kind, F.lit("</p>")), F.concat(F.lit("&amp;lt;p&amp;gt;"), kind, F.lit("&amp;lt;/p&amp;gt;")), F.col("p_partkey").cast("string")
+    jobs_ = lambda key, **fields: F.to_json(F.struct(F.array(F.struct(*[v.alias(k) for k, v in fields.items()])).alias(key)))
+    bodies = {
+        "greenhouse": jobs_("jobs", title=name, content=twice, absolute_url=brand), "ashby": jobs_("jobs", title=name, descriptionPlain=F.when(F.col("p_size") % 2 == 0, kind).otherwise(""), descriptionHtml=html, jobUrl=brand), "workable": jobs_("jobs", title=name, description=html, url=brand),
+        "recruitee": jobs_("offers", title=name, description=html, requirements=F.concat(F.lit("<b>"), brand, F.lit("</b>")), careers_url=brand), "smartrecruiters": jobs_("content", name=name, id=ref), "bamboohr": jobs_("result", jobOpeningName=name, id=F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("x"), ref)).otherwise(ref)),
+        "lever_eu": F.to_json(F.array(F.struct(name.alias("text"), kind.alias("descriptionPlain"), F.array(F.struct(brand.alias("text"), F.lit("").alias("content"))).alias("lists"), name.alias("additionalPlain"), brand.alias("hostedUrl")))),
+    }
+    rows = S.read(spark, d, "part").select("*", F.explode(F.array(*[F.struct(F.lit(v).alias("vendor"), bodies[v].alias("body")) for v in VENDORS])).alias("b")).select("b.vendor", F.concat(F.lit("p"), ref).alias("slug"), "b.body")
+    out = landing.board_postings(rows).withColumn("description", F.regexp_replace("description", "\n+", "\n"))
+    return out.select("vendor", "slug", "title", "description", "url", "ref")
+
+
+@query("SELECT 'p' || p_partkey AS slug, p_name || CASE WHEN f = 1 AND p_size % 2 = 0 THEN ' (en)' ELSE '' END AS title, CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_brand || chr(10) || p_type END AS description, CAST(p_partkey AS VARCHAR) AS ref FROM part, (VALUES (0), (1)) x(f) WHERE f = 0 OR p_size % 2 = 0")
+def io4_position_payloads(spark, d):
+    """Positions of two feeds, the second with another title for every other part and an empty text for some."""
+    part, ref = S.read(spark, d, "part"), F.col("p_partkey").cast("string")
+    body = lambda title, text: F.concat(F.lit("<positions><position><id>"), ref, F.lit("</id><name>"), title, F.lit("</name><jobDescriptions><jobDescription><name>"), F.lit(""), F.lit("</name><value>"), text, F.lit("</value></jobDescription></jobDescriptions></position></positions>"))
+    first = part.select("*", F.lit(0).alias("feed_n"), body(F.col("p_name"), F.col("p_type")).alias("body"))
+    other = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(" (en)"))).otherwise(F.col("p_name"))
+    second = part.select("*", F.lit(1).alias("feed_n"), body(other, F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat("p_brand", F.lit("&lt;br&gt;"), "p_type"))).alias("body"))
+    rows = first.unionByName(second).select(F.lit("personio").alias("vendor"), F.concat(F.lit("p"), ref).alias("slug"), "feed_n", "body")
+    return landing.position_postings(rows).select("slug", "title", F.regexp_replace("description", "\n+", "\n").alias("description"), "ref")
+
+
 @query("SELECT 'p' || p_partkey AS slug, p_name AS title, p_type AS description, p_brand AS url FROM part")
 def io4_xml_payloads(spark, d):
     body = F.concat(F.lit("<rss><channel><item><title>"), "p_name", F.lit("</title><link>"), "p_brand", F.lit("</link><description>&lt;p&gt;"), "p_type", F.lit("&lt;/p&gt;</description></item></channel></rss>"))
@@ -852,3 +925,45 @@ def st2_live_counts(spark, d):
 def st5_token_totals(spark, d):
     rows = _stream(spark, d, "events").selectExpr("concat('run-', cast(user_id % 20 as string)) as run_id", "case when event_type = 'error' then 'n/a' else cast(event_id as string) end as tokens")
     return _written(jobs.token_totals(rows), ["run_id"])
+
+
+@query("SELECT run_id, job_url, row_number() OVER (PARTITION BY run_id ORDER BY event_id, job_url) - 1 AS n FROM (" + S.OUTCOMES_SQL + ") WHERE outcome = 'pass'")
+def st3_new_prompts(spark, d):
+    """Prompts of all passes, numbered within their run as they come in."""
+    folder = _shared(spark)
+    spark.createDataFrame([], "run_id string, job_url string, n long").write.parquet(f"{folder}/out/batch=-1")
+    rows = _stream(spark, d, "events").where("event_type not in ('error', 'view')").selectExpr("concat('run-', cast(user_id % 20 as string)) as run_id", f"concat('{S.URL}', cast(event_id as string)) as job_url", "event_id as ord")
+    jobs.drained(jobs.new_prompts(spark, rows, f"{folder}/out", f"{folder}/state"))
+    return spark.read.schema("run_id string, job_url string, n long").parquet(f"{folder}/out").select("run_id", "job_url", "n")
+
+
+@query("SELECT run_id, stage, event_id AS n, CASE WHEN event_type NOT IN ('error', 'view') THEN props END AS verdict FROM (" + S.OUTCOMES_SQL + ") WHERE event_id % 2 = 0")
+def st4_landed_judgments(spark, d):
+    """Answers as they land, judged against their prompts (of every other event); unreadable ones stay pending (null)."""
+    folder, key = _shared(spark), ["run_id", "stage", "n"]
+    prompts = S.outcomes(spark, d).where("event_id % 2 = 0").select("run_id", "stage", F.col("event_id").alias("n"))
+    raw = "case event_type when 'error' then 'no object' when 'view' then '[1]' else concat('So: ', to_json(named_struct('verdict', props)), ' and {more}') end as raw"
+    answers = _stream(spark, d, "events").selectExpr("concat('run-', cast(user_id % 20 as string)) as run_id", "case event_id % 3 when 0 then 'remote' when 1 then 'stage1' else 'stage2' end as stage", "event_id as n", raw)
+    judge = lambda batch: batch.select(*key, F.get_json_object(landing.object_in(F.col("raw")), "$.verdict").alias("verdict"))
+    upsert = lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    jobs.drained(jobs.landed_judgments(answers, prompts, judge, upsert, f"{folder}/state"))
+    return spark.read.schema("run_id string, stage string, n long, verdict string").parquet(f"{folder}/out").select(*key, "verdict")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status FROM orders")
+def io10_snapshots(spark, d):
+    """Two snapshots written and read as one ledger, the older one without a column."""
+    folder = _shared(spark)
+    rows = S.read(spark, d, "orders").selectExpr("cast(o_orderkey as string) as run_id", "o_orderstatus as status", "o_orderkey % 2 = 0 as new")
+    history.write_ledger(rows.where("not new").select("run_id"), folder, "1")
+    history.write_ledger(rows.where("new").select("run_id", "status"), folder, "2")
+    return history.read_ledger(spark, folder).select("run_id", "status")
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE -1 END AS hours_old, CASE WHEN n_nationkey % 3 = 0 THEN 'en' END AS language FROM nation")
+def io6_small_table(spark, d):
+    """A configuration of nations as one JSON list, with values left out, read with its defaults."""
+    folder = _shared(spark)
+    row = F.struct(F.col("n_name").alias("name"), F.expr("case when n_nationkey % 2 = 0 then n_nationkey end").alias("hours_old"), F.expr("case when n_nationkey % 3 = 0 then 'en' end").alias("language"))
+    S.read(spark, d, "nation").agg(F.to_json(F.collect_list(row)).alias("value")).write.text(folder)  # a small table, as its name says
+    return landing.small_table(spark, folder, "name string, hours_old long, language string", {"hours_old": -1})
