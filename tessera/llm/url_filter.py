@@ -1,7 +1,9 @@
 """URL filters: explicit rules first, then logistic regression on hashed character n-grams of host and path.
 
-Defined cases: a null url or one without `://` has an empty host and path and gets the model's verdict; repeated
-rows are judged alike; an empty table gives an empty result; only the id and url columns are read.
+Defined cases: a null url or one without `://` has an empty host and path and gets the model's verdict; very long urls
+are read whole; repeated rows are judged alike, and equal urls whatever their ids; of rules that fit the longest wins,
+and of equally long ones the later; a score of just the threshold blocks; an empty table gives an empty result; only
+the id and url columns are read, whatever else the table has.
 """
 
 from __future__ import annotations
@@ -17,11 +19,27 @@ from tessera.llm.common import mix, prefix_hashes, span_hashes
 
 #: (pattern of host and path, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: A small labelled table; 1 is a URL to block. It is a parameter of train().
-LABELLED = tuple(
-    [(f"https://{host}/{path}", 1) for host in ("spam-farm.example.org", "www.casino-bonus.example.com", "cheap-pills.example.net", "win-free-money.example.org", "xxx-clips.example.com", "best-loans-now.example.net") for path in ("", "en/728?utm_source=feed", "click/free/win", "promo/buy-now.php", "xxx/1.html")]
-    + [(f"https://{host}/{path}", 0) for host in ("www.example.org", "blog.river.example.com", "m.news.example.com", "docs.garden.example.org", "library.example.net", "thther.example.org") for path in ("", "en/825", "de/12820?page=2&ref=x", "fr/articles/history.html", "es/533/")]
-)
+# A small labelled table, a parameter of train(): invented hosts and paths, 1 is a URL to block. Either label comes with
+# the same endings, so that what stands before them has to tell.
+ENDINGS = ("com", "org", "net", "io", "info", "co.uk", "de", "fr", "es")
+TO_BLOCK = (
+    "casino-bonus", "free-spins-slots", "poker-jackpot", "bet-now-odds", "lucky-casino-win", "cheap-pills", "pharma-discount-meds", "viagra-online-store", "weight-loss-miracle", "xxx-clips", "hot-adult-cams", "sexy-singles-dating", "porn-videos-free",
+    "payday-loans-fast", "best-loans-now", "get-rich-quick", "win-free-money", "crypto-doubler", "bitcoin-giveaway", "spam-farm", "link-farm-seo", "buy-backlinks", "cracked-software", "keygen-warez", "torrent-free-movies", "replica-watches", "fake-handbags-outlet", "click-here-prize",
+)
+TO_ALLOW = (
+    "docs.garden", "blog.river", "news.harbour", "library.city", "museum-of-history", "university-press", "open-science-journal", "weather-report", "cooking-with-herbs", "mountain-hiking", "school-physics", "local-council", "railway-timetable", "public-health-advice",
+    "encyclopedia", "wiki.astronomy", "code-review-notes", "python-tutorial", "music-theory", "film-archive", "poetry-review", "farmers-market", "botanical-society", "language-learning", "maps.geography", "daily-gazette", "parliament-records", "chess-club",
+)
+BLOCKED_PATHS = ("", "bonus/sign-up-now", "promo/buy-now.php", "free/download/crack.exe", "win/prize?id=7", "xxx/1.html", "cheap/order-online", "click/offer")
+ALLOWED_PATHS = ("", "articles/history.html", "2021/05/on-rivers", "about/contact", "docs/install.html", "wiki/Main_Page", "catalogue/item?id=7", "blog/post-12")
+
+
+def labelled_urls(hosts: Iterable[str], paths: tuple[str, ...], label: int, every: int = 4) -> list[tuple[str, int]]:
+    """Each host under `every` endings, each time with the next path."""
+    return [(f"https://{host}.{ENDINGS[(i + j) % len(ENDINGS)]}/{paths[(i * every + j) % len(paths)]}", label) for i, host in enumerate(hosts) for j in range(every)]
+
+
+LABELLED = tuple(labelled_urls(TO_BLOCK, BLOCKED_PATHS, 1) + labelled_urls(TO_ALLOW, ALLOWED_PATHS, 0))
 #: Feature slots; a labelled table may have at most MOST_LABELLED rows, as training holds rows x slots on the driver.
 SLOTS, SIZES, MOST_LABELLED = 1 << 12, (3, 4, 5), 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

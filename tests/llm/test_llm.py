@@ -55,18 +55,53 @@ def test_url_filter(spark):
     urls = [(1, "http://A.Example.NET/en/x?q", 0), (2, "https://x.org/fr", 0), (3, "https://x.org/fr/", 0), (4, None, 0), (5, "no scheme", 0), (6, "http://example.com/de/#a", 0), (7, "http://notexample.com/de/", 0), (8, "ftp://net", 0), (9, "ftp://net/", 0), (10, "http://www.spam-farm.example.org/en/1", 0), (11, "http://h?x/y", 0)]
     got = {r["page_id"]: r for r in url_filter.url_verdicts(spark.createDataFrame(urls, "page_id int, url string, host int")).collect()}
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in range(1, 12)] == [("a.example.net", "/en/x", "example.net/en/"), ("x.org", "/fr", None), ("x.org", "/fr/", "org/fr/"), ("", "", None), ("", "", None), ("example.com", "/de/", "example.com/de/"), ("notexample.com", "/de/", None), ("net", "", None), ("net", "/", "net/"), ("www.spam-farm.example.org", "/en/1", None), ("h", "", None)]
-    assert got[1]["verdict"] == "allow" and got[9]["verdict"] == "block" and got[10]["verdict"] == "block" and got[2]["verdict"] == "allow"
+    assert got[1]["verdict"] == "allow" and got[9]["verdict"] == "block" and got[10]["verdict"] == "block"
     assert url_filter.url_verdicts(spark.createDataFrame([], "page_id int, url string")).count() == 0
     with pytest.raises(ValueError):
         url_filter.train([])
 
 
+def url_scores(weights, urls):
+    """The model's scores, one URL and one n-gram at a time."""
+    out = []
+    for url in urls:
+        host, path = url_filter._split(url)
+        x = np.zeros(url_filter.SLOTS)
+        for salt, text in ((1, host), (2, path)):
+            data = np.frombuffer(b"^" + text.encode() + b"$", np.uint8)
+            for n in url_filter.SIZES:
+                for i in range(len(data) - n + 1):
+                    gram = common.span_hashes(common.prefix_hashes(data[i : i + n]), np.array([0]), np.array([n]))
+                    x[int(common.mix(gram + np.uint64(salt))[0]) % url_filter.SLOTS] += 1
+        out.append(1 / (1 + np.exp(-(x @ weights[:-1] / max(1, np.linalg.norm(x)) + weights[-1]))))
+    return np.array(out)
+
+
 def test_url_model_held_out():
-    w = url_filter.train()
-    for url, block in (("https://another-spam-farm.example.net/xx", 1), ("https://casino-free.example.org/click", 1), ("https://docs.city.example.org/en/history", 0)):
-        row, slot = url_filter.ngram_slots(*[[x] for x in url_filter._split(url)])
-        x = np.bincount(slot, minlength=url_filter.SLOTS)
-        assert (x @ w[:-1] / np.linalg.norm(x) + w[-1] > 0) == block
+    """Hosts that the model has not seen: every fourth host of either label is kept from training, with its paths."""
+    train = [u for n, (hosts, paths, label) in enumerate(((url_filter.TO_BLOCK, url_filter.BLOCKED_PATHS, 1), (url_filter.TO_ALLOW, url_filter.ALLOWED_PATHS, 0))) for u in url_filter.labelled_urls([h for i, h in enumerate(hosts) if i % 4], paths, label)]
+    held = [u for hosts, paths, label in ((url_filter.TO_BLOCK, url_filter.BLOCKED_PATHS, 1), (url_filter.TO_ALLOW, url_filter.ALLOWED_PATHS, 0)) for u in url_filter.labelled_urls([h for i, h in enumerate(hosts) if i % 4 == 0], paths, label)]
+    said = url_scores(url_filter.train(train), [u for u, _ in held]) >= 0.5
+    label = np.array([y for _, y in held], bool)
+    assert (said & label).sum() / max(1, said.sum()) >= 0.8 and (said & label).sum() / label.sum() >= 0.7
+
+
+def test_url_filter_brute_force(spark):
+    """Host, path, rule, verdict and score of random URLs against plain steps."""
+    r, w = random.Random(5), url_filter.train()
+    parts = ["http://", "a.", "example.net", "net", "org", "/", "en/", "fr/", "de/", "?", "#", "X", "é", "example.com", "casino", ".", "://"]
+    urls = ["".join(r.choice(parts) for _ in range(r.randint(0, 8))) for _ in range(300)] + ["http://a.example.net/" + "x/" * 20_000, None]
+    got = {x["page_id"]: x for x in url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect()}
+    scores = url_scores(w, urls)
+    for i, url in enumerate(urls):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.translate(licenses.LOWER)
+        fits = [(rule, verdict) for rule, verdict in url_filter.RULES if (host == (d := rule.split("/", 1)[0]) or host.endswith("." + d)) and path.startswith("/" + rule.split("/", 1)[1])]
+        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, "block" if scores[i] >= 0.5 else "allow"))
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule) and abs(got[i]["score"] - scores[i]) < 1e-9
+        assert got[i]["verdict"] == verdict or abs(scores[i] - 0.5) < 1e-6
 
 
 def test_toxicity(spark, none):
@@ -98,6 +133,53 @@ def test_restore(spark):
     assert abs((2 ** -costs).sum(2) - 1).max() < 1e-9
 
 
+def test_restore_brute_force(spark):
+    """The cheapest of all readings of short tokens, spelled out."""
+    text = spark.createDataFrame([("the idiot said poop and ass while a moron slept, scum of the earth; stupid pets sit still " * 30,)], "text string")
+    costs = toxicity.char_model(toxicity.char_counts(text))
+
+    def readings(token):
+        found, before = [("", 0.0)], ""
+        for c in token:
+            if c.isalpha():
+                some = [(c, 0.0)] + ([("", toxicity.REPEAT_COST)] if c == before else [])
+            else:
+                filler = c in toxicity.FILLERS
+                some = [(x, toxicity.LEET_COST) for x in toxicity.LEET.get(c, "")] + [("", toxicity.DROP_COST if filler else toxicity.KEEP_COST + 4)] + ([] if filler else [(c, toxicity.KEEP_COST)])
+            found, before = [(t + z, cost + more) for t, cost in found for z, more in some], c
+        return found
+
+    def total(word, cost):
+        k = [27, 27, *map(toxicity.class_of, word), 27]
+        return cost + sum(costs[k[i], k[i + 1], k[i + 2]] for i in range(len(k) - 2))
+
+    r = random.Random(6)
+    for _ in range(300):
+        token = "".join(r.choice("asshitpo0o1$@.-5") for _ in range(r.randint(1, 7)))
+        every = {(round(total(w, c), 9), w) for w, c in readings(token)}
+        assert toxicity.restore(token, costs) in {w for c, w in every if c <= min(every)[0] + 1e-9}
+
+
+@pytest.mark.parametrize("token, word", [("4$$", "ass"), ("@55", "ass"), ("a55", "ass"), ("$h!t", "shit"), ("shhit", "shit"), ("i.d.i.o.t.i.d.i.o.t.i.d.i.o.t.i.d.i.o.t.i.d.i.o.t", "idiot" * 5), ("st" + "u" * 80 + "pid", "stupid"), ("p-o-o-p", "poop")])
+def test_disguises(spark, token, word):
+    text = spark.createDataFrame([("the idiot and the moron said stupid things shit ass while poop pathetic people slept " * 50,)], "text string")
+    reader = toxicity.Reader(toxicity.char_model(toxicity.char_counts(text)))
+    assert word in reader.words(token)
+
+
+def test_spaced():
+    assert {"p-o-o-p", "s-h-!-t"} <= set(toxicity.spaced("so p o o p here and s\nh \t!\n\nt"))
+    assert {"y-o-u", "i-d-i-o-t"} <= set(toxicity.spaced("y o u  i d i o t")) and not list(toxicity.spaced("a b cd e"))
+
+
+def test_repeated_labels(spark):
+    """The highest of several labels of a document counts, whatever the order of the rows."""
+    docs = spark.createDataFrame([(i, ("scum " if i % 3 == 0 else "") + f"word{i} alpha beta gamma") for i in range(90)], "doc_id long, text string")
+    labels = [(i, int(i % 3 == 0)) for i in range(90)] + [(i, 0) for i in range(0, 90, 3)]
+    a, b = ({x["doc_id"]: x["score"] for x in toxicity.toxicity(docs, spark.createDataFrame(rows, "doc_id long, toxic int")).collect()} for rows in (labels, labels[::-1]))
+    assert a == b and a[0] > a[1]
+
+
 def test_tokenizers_agree():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -283,6 +365,27 @@ def test_fingerprints(docs, none, spark):
     assert fingerprints.fingerprints(spark.createDataFrame([(1, "abc" * 20)], "doc_id long, text string")).first()["near_next"] == 1.0
 
 
+def test_likeness_brute_force():
+    """Anchors in common that stand in the same order, by the longest such chain, against every choice of them."""
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        sides = []
+        for _ in range(2):
+            h = np.unique(r.integers(0, 14, int(r.integers(0, 9)))).astype(np.uint32)
+            sides.append((h, r.permutation(40)[: len(h)]))
+        (ha, pa_), (hb, pb) = sides
+        got = fingerprints.likeness(*sides)
+        if not len(ha) or not len(hb):
+            assert got == float(len(ha) == len(hb))
+            continue
+        joint = sorted({*ha.tolist(), *hb.tolist()})[: max(len(ha), len(hb))]
+        both = [h for h in joint if h in ha and h in hb]
+        place = {h: (int(pa_[ha == h][0]), int(pb[hb == h][0])) for h in both}
+        chains = [sorted(place[h] for i, h in enumerate(both) if k >> i & 1) for k in range(1 << len(both))]
+        longest = max(len(c) for c in chains if all(y[1] < z[1] for y, z in zip(c, c[1:])))
+        assert got == longest / len(joint)
+
+
 def test_syncmers_brute_force():
     r = random.Random(2)
     text = "".join(r.choice("abcd ") for _ in range(400))
