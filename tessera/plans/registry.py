@@ -224,18 +224,6 @@ def _screened(spark, d) -> DataFrame:
     return stage0.screened(_filtered(spark, d), S.ledger(spark, d).where("ord % 3 = 0"))
 
 
-@query()
-def f7_a1_waterfall_counts(spark, d):
-    """All seven rules with the counts of what each drops (F1 to F7, J2 to J4, X2 to X4, A1)."""
-    return stage0.drop_counts(_screened(spark, d))
-
-
-@query()
-def f1_f3_f6_blocks(spark, d):
-    df = _screened(spark, d)
-    return df.select("ord", "drop_reason", "content_hash", F.size("t1_blocks").alias("t1"), F.size("remote_blocks").alias("remote"), F.array_join("title_hits", ",").alias("title_hits"))
-
-
 #: Sentences that ask for a language, name one otherwise, or ask for none, dealt to documents by their ids; whether they ask.
 ASKS = (
     ("Fluent Dutch is required.", True), ("Swedish is a plus; you must travel.", False), ("Fluent in Polish or English.", False), ("Knowledge of the Danish market is required.", False), ("Native Finnish speakers, please", True),
@@ -321,11 +309,12 @@ def x2_content_hash_edges(spark, d):
 
 TITLE = "regexp_replace(regexp_replace(regexp_replace({0}, '\\bsr\\b', 'senior', 'g'), '\\bjr\\b', 'junior', 'g'), '\\bmgr\\b', 'manager', 'g')"
 #: k (company and title), ord and w (its words) of postings; the first of each word set; pairs of those by likeness, and stars to them.
-WORDS = (
-    "w AS (SELECT ord, " + NT.format("company") + " || chr(1) || " + TITLE.format(NT.format("title")) + " AS k, list_sort(list_distinct(string_split(" + NT.format("description") + ", ' '))) AS w FROM (" + S.POSTINGS_SQL + ") WHERE " + NT.format("description") + " <> '' AND " + NT.format("title") + " <> ''), "
+WORDS_OF = (
+    "w AS (SELECT ord, " + NT.format("company") + " || chr(1) || " + TITLE.format(NT.format("title")) + " AS k, list_sort(list_distinct(string_split(" + NT.format("description") + ", ' '))) AS w FROM @ WHERE " + NT.format("description") + " <> '' AND " + NT.format("title") + " <> ''), "
     "f AS (SELECT k, w, min(ord) AS a FROM w GROUP BY k, w), "
     "e AS (SELECT f.a, w.ord AS b FROM w JOIN f USING (k, w) WHERE f.a <> w.ord UNION ALL SELECT least(x.a, y.a), greatest(x.a, y.a) FROM f x JOIN f y ON x.k = y.k AND x.a < y.a WHERE len(list_intersect(x.w, y.w)) * 100 >= 85 * len(list_distinct(list_concat(x.w, y.w))))"
 )
+WORDS = WORDS_OF.replace("@", "(" + S.POSTINGS_SQL + ")")
 
 
 @query("WITH " + WORDS + " SELECT a, b FROM e")
@@ -344,6 +333,46 @@ def x4_representatives(spark, d):
     return df.select("ord", "job_url", F.array_join("duplicate_job_urls", "|").alias("duplicate_job_urls"), F.array_join(F.array_sort("duplicate_locations"), "|").alias("duplicate_locations"), "merged")
 
 
+NO_WORD = "[^\\p{L}\\p{N}]"
+FIRST_SQL = "|".join(f"((^|{NO_WORD}){k}({NO_WORD}|$))" for k in (f"(?i:licens(e|es|ed|ing)){NO_WORD}+(?i:under)", f"(?i:rights?){NO_WORD}+(?i:reserv(e|es|ed|ing))", "GNU", "GPL", "(?i:worthless)"))
+SECOND_SQL = "|".join(f"({p.replace('(?i)', '(?i:', 1)})" if p.startswith("(?i)") else f"({p})" for p in (x + (")" if x.startswith("(?i)") else "") for x in IN_SENTENCE.values()))
+TITLED = {"The": "thes?|theing", "Le": "les?|leing", "Der": "ders?|derness|derful", "El": "els?|eling|eled|elness|elful"}
+#: Every posting with its drop reason, content hash, numbers of blocks and terms in the title.
+SCREENED = (
+    "WITH RECURSIVE p AS MATERIALIZED (" + S.POSTINGS_SQL + "), s AS MATERIALIZED (SELECT doc_id AS ord, n, s, regexp_matches(s, '" + FIRST_SQL + "') AS h1, regexp_matches(s, '" + SECOND_SQL + "') AS h2 FROM (" + SENTENCES + ")), "
+    + ", ".join(f"b{k} AS (SELECT s.ord, s.n, s.s, bool_or(h.n = s.n) AS m FROM s JOIN (SELECT ord, n FROM s WHERE h{k}) h ON h.ord = s.ord AND abs(h.n - s.n) <= 1 GROUP BY s.ord, s.n, s.s)" for k in (1, 2))
+    + ", t AS (SELECT ord, -1 AS n, trim(title) AS s, regexp_matches(title, '" + SECOND_SQL + "') AS m FROM p WHERE trim(title) <> '' AND (ord IN (SELECT ord FROM b2) OR regexp_matches(title, '" + SECOND_SQL + "'))), b3 AS (SELECT * FROM b2 UNION ALL SELECT * FROM t), "
+    + ", ".join(f"c{k} AS (SELECT ord, CAST(count(*) AS INT) AS c, md5(string_agg(n || '|' || CAST(m AS INT) || '|' || s, chr(10) ORDER BY n)) AS h FROM b{k} GROUP BY ord)" for k in (1, 3))
+    + ", r1 AS MATERIALIZED (SELECT p.*, coalesce(c1.c, 0) AS t1, coalesce(c3.c, 0) AS remote, coalesce(c1.h, c3.h, '') AS content_hash, CASE WHEN c1.c IS NULL THEN 'no_tier1_hit' WHEN contains(lower(description), 'password=') OR contains(lower(description), 'unsubscribe') OR contains(lower(title), 'password=') OR contains(lower(title), 'unsubscribe') THEN 'exclude_keyword' WHEN c3.c IS NULL THEN 'no_remote_keyword' END AS reason FROM p LEFT JOIN c1 USING (ord) LEFT JOIN c3 USING (ord)), "
+    "left_ AS MATERIALIZED (SELECT * FROM r1 WHERE reason IS NULL), " + WORDS_OF.replace("@", "left_") + ", hh AS (SELECT m AS a, ord AS b FROM (SELECT ord, min(ord) OVER (PARTITION BY content_hash) AS m FROM left_) WHERE m <> ord), "
+    "tt AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, b FROM hh UNION SELECT b, a FROM hh), rr AS (SELECT ord AS a, ord AS b FROM left_ UNION SELECT rr.a, tt.b FROM rr JOIN tt ON rr.b = tt.a), g AS (SELECT a AS ord, min(b) AS root FROM rr GROUP BY a), "
+    "z AS (SELECT r1.ord, coalesce(reason, CASE WHEN g.root <> r1.ord THEN 'duplicate_content' WHEN r1.ord - r1.ord % 2 IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) THEN 'already_seen' END) AS drop_reason, content_hash, t1, remote, "
+    + " || ".join(f"CASE WHEN regexp_matches(title, '(?i)(^|{NO_WORD})({v})({NO_WORD}|$)') THEN '{k},' ELSE '' END" for k, v in TITLED.items())
+    + " AS hits FROM r1 LEFT JOIN g ON g.ord = r1.ord) "
+)
+
+
+@query(SCREENED + "SELECT o.outcome, count(z.ord) AS n FROM (VALUES " + ", ".join(f"('{r}')" for r in ("passed", *stage0.RULES)) + ") o(outcome) LEFT JOIN z ON coalesce(z.drop_reason, 'passed') = o.outcome GROUP BY 1")
+def f7_a1_waterfall_counts(spark, d):
+    """All seven rules with the counts of what each drops (F1 to F7, J2 to J4, X2 to X4, A1)."""
+    return stage0.drop_counts(_screened(spark, d))
+
+
+@query(SCREENED + "SELECT ord, drop_reason, content_hash, t1, remote, rtrim(hits, ',') AS title_hits FROM z")
+def f1_f3_f6_blocks(spark, d):
+    df = _screened(spark, d)
+    return df.select("ord", "drop_reason", "content_hash", F.size("t1_blocks").alias("t1"), F.size("remote_blocks").alias("remote"), F.array_join("title_hits", ",").alias("title_hits"))
+
+
+@query("SELECT doc_id AS ord, title FROM (SELECT ord AS doc_id, title FROM (" + S.POSTINGS_SQL + ")) WHERE " + " OR ".join(f"(doc_id % {len(TITLED)} = {i} AND regexp_matches(title, '(?i)(^|" + NO_WORD + f")({v})(" + NO_WORD + "|$)'))" for i, v in enumerate(TITLED.values())))
+def f1_title_matches(spark, d):
+    """The title rule: postings whose title has the term of their search."""
+    terms = list(TITLED)
+    rows = S.postings(spark, d).withColumn("search_terms", F.array(F.element_at(F.array(*[F.lit(t) for t in terms]), (F.col("ord") % len(terms) + 1).cast("int"))))
+    hits = V.keyword_blocks([], [], terms)(F.col("title"), F.lit(None).cast("array<string>"))["title_hits"]
+    return stage0.of_title(rows.withColumn("title_hits", hits)).select("ord", "title")
+
+
 @query("SELECT ord, title, company, reasoning, repost_count FROM (SELECT *, count(*) OVER (PARTITION BY title, company, reasoning) AS repost_count, row_number() OVER (PARTITION BY title, company, reasoning ORDER BY ord) AS k FROM (" + S.LEDGER_SQL + ")) WHERE k = 1")
 def x5_x6_collapsed(spark, d):
     return linkage.collapsed(S.ledger(spark, d), "title", "company", "reasoning").select("ord", "title", "company", "reasoning", "repost_count")
