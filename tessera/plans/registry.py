@@ -119,7 +119,10 @@ def t8_quote_in_text(spark, d):
     return rows.select("doc_id", T.quote_in_text(quote, "text").alias("held"))
 
 
-@query()
+UNESCAPED = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"  # the entities that pages have
+
+
+@query("SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(" + UNESCAPED.format(UNESCAPED.format("html")) + ", '<[^>]+>', chr(10), 'g'), '\\s+\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS h FROM pages")
 def t9_html_text(spark, d):
     return S.read(spark, d, "pages").select("page_id", F.md5(T.plain("html", V.html_unescape)).alias("h"))
 
@@ -168,7 +171,10 @@ def t18_language_codes(spark, d):
     return S.read(spark, d, D).groupBy("lang").agg(F.count("*").alias("n")).select("lang", "n", F.array_join(T.language_codes(F.array(names[F.col("lang")], F.lit("Klingon"))), ",").alias("codes"))
 
 
-@query()
+STOP_COUNTS = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS code, len(list_filter(t, lambda x: list_contains([" + ", ".join(f"'{w}'" for w in words.split()) + "], x))) AS n FROM w" for c, words in V.STOP_WORDS.items())
+
+
+@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents WHERE length(trim(text)) >= 20), c AS (" + STOP_COUNTS + "), b AS (SELECT doc_id, arg_max(code, lpad(CAST(n AS VARCHAR), 12, '0') || code) AS code, max(n) AS n FROM c GROUP BY 1) SELECT d.doc_id, lang, CASE WHEN n > 0 THEN code END AS detected FROM documents d LEFT JOIN b USING (doc_id)")
 def t19_languages(spark, d):
     return S.read(spark, d, D).select("doc_id", "lang", V.detect_language()("text").alias("detected"))
 
