@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised helpers take at a time, so that their 8-byte temporaries stay small.
@@ -22,32 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
 def whole_rows(df: DataFrame, *more: Column) -> DataFrame:
     """The rows as one column, `doc`, beside others: so no name of theirs clashes with what they are joined to."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), *more)
 
 
-def numbered(df: DataFrame, *order) -> DataFrame:
-    """The rows with `number`, from 0 in the given order: counted by ranges, so that no task sorts them all."""
-    ranged = cut(df.repartitionByRange(parts(df), *order).withColumn("_range", F.spark_partition_id()))
-    before, at = [], 0
-    for row in ranged.groupBy("_range").count().orderBy("_range").collect():  # a row for each range
-        before += [F.lit(row["_range"]), F.lit(at)]
-        at += row["count"]
-    start = F.element_at(F.create_map(*before), F.col("_range")) if before else F.lit(0)
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("number", (start + place - 1).cast("long")).drop("_range")
-
-
 def smallest(df: DataFrame, key: Column, most: int, *ties: str, rows: int | None = None) -> DataFrame:
     """The rows of the `most` smallest 64-bit hashes. Hashes far above them are dropped where they are read, so that
     what reaches the driver does not grow with the number of tasks."""

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, mix, parts, powers
+from tessera.llm.common import mix, parts, powers
+from tessera.operators.graph import cut
 
 K, S, ANCHORS, PLACES = 16, 7, 64, 1 << 24
 

@@ -154,7 +154,7 @@ def scan(text: str | None, places: ahocorasick.Automaton) -> tuple:
                 doubt *= 1 - SURE["tag"]
                 spans.append(f"tag:{tag}")
                 expressions.append(form)
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - doubt, ",".join(spans), ";".join(expressions)
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), round(1 - doubt, 9), ",".join(spans), ";".join(expressions)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

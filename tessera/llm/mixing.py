@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, cut, numbered, whole_rows, words
+from tessera.llm.common import chunks, whole_rows, words
+from tessera.operators.graph import cut, numbered
 
 #: Words of a block, words of a shard (a sum over documents in one shard stays in one task), and the most passes over a source.
 BLOCK, SHARD, MOST = 64, 400_000, 3
@@ -52,8 +53,8 @@ def targets(sized: DataFrame, most: int = MOST) -> DataFrame:
     The rule's own rounds: each is one sum over the sources, and what the driver keeps is the words of a unit of weight.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per = cut(numbered(per, F.col("source").isNull(), F.encode("source", "UTF-8")))
-    per = per.select("source", "source_size", (F.col("number") % 3 + 1).cast("double").alias("weight"), (most * F.col("source_size")).cast("double").alias("cap"))
+    per = cut(numbered(per, "number", F.col("source").isNull(), F.encode("source", "UTF-8")))
+    per = per.select("source", "source_size", ((F.col("number") - 1) % 3 + 1).cast("double").alias("weight"), (most * F.col("source_size")).cast("double").alias("cap"))
     total, weights = per.agg(F.sum("source_size"), F.sum("weight")).first()
     unit, before = (total or 0) / (weights or 1), None
     while True:

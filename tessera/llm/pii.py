@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, smallest
+from tessera.llm.common import smallest
+from tessera.operators.graph import cut
 
 KINDS = ("email", "ip", "card", "phone")
 #: Spans that the classifier is fitted on (smallest seeded hashes first).

@@ -14,10 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, whole_rows
+from tessera.llm.common import whole_rows
+from tessera.operators.graph import cut
 
 SPACES = " \t\n\u000b\u000c\r"
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: Crowded lines (two hashes, a host and an id each) that are broadcast; with more of them lines are shuffled.
+CROWDED = 100_000
 
 
 @dataclass(frozen=True)
@@ -96,7 +99,9 @@ def crowded_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, li
     crowded = few.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).where(F.col("n") > limits.line_share * F.col("docs"))
     crowded = crowded.select(F.col("host").alias("_host"), F.col("a").alias("_a"), F.col("b").alias("_b"), "first")
     lines = rows.select("id", "th", "host", F.posexplode_outer("ls").alias("p", "x")).where("x is not null").select("id", "th", "host", "p", line_key(F.col("x")).alias("k"), F.size(F.split("x", " ")).alias("n")).select("id", "th", "host", "p", "k.a", "k.b", "n")
-    met = lines.join(crowded.hint("shuffle_hash"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & F.col("host").eqNullSafe(F.col("_host")))
+    crowded = cut(crowded)
+    few = F.broadcast(crowded) if crowded.count() <= CROWDED else crowded.hint("shuffle_hash")
+    met = lines.join(few, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & F.col("host").eqNullSafe(F.col("_host")))
     met = met.where(~F.col("id").eqNullSafe(F.col("first")))
     met = met.groupBy("id", "th", "host", "a", "b", "p").agg(F.max("n").alias("n"))
     per = met.groupBy("id", "th", "host", "a", "b").agg(F.sum("n").alias("n"), F.count("*").alias("times"))

@@ -36,7 +36,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,32 @@ t AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(r.b) AS component_id FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1, 2"""
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": QUALITY_SQL, "op9_ngram_jaccard": JACCARD_SQL}
+#: Every window of 50 bytes, the smallest document of each, and what is left between the removed runs.
+PASSAGES_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, array_slice(b, i, i + 49) AS s FROM (SELECT doc_id, b, unnest(generate_series(1, n - 49)) AS i FROM d WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE low < doc_id),
+k AS (SELECT doc_id, i, count(*) FILTER (before IS NULL OR i > before + 50) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g)),
+r AS (SELECT doc_id, k, min(i) AS a, max(i) + 49 AS z FROM k GROUP BY doc_id, k),
+p AS (SELECT doc_id, k, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) + 1 AS f, a - 1 AS t FROM r UNION ALL SELECT doc_id, max(k) + 1, max(z) + 1, any_value(n) FROM r JOIN d USING (doc_id) GROUP BY doc_id),
+h AS (SELECT doc_id, sha256(unhex(string_agg(CASE WHEN t >= f THEN hex(array_slice(b, f, t)) ELSE '' END, '' ORDER BY k))) AS sha FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, coalesce(sha, sha256(b)) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN h USING (doc_id)"""
+
+
+
+def _phrase(phrase: str, label: str) -> str:
+    words = phrase.split()
+    return f"struct_pack(label := '{label}', spots := list_filter(range(len(w)), lambda i: w[i + 1:i + {len(words)}] = [{', '.join(repr(x) for x in words)}]))"
+
+
+#: Places of every phrase among the words, for the tests: SQL does not parse the expressions behind tags (the given tables have no tags).
+LICENSE_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, [{", ".join(_phrase(*x) for x in licenses.BASE)}] AS b, [{", ".join(_phrase(*x) for x in licenses.NOTICES)}] AS m FROM w),
+q AS (SELECT doc_id, n, flatten(list_transform(b, lambda x: x.spots)) AS spots, list_transform(list_filter(b, lambda x: len(x.spots) > 0), lambda x: x.label) AS bl, len(flatten(list_transform(m, lambda x: x.spots))) AS more, list_transform(list_filter(m, lambda x: len(x.spots) > 0), lambda x: x.label) AS ml FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, CAST(list_min(spots) AS BIGINT) AS first_word, CAST(list_max(spots) AS BIGINT) AS last_word, array_to_string(list_sort(list_distinct(bl)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(bl, ml))), ',') AS labels,
+ round(1 - pow(1 - {licenses.SURE["base"]}, len(spots)) * pow(1 - {licenses.SURE["notice"]}, more), 9) AS score, '' AS expressions FROM q"""
+
+ORACLE_SQL: dict[str, str] = {"op6_suffix_dedup": PASSAGES_SQL, "op8_quality_rules": QUALITY_SQL, "op9_ngram_jaccard": JACCARD_SQL}

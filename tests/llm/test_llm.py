@@ -2,16 +2,18 @@
 
 import hashlib
 import heapq
+import os
 import random
 import re
 import tracemalloc
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import common, fingerprints, induced, licenses, mixing, packing, passages, pii, quality, similarity, toxicity, url_filter
+from tessera.llm import common, fingerprints, induced, licenses, mixing, packing, passages, pii, quality, registry, similarity, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DDL = "doc_id long, text string, lang string, source string, n_chars long, size int, score string"
@@ -524,6 +526,19 @@ def test_expressions_brute_force():
             assert holds(text, held) == holds(form, held)
 
 
+def test_license_scan_against_sql(spark):
+    """Whole texts of the smallest table, which has no tags, against phrases sought in SQL."""
+    path = os.path.join(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"), "documents.parquet")
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    want = con.execute(registry.LICENSE_SQL)
+    names = [d[0] for d in want.description]
+    got = licenses.license_scan(spark.read.parquet(path)).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
 def test_license_places_brute_force():
     """Places, counts and labels against a comparison at every word of random texts."""
     r, find = random.Random(12), licenses.automaton()
