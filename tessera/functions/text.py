@@ -53,6 +53,8 @@ SOFTENERS = (
 NOUNS = r"markets?|sector|industry|customers?|clients?|users?|region|law|regulations?|legislation|compan(?:y|ies)|teams?|office|government|authorit(?:y|ies)|entity|subsidiary"
 #: How many characters a cue may be away from a language's name.
 NEAR = 40
+# Letters that fold to several.
+FOLDED = (("ß", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
 # Markdown escapes, noise in front of and behind a sentence, bullets, numbers, and where a sentence ends.
 ESCAPED, LEAD, TRAIL = r"\\([-_*.\[\]()#+!`&|~<>])", "^[\\s*_>#•·‣◦-]+", "[\\s*_#]+$"
 PREFIX, NUMBER, STOP = "^[•·*‣◦\\-]\\s*", "^\\d+[.)]\\s+", "(?<=[.!?])\\s+"
@@ -116,8 +118,7 @@ def tokens(c: Column | str) -> Column:
 def normal_text(c: Column | str) -> Column:
     """Tags and what is no word to blanks, lower case, single blanks."""
     t = F.regexp_replace(text(c), "<[^>]+>", " ")
-    t = F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}\\s]", " ")
-    return strip(F.regexp_replace(t, "\\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}]+", " "))
 
 
 def normal_title(c: Column | str) -> Column:
@@ -132,7 +133,10 @@ def quote_form(c: Column | str) -> Column:
     t = F.regexp_replace(text(c), r"\\([\\`*_{}\[\]()#+\-.!&|~<>])", "$1")
     t = F.regexp_replace(t, "[*_`#>|~]+", " ")
     t = F.translate(t, "’‘“”«»‐‑–—\u00a0\u202f", "''\"\"\"\"----  ")
-    return F.replace(F.lower(strip(F.regexp_replace(t, "\\s+", " "))), F.lit("ß"), F.lit("ss"))
+    t = F.translate(F.lower(strip(F.regexp_replace(t, "\\s+", " "))), "ſς", "sσ")
+    for one, folded in FOLDED:
+        t = F.replace(t, F.lit(one), F.lit(folded))
+    return t
 
 
 def quote_in_text(quote: Column | str, body: Column | str) -> Column:

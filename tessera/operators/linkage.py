@@ -14,7 +14,7 @@ ALIKE = 85
 
 def hash_edges(postings: DataFrame) -> DataFrame:
     """a, b (ord): every posting to the first with its content hash: a star, not all pairs."""
-    some = postings.where("content_hash <> ''").select("ord", "content_hash")
+    some = cut(postings.where("content_hash <> ''").select("ord", "content_hash"))  # read twice, hashed once
     first = some.groupBy("content_hash").agg(F.min("ord").alias("a")).withColumnRenamed("content_hash", "_h")
     return some.join(first, F.col("content_hash") == F.col("_h")).where("a <> ord").select("a", F.col("ord").alias("b"))
 
@@ -22,17 +22,22 @@ def hash_edges(postings: DataFrame) -> DataFrame:
 def word_edges(postings: DataFrame) -> DataFrame:
     """a, b (ord): postings of one normalised company and title whose word sets are alike.
 
-    Equal word sets are one node, by a star to the first. Of the different ones, pairs come from shared prefix words
+    Only keys of several postings have their texts parted. Equal word sets are one node, by a star to the first. Of the different ones, pairs come from shared prefix words
     (rarest first within the key), so a title reposted thousands of times with other texts is not paired with itself;
     a pair is checked by set sizes before its sets are compared.
     """
-    df = postings.select("ord", T.normal_text("company").alias("_c"), T.normal_title("title").alias("_t"), F.array_sort(F.array_distinct(F.split(T.normal_text("description"), " "))).alias("w"))
-    df = df.where("_c <> '' and _t <> '' and w[0] <> ''")
-    df = df.select("ord", "_c", "_t", "w", F.sha2(F.array_join("w", " "), 256).alias("_h"))
-    first = df.groupBy("_c", "_t", "_h").agg(F.min("ord").alias("a"), F.first("w").alias("w"))
-    of = first.select(F.col("_c").alias("_c2"), F.col("_t").alias("_t2"), F.col("_h").alias("_h2"), "a")
-    star = df.select("_c", "_t", "_h", F.col("ord").alias("b")).join(of, (F.col("_h") == F.col("_h2")) & (F.col("_c") == F.col("_c2")) & (F.col("_t") == F.col("_t2"))).where("a <> b").select("a", "b")
-    node = cut(first.select(F.sha2(F.concat_ws("\u0001", "_c", "_t"), 256).alias("k"), "a", "w", F.size("w").alias("n")))
+    company, title = T.normal_text("company"), T.normal_title("title")
+    key = F.when((company != "") & (title != ""), F.sha2(F.concat_ws("\u0001", company, title), 256))
+    keys = cut(postings.select("ord", key.alias("k")).where("k is not null"))
+    several = keys.groupBy("k").agg(F.count("*").alias("_n")).where("_n > 1").select("k")
+    some = keys.join(several, "k", "left_semi").select(F.col("ord").alias("_o"), "k")
+    df = postings.select("ord", "description").join(some, F.col("ord") == F.col("_o"))
+    df = df.select("ord", "k", F.array_sort(F.array_distinct(F.split(T.normal_text("description"), " "))).alias("w")).where("w[0] <> ''")
+    df = cut(df.select("ord", "k", "w", F.sha2(F.array_join("w", " "), 256).alias("_h")))
+    first = df.groupBy("k", "_h").agg(F.min("ord").alias("a"), F.first("w").alias("w"))
+    of = first.select(F.col("k").alias("_k2"), F.col("_h").alias("_h2"), "a")
+    star = df.select("k", "_h", F.col("ord").alias("b")).join(of, (F.col("_h") == F.col("_h2")) & (F.col("k") == F.col("_k2"))).where("a <> b").select("a", "b")
+    node = cut(first.select("k", "a", "w", F.size("w").alias("n")))
     word = node.select("k", "a", "n", F.explode("w").alias("x"))
     rare = word.groupBy("k", "x").agg(F.count("*").alias("df")).where("df > 1")
     place = Window.partitionBy("k", "a").orderBy("df", "x")
