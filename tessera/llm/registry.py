@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, licenses, mixing, packing, passages, pii, quality, similarity, toxicity, url_filter
+from tessera.llm import fingerprints, licenses, mixing, packing, passages, pii, quality, sharding, similarity, spelling, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -51,8 +51,16 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op12_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_fingerprints, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_ngram_jaccard, op10_personal_data)
+    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_fingerprints, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_ngram_jaccard, op10_personal_data, op12_stratified_shards, op13_spelling_variants)
 }
 
 WS = "[\\x20\\x09-\\x0D]"
@@ -110,4 +118,33 @@ q AS (SELECT doc_id, n, flatten(list_transform(b, lambda x: x.spots)) AS spots,
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, CAST(list_min(spots) AS BIGINT) AS first_word, CAST(list_max(spots) AS BIGINT) AS last_word, array_to_string(list_sort(list_distinct(bl)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(bl, ml))), ',') AS labels,
  round(1 - pow(1 - {licenses.SURE["base"]}, len(spots)) * pow(1 - {licenses.SURE["notice"]}, more), 9) AS score, '' AS expressions FROM q"""
 
-ORACLE_SQL: dict[str, str] = {"op6_suffix_dedup": PASSAGES_SQL, "op8_quality_rules": QUALITY_SQL, "op9_ngram_jaccard": JACCARD_SQL}
+#: CRC-32 of a blob's bytes, by the table of the remainders of all bytes.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS crcs"
+
+
+def _crc(blob: str) -> str:
+    of_bytes = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce({of_bytes}, lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+SHARDS_SQL = f"""
+WITH t AS ({CRC_TABLE}),
+x AS (SELECT DISTINCT text, coalesce(CAST({_crc("encode(text)")} AS BIGINT), 0) AS text_crc32 FROM documents, t),
+d AS (SELECT doc_id, source, CAST(coalesce(octet_length(encode(x.text)), 0) + {sharding.ROW_BYTES} AS BIGINT) AS size, text_crc32, md5('{sharding.SEED}:' || doc_id) AS k FROM documents JOIN x ON documents.text IS NOT DISTINCT FROM x.text),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id, size, text_crc32) AS r, count(*) OVER (PARTITION BY source) AS n FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / (2 * n), source NULLS FIRST, k, doc_id, size, text_crc32) - 1 AS p, count(*) OVER () AS c FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p * {sharding.SHARDS} // c AS INT) AS shard, p - (p * {sharding.SHARDS} // c * c + {sharding.SHARDS - 1}) // {sharding.SHARDS} AS slot, CAST(NULL AS INT) AS grown_shard, source FROM p"""
+#: Near words by the word without each of its characters; forms lead on by recursion.
+SPELLING_SQL = f"""
+WITH RECURSIVE t AS ({CRC_TABLE}),
+o AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents) WHERE length(w) >= {spelling.LEAST_LENGTH} GROUP BY 1, 2),
+h AS (SELECT w, c, {_crc("encode(doc_id || ':' || w)")} AS h FROM o, t),
+v AS (SELECT CASE WHEN h % {spelling.ONE_IN} = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, CAST(sum(c) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= {spelling.LEAST_LENGTH} AND sum(c) >= {spelling.LEAST_COUNT}),
+g AS (SELECT word, n, i, word[:i] || word[i + 2:] AS s FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+e AS (SELECT a.word AS a, b.word AS b, b.n FROM g a JOIN g b ON a.i = b.i AND a.s = b.s AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM g a JOIN v b ON a.s = b.word UNION SELECT b.word, a.word, a.n FROM g a JOIN v b ON a.s = b.word),
+m AS (SELECT a, count(DISTINCT b) AS n_near, max(n) AS top, arg_min(b, (-n, b)) AS b FROM e GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {spelling.TIMES} * n THEN b END AS form, CASE WHEN top >= {spelling.TIMES} * n THEN top END AS form_n FROM v LEFT JOIN m ON word = a),
+r AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, z.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM r GROUP BY word) z USING (word)"""
+
+ORACLE_SQL: dict[str, str] = {"op12_stratified_shards": SHARDS_SQL, "op13_spelling_variants": SPELLING_SQL, "op6_suffix_dedup": PASSAGES_SQL, "op8_quality_rules": QUALITY_SQL, "op9_ngram_jaccard": JACCARD_SQL}
