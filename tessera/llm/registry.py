@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, licenses, mixing, packing, passages, pii, quality, sharding, similarity, spelling, toxicity, url_filter
+from tessera.llm import fingerprints, licenses, mixing, packing, passages, pii, quality, sharding, similarity, spelling, toxicity, url_filter, whitening
 from tessera.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
@@ -60,7 +64,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_fingerprints, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_ngram_jaccard, op10_personal_data, op12_stratified_shards, op13_spelling_variants)
+    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_fingerprints, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_ngram_jaccard, op10_personal_data, op11_whitened_embeddings, op12_stratified_shards, op13_spelling_variants)
 }
 
 WS = "[\\x20\\x09-\\x0D]"
