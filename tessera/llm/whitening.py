@@ -174,7 +174,7 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     flat = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
     lengths = np.diff(ends)
     if len(lengths) and (lengths == d).all():
-        return flat.reshape(-1, d)
+        return flat.reshape(len(lengths), d)
     out = np.zeros((len(lengths), d), np.int64)
     at = np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], lengths)
     out[np.repeat(np.arange(len(lengths)), lengths), at] = flat
