@@ -19,9 +19,17 @@ REMOTE = "verdict string, reason string, evidence_sids array<string>, answers ar
 
 
 def parsed(raw: Column, schema: str) -> Column:
-    """A whole-text JSON answer, with or without a code fence; null unless it is one object."""
+    """A whole-text JSON answer, with or without a code fence; null unless it is one whole object and nothing else.
+
+    from_json reads the first value of a text and passes over what follows, and gives a struct of nulls for a broken
+    one. So the text is first read as the first entry of a list that ends with the text's own digest: a broken object
+    breaks the list, and a second value or an early end moves the digest from its place.
+    """
     bare = T.strip(F.regexp_replace(T.strip(T.text(raw)), "^```(?:json)?\\s*|\\s*```$", ""))
-    return F.when(bare.rlike("(?s)^\\{.*\\}$"), F.from_json(bare, schema, {"mode": "PERMISSIVE"}))
+    digest = F.sha1(bare)
+    both = F.from_json(F.concat(F.lit("["), bare, F.lit(',"'), digest, F.lit('"]')), "array<string>", {"allowSingleQuotes": "false"})
+    whole = bare.startswith("{") & (F.size(both) == 2) & (F.get(both, F.lit(1)) == digest)
+    return F.when(whole, F.from_json(bare, schema, {"mode": "PERMISSIVE"}))
 
 
 def merged_criteria(judged: DataFrame, rubric: DataFrame) -> DataFrame:

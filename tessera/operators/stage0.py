@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,13 +78,14 @@ def rubric_problems(criteria: DataFrame) -> DataFrame:
     return twice.unionByName(bare).unionByName(kind).unionByName(none)
 
 
-def waterfall(postings: DataFrame, languages: list[str], tier1: list[str], exclude: list[str], remote: list[str] | None = None, stage1: bool = True, drop_without_keywords: bool = True, terms: list[str] | None = None, language_column: str | None = None) -> DataFrame:
+def waterfall(postings: DataFrame, languages: list[str], tier1: list[str], exclude: list[str], remote: list[str] | None = None, stage1: bool = True, drop_without_keywords: bool = True, terms: list[str] | None = None, language_column: str | None = None, detect: Callable[[Column], Column] | None = None) -> DataFrame:
     """The postings with blocks, content hash, requirement and drop_reason: the first rule, in order, that drops them.
 
     Postings that the language rule drops have no blocks (null): their texts are not read further. For the others
-    sentences are cut in the JVM and one Arrow pass looks up all keywords; an existing language column spares the detector.
+    sentences are cut in the JVM and one Arrow pass looks up all keywords. Languages come from an existing column, from a
+    detector (language.detector() of profiles made from labelled texts), or else from counted stop words.
     """
-    detected = F.col(language_column) if language_column else V.detect_language()(F.coalesce("description", F.lit("")))
+    detected = F.col(language_column) if language_column else (detect or V.detect_language())(F.coalesce("description", F.lit("")))
     short = F.length(T.strip(T.text("description"))) < 20
     foreign = F.lit(bool(languages)) & ~short & F.coalesce(~detected.isin(languages or [""]), F.lit(False))
     df = postings.withColumn("_foreign", foreign)

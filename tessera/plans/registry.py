@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import language as L
 from tessera.functions import text as T
 from tessera.functions import vectorized as V
 from tessera.operators import boards, judging, ledger, linkage, stage0
@@ -76,7 +77,47 @@ def t3_tokens(spark, d):
     return S.read(spark, d, D).select("doc_id", T.tokens("text").alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("h"))
 
 
-@query()
+def _shape(x: str) -> str:
+    return f"list_reduce(string_split({x}, ''), lambda y, l: y || CASE WHEN l IN ('a', 'e', 'i', 'o', 'u') OR l = 'y' AND y LIKE '%c' THEN 'v' WHEN l = '' THEN '' ELSE 'c' END, '')"
+
+
+def _measure(x: str) -> str:
+    return f"len(regexp_extract_all({_shape(x)}, 'v+c+'))"
+
+
+def _short(x: str) -> str:
+    return f"(length({x}) >= 3 AND {_shape(x)} LIKE '%cvc' AND right({x}, 1) NOT IN ('w', 'x', 'y'))"
+
+
+def _double(x: str) -> str:
+    return f"(length({x}) >= 2 AND right({x}, 1) = {x}[-2:-2] AND {_shape(x)} LIKE '%c')"
+
+
+def _endings(endings: tuple) -> str:
+    each = lambda old, new: f"WHEN w LIKE '%{old}' THEN CASE WHEN {_measure(f'left(w, -{len(old)})')} > 0 THEN left(w, -{len(old)}) || '{new}' ELSE w END"
+    return "CASE " + " ".join(each(*x) for x in endings) + " ELSE w END"
+
+
+def stems_sql(words: str) -> str:
+    """word, stem of a query with a column `word` (lower case): the suffix stripper a step at a time."""
+    cut = "left(w, -CASE WHEN w LIKE '%ed' THEN 2 ELSE 3 END)"
+    last = "CASE " + " ".join(f"WHEN w LIKE '%{e}'" + (" AND (w LIKE '%sion' OR w LIKE '%tion')" if e == "ion" else "") + f" THEN CASE WHEN {_measure(f'left(w, -{len(e)})')} > 1 THEN left(w, -{len(e)}) ELSE w END" for e in V.FOURTH) + " ELSE w END"
+    steps = (
+        "CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, -2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, -1) ELSE w END",
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {_measure('left(w, -3)')} > 0 THEN left(w, -1) ELSE w END WHEN (w LIKE '%ed' OR w LIKE '%ing') AND contains({_shape(cut)}, 'v') THEN '+' || {cut} ELSE w END",
+        f"CASE WHEN w NOT LIKE '+%' THEN w WHEN w LIKE '%at' OR w LIKE '%bl' OR w LIKE '%iz' THEN w[2:] || 'e' WHEN {_double('w[2:]')} AND right(w, 1) NOT IN ('l', 's', 'z') THEN left(w[2:], -1) WHEN {_measure('w[2:]')} = 1 AND {_short('w[2:]')} THEN w[2:] || 'e' ELSE w[2:] END",
+        f"CASE WHEN w LIKE '%y' AND contains({_shape('left(w, -1)')}, 'v') THEN left(w, -1) || 'i' ELSE w END",
+        _endings(V.SECOND), _endings(V.THIRD), last,
+        f"CASE WHEN w LIKE '%e' AND ({_measure('left(w, -1)')} > 1 OR {_measure('left(w, -1)')} = 1 AND NOT {_short('left(w, -1)')}) THEN left(w, -1) ELSE w END",
+        f"CASE WHEN w LIKE '%l' AND {_measure('w')} > 1 AND {_double('w')} THEN left(w, -1) ELSE w END",
+    )
+    inner = f"SELECT word, word AS w FROM ({words})"
+    for step in steps:
+        inner = f"SELECT word, CASE WHEN length(word) <= 2 THEN word ELSE {step} END AS w FROM ({inner})"
+    return f"SELECT word, w AS stem FROM ({inner})"
+
+
+@query("WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM documents), n AS (SELECT word, count(*) AS documents FROM t GROUP BY word) SELECT word AS w, stem, documents FROM (" + stems_sql("SELECT word FROM n") + ") JOIN n USING (word)")
 def t4_stems(spark, d):
     words = S.read(spark, d, D).select(F.explode(F.array_distinct(F.transform(T.tokens("text"), F.lower))).alias("w")).groupBy("w").agg(F.count("*").alias("documents"))
     return words.select("w", F.get(V.stem_tokens(F.array("w")), F.lit(0)).alias("stem"), "documents")
@@ -171,12 +212,31 @@ def t18_language_codes(spark, d):
     return S.read(spark, d, D).groupBy("lang").agg(F.count("*").alias("n")).select("lang", "n", F.array_join(T.language_codes(F.array(names[F.col("lang")], F.lit("Klingon"))), ",").alias("codes"))
 
 
-STOP_COUNTS = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS code, len(list_filter(t, lambda x: list_contains([" + ", ".join(f"'{w}'" for w in words.split()) + "], x))) AS n FROM w" for c, words in V.STOP_WORDS.items())
+#: Documents whose language the detector is not told.
+HELD_OUT = "substr(md5(cast(doc_id as string)), 1, 1) in ('0', '1', '2')"
+_GRAMS = " UNION ALL ".join(
+    f"SELECT doc_id, lang, held_out, (" + " + ".join(f"c{j} * {f}" for j, f in enumerate(L.FACTORS[:n])) + f" + {n * L.LENGTH_FACTOR}) % {L.BUCKETS} AS k FROM c WHERE c{n - 1} IS NOT NULL" for n in range(1, len(L.FACTORS) + 1)
+)
+#: d: doc_id, code of every document with a text that has letters and 20 characters, by profiles of the others' languages.
+DETECTED = (
+    "t AS (SELECT doc_id, lang, " + HELD_OUT + " AS held_out, ' ' || regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g') || ' ' AS t FROM documents WHERE length(text) >= " + str(L.LEAST_CHARS) + "), "
+    "c AS (SELECT doc_id, lang, held_out, " + ", ".join(f"lead(c, {j}) OVER (PARTITION BY doc_id ORDER BY i) AS c{j}" for j in range(len(L.FACTORS))) + " FROM (SELECT doc_id, lang, held_out, generate_subscripts(cs, 1) AS i, CAST(unicode(unnest(cs)) AS BIGINT) AS c FROM (SELECT *, string_split(t, '') AS cs FROM t))), "
+    "g AS MATERIALIZED (SELECT doc_id, lang, held_out, k, count(*) AS m FROM (" + _GRAMS + ") GROUP BY ALL), "
+    "q AS (SELECT lang, k, sum(m) AS n FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL), "
+    f"o AS (SELECT lang AS code, sum(n) + {L.PRIOR * L.BUCKETS} AS whole FROM q GROUP BY 1), "
+    f"s AS (SELECT doc_id, code, sum(m * floor(ln((coalesce(n, 0) + {L.PRIOR}) / whole) * {L.STEPS} + 0.5)) AS score FROM g CROSS JOIN o LEFT JOIN q ON q.lang = code AND q.k = g.k GROUP BY 1, 2), "
+    f"d AS (SELECT doc_id, arg_max(code, (score, code)) AS code FROM s WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= {L.LEAST_CHARS} AND regexp_matches(text, '\\p{{L}}')) GROUP BY 1)"
+)
+
+
+def _model(spark, d) -> tuple:
+    return L.weights(L.profiles(S.read(spark, d, D).where(f"not {HELD_OUT}")))
 
 
-@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents WHERE length(trim(text)) >= 20), c AS (" + STOP_COUNTS + "), b AS (SELECT doc_id, arg_max(code, lpad(CAST(n AS VARCHAR), 12, '0') || code) AS code, max(n) AS n FROM c GROUP BY 1) SELECT d.doc_id, lang, CASE WHEN n > 0 THEN code END AS detected FROM documents d LEFT JOIN b USING (doc_id)")
+@query("WITH " + DETECTED + " SELECT x.doc_id, x.lang, " + HELD_OUT.replace("doc_id", "x.doc_id") + " AS held_out, code AS detected FROM documents x LEFT JOIN d USING (doc_id)")
 def t19_languages(spark, d):
-    return S.read(spark, d, D).select("doc_id", "lang", V.detect_language()("text").alias("detected"))
+    """The language of every document by profiles made from those that are not held out."""
+    return S.read(spark, d, D).select("doc_id", "lang", F.expr(HELD_OUT).alias("held_out"), L.detector(_model(spark, d))("text").alias("detected"))
 
 
 @query("SELECT event_id, replace(replace(strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00'), ':', '-'), '+', '-') AS stamp FROM events")
@@ -221,8 +281,12 @@ def f4_excluded(spark, d):
     return S.read(spark, d, D).select("doc_id", T.excluded(F.lit(""), "text", EXCLUDE).alias("excluded"))
 
 
+#: The languages that the funnel's reader knows.
+READ = ["en", "de", "fr"]
+
+
 def _filtered(spark, d) -> DataFrame:
-    return stage0.waterfall(S.postings(spark, d), READS, TIER1, EXCLUDE, REMOTE, terms=["The", "Le", "Der", "El"], language_column="location")
+    return stage0.waterfall(S.postings(spark, d), READ, TIER1, EXCLUDE, REMOTE, terms=["The", "Le", "Der", "El"], detect=L.detector(_model(spark, d)))
 
 
 def _screened(spark, d) -> DataFrame:
@@ -349,7 +413,8 @@ SCREENED = (
     + ", ".join(f"b{k} AS (SELECT s.ord, s.n, s.s, bool_or(h.n = s.n) AS m FROM s JOIN (SELECT ord, n FROM s WHERE h{k}) h ON h.ord = s.ord AND abs(h.n - s.n) <= 1 GROUP BY s.ord, s.n, s.s)" for k in (1, 2))
     + ", t AS (SELECT ord, -1 AS n, trim(title) AS s, regexp_matches(title, '" + SECOND_SQL + "') AS m FROM p WHERE trim(title) <> '' AND (ord IN (SELECT ord FROM b2) OR regexp_matches(title, '" + SECOND_SQL + "'))), b3 AS (SELECT * FROM b2 UNION ALL SELECT * FROM t), "
     + ", ".join(f"c{k} AS (SELECT ord, CAST(count(*) AS INT) AS c, md5(string_agg(n || '|' || CAST(m AS INT) || '|' || s, chr(10) ORDER BY n)) AS h FROM b{k} GROUP BY ord)" for k in (1, 3))
-    + ", r1 AS MATERIALIZED (SELECT p.*, coalesce(c1.c, 0) AS t1, coalesce(c3.c, 0) AS remote, coalesce(c1.h, c3.h, '') AS content_hash, CASE WHEN c1.c IS NULL THEN 'no_tier1_hit' WHEN contains(lower(description), 'password=') OR contains(lower(description), 'unsubscribe') OR contains(lower(title), 'password=') OR contains(lower(title), 'unsubscribe') THEN 'exclude_keyword' WHEN c3.c IS NULL THEN 'no_remote_keyword' END AS reason FROM p LEFT JOIN c1 USING (ord) LEFT JOIN c3 USING (ord)), "
+    + ", v AS (WITH " + DETECTED + " SELECT doc_id, code NOT IN ('" + "', '".join(READ) + "') AS far FROM d)"
+    + ", r1 AS MATERIALIZED (SELECT p.*, CASE WHEN far IS NOT TRUE THEN coalesce(c1.c, 0) END AS t1, CASE WHEN far IS NOT TRUE THEN coalesce(c3.c, 0) END AS remote, CASE WHEN far THEN '' ELSE coalesce(c1.h, c3.h, '') END AS content_hash, CASE WHEN far THEN 'language' WHEN c1.c IS NULL THEN 'no_tier1_hit' WHEN contains(lower(description), 'password=') OR contains(lower(description), 'unsubscribe') OR contains(lower(title), 'password=') OR contains(lower(title), 'unsubscribe') THEN 'exclude_keyword' WHEN c3.c IS NULL THEN 'no_remote_keyword' END AS reason FROM p LEFT JOIN v ON v.doc_id = p.ord LEFT JOIN c1 USING (ord) LEFT JOIN c3 USING (ord)), "
     "left_ AS MATERIALIZED (SELECT * FROM r1 WHERE reason IS NULL), " + WORDS_OF.replace("@", "left_") + ", hh AS (SELECT m AS a, ord AS b FROM (SELECT ord, min(ord) OVER (PARTITION BY content_hash) AS m FROM left_) WHERE m <> ord), "
     "tt AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, b FROM hh UNION SELECT b, a FROM hh), rr AS (SELECT ord AS a, ord AS b FROM left_ UNION SELECT rr.a, tt.b FROM rr JOIN tt ON rr.b = tt.a), g AS (SELECT a AS ord, min(b) AS root FROM rr GROUP BY a), "
     "z AS (SELECT r1.ord, coalesce(reason, CASE WHEN g.root <> r1.ord THEN 'duplicate_content' WHEN r1.ord - r1.ord % 2 IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) THEN 'already_seen' END) AS drop_reason, content_hash, t1, remote, "
@@ -597,11 +662,11 @@ def w6_manifest(spark, d):
     return judging.manifest(rows).select("run_id", "stage", "n", "event_id")
 
 
-@query("SELECT run_id, stage, event_id AS n FROM (" + S.OUTCOMES_SQL + ") WHERE event_type IN ('error', 'view')")
+@query("SELECT run_id, stage, event_id AS n FROM (" + S.OUTCOMES_SQL + ") WHERE event_id % 8 >= 3")
 def j13_pending(spark, d):
-    rows = S.outcomes(spark, d).withColumn("n", F.col("event_id"))
-    answers = rows.withColumn("parsed", F.when(~F.col("event_type").isin("error", "view"), F.col("props")))
-    return judging.pending(rows.select("run_id", "stage", "n"), answers)
+    """The rerun list: prompts whose answer is no single whole object (see io7_answers)."""
+    rows = _answers(spark, d).withColumn("n", F.col("event_id"))
+    return judging.pending(rows.select("run_id", "stage", "n"), rows.withColumn("parsed", judging.parsed(F.col("raw"), judging.STAGE1)))
 
 
 @query("WITH o AS (" + S.OUTCOMES_SQL + "), r AS (SELECT run_id, CASE WHEN CAST(substr(run_id, 5) AS INT) % 2 = 0 THEN 'stage1' END AS last FROM o GROUP BY 1) SELECT o.run_id, o.event_id, r.last IS NULL OR o.stage = 'stage1' AS settled FROM o JOIN r USING (run_id) WHERE r.last IS NULL OR o.stage <> 'stage1' OR o.outcome = 'pass'")
@@ -882,11 +947,24 @@ def io5_details(spark, d):
     return landing.with_details(posts, part.select(F.lit("bamboohr").alias("vendor"), F.lit("x").alias("slug"), F.col("p_partkey").cast("string").alias("ref"), body.alias("body"))).select("ref", "description")
 
 
-@query("SELECT event_id, CASE WHEN event_type NOT IN ('error', 'view') THEN event_type END AS reason FROM events")
-def io7_answers(spark, d):
+#: How an answer is written, by event_id % 8; those from 3 on are no single whole object.
+WRITTEN = ("{0}", "```json\n{0}\n```\n", " {0}\n", "{0} {0}", '{0}, "x"] {{}}', "{0} and more", '{{"verdict":"pass", bad}}', "[{0}]")
+
+
+def _answers(spark, d) -> DataFrame:
     good = F.to_json(F.struct(F.lit("pass").alias("verdict"), F.col("event_type").alias("reason")))
-    raw = F.when(F.col("event_type") == "error", F.concat(good, F.lit(" and more"))).when(F.col("event_type") == "view", F.lit("[1]")).when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), good, F.lit("\n```\n"))).otherwise(good)
-    return S.read(spark, d, "events").select("event_id", judging.parsed(raw, judging.STAGE1)["reason"].alias("reason"))
+    raw = F.lit(None).cast("string")
+    for i, shape in enumerate(WRITTEN):
+        parts = [x for piece in shape.split("{0}") for x in (F.lit(piece.replace("{{", "{").replace("}}", "}")), good)][:-1]
+        raw = F.when(F.col("event_id") % len(WRITTEN) == i, F.concat(*parts)).otherwise(raw)
+    return S.outcomes(spark, d).withColumn("raw", raw)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 8 < 3 THEN event_type END AS reason, event_id % 8 < 3 AS readable FROM events")
+def io7_answers(spark, d):
+    """Answers bare, fenced and indented, and two in one, with text behind them, broken or in a list: those are unreadable."""
+    answer = judging.parsed(F.col("raw"), judging.STAGE1)
+    return _answers(spark, d).select("event_id", answer["reason"].alias("reason"), answer.isNotNull().alias("readable"))
 
 
 @query("SELECT event_id, CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS k FROM events")
