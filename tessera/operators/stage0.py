@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import profiles
 from tessera.functions import text as T
 from tessera.functions import vectorized as V
 from tessera.operators import linkage
@@ -103,6 +104,20 @@ def waterfall(postings: DataFrame, languages: list[str], tier1: list[str], exclu
     return df.withColumn("content_hash", sign).withColumn("drop_reason", reason).drop("_foreign")
 
 
+def profile_screen(postings: DataFrame, keywords: DataFrame, window: int = 1) -> DataFrame:
+    """profile_id, ord, keywords (in the profile's order), matched and blocks (numbers of sentences) of every profile that has a keyword in a posting.
+
+    keywords: profile_id, place, keyword. All profiles are looked up in one pass over each text; of the postings only
+    hits go on, by (profile, posting), so neither a profile nor a posting is a hot key. A profile without a keyword in
+    a posting has no row: that is its no_tier1_hit.
+    """
+    owners, texts = profiles.numbered_keywords(keywords)
+    found = postings.select("ord", T.sentences("description").alias("_s")).select("ord", F.size("_s").alias("_n"), F.explode(profiles.keyword_hits(texts)("_s")).alias("h")).select("ord", "_n", "h.keyword_n", "h.sentences")
+    each = found.join(owners, "keyword_n").groupBy("profile_id", "ord").agg(F.max("_n").alias("_n"), F.array_sort(F.collect_set(F.struct("place", "keyword"))).alias("_k"), F.array_distinct(F.flatten(F.collect_list("sentences"))).alias("_at"))
+    near = F.flatten(F.transform("_at", lambda i: F.sequence(F.greatest(i - window, F.lit(0)), F.least(i + window, F.col("_n") - 1))))
+    return each.select("profile_id", "ord", F.array_distinct(F.transform("_k", lambda x: x["keyword"])).alias("keywords"), F.size("_at").alias("matched"), F.size(F.array_distinct(near)).alias("blocks"))
+
+
 def screened(filtered: DataFrame, ledger: DataFrame) -> DataFrame:
     """The waterfall's rows with its last two reasons: survivors that repost an earlier survivor, then those in the ledger.
 

@@ -137,6 +137,38 @@ def t5_j2_keyword_modes(spark, d):
     return S.read(spark, d, D).select("doc_id", F.array_join(V.keyword_hits([k for k, _ in KEYWORDS])("text"), ",").alias("hits"))
 
 
+#: A profile for each benchmark item: of its long words every third as it is, with the next one as a phrase, and with a comma.
+PROFILE_KEYWORDS = (
+    "SELECT item_id AS profile_id, i AS place, CASE i % 3 WHEN 0 THEN w WHEN 1 THEN w || ' ' || v ELSE w || ',' END AS keyword FROM (SELECT item_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w, unnest(list_append(ws[2:], 'end')) AS v FROM (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}]{6,}') AS ws FROM benchmark))"
+)
+PROFILE_SQL = (
+    "WITH k AS MATERIALIZED (" + PROFILE_KEYWORDS + "), s AS MATERIALIZED (" + SENTENCES + "), t AS (SELECT doc_id, n, generate_subscripts(ts, 1) AS i, lower(unnest(ts)) AS word FROM (SELECT doc_id, n, regexp_extract_all(s, '[\\p{L}\\p{N}]+') AS ts FROM s)), "
+    "m AS MATERIALIZED (" + stems_sql("SELECT word FROM t UNION SELECT lower(unnest(regexp_extract_all(keyword, '[\\p{L}\\p{N}]+'))) FROM k") + "), "
+    "ts AS MATERIALIZED (SELECT doc_id, n, stem AS a, lead(stem) OVER (PARTITION BY doc_id, n ORDER BY i) AS b FROM t JOIN m USING (word)), "
+    "ks AS (SELECT k.*, x.stem AS a, y.stem AS b FROM k JOIN m x ON x.word = lower(string_split(keyword, ' ')[1]) LEFT JOIN m y ON y.word = lower(string_split(keyword, ' ')[2]) WHERE keyword NOT LIKE '%,'), "
+    "l AS (SELECT DISTINCT doc_id, n, regexp_extract(unnest(regexp_extract_all(lower(s), '[\\p{L}\\p{N}_]+,([^\\p{L}\\p{N}_]|$)')), '^[^,]+,') AS w FROM s), "
+    "h AS (SELECT profile_id, place, keyword, doc_id, n FROM ks JOIN ts USING (a) WHERE ks.b IS NULL OR ks.b = ts.b UNION SELECT profile_id, place, keyword, doc_id, n FROM k JOIN l ON l.w = lower(keyword)), "
+    "z AS (SELECT doc_id, max(n) AS last FROM s GROUP BY 1), "
+    "r AS (SELECT profile_id, doc_id, count(DISTINCT n) AS matched FROM h GROUP BY ALL), "
+    "c AS (SELECT profile_id, doc_id, count(DISTINCT j) AS blocks FROM (SELECT profile_id, doc_id, unnest([n - 1, n, n + 1]) AS j FROM h) JOIN z USING (doc_id) WHERE j BETWEEN 0 AND last GROUP BY ALL), "
+    "q AS (SELECT profile_id, doc_id, string_agg(keyword, '|' ORDER BY p) AS keywords FROM (SELECT profile_id, doc_id, keyword, min(place) AS p FROM h GROUP BY ALL) GROUP BY ALL) "
+    "SELECT profile_id, doc_id, md5(keywords) AS keywords, CAST(matched AS INT) AS matched, CAST(blocks AS INT) AS blocks FROM r JOIN c USING (profile_id, doc_id) JOIN q USING (profile_id, doc_id)"
+)
+
+
+def _profile_keywords(spark, d) -> DataFrame:
+    words = S.read(spark, d, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[\\p{L}\\p{N}]{6,}"), F.lit(0)).alias("ws"))
+    each = words.select(F.col("item_id").alias("profile_id"), "ws", F.posexplode("ws").alias("i", "w")).withColumn("v", F.coalesce(F.get("ws", F.col("i") + 1), F.lit("end")))
+    return each.selectExpr("profile_id", "i + 1 as place", "case (i + 1) % 3 when 0 then w when 1 then concat(w, ' ', v) else concat(w, ',') end as keyword")
+
+
+@query(PROFILE_SQL)
+def j2_profile_keywords(spark, d):
+    """Whole texts against the keywords of all profiles (a profile for each benchmark item) in one pass: what each profile finds in each posting."""
+    found = stage0.profile_screen(S.postings(spark, d), _profile_keywords(spark, d))
+    return found.select("profile_id", F.col("ord").alias("doc_id"), F.md5(F.array_join("keywords", "|")).alias("keywords"), "matched", "blocks")
+
+
 @query(f"SELECT doc_id, md5({NT.format('text')}) AS body, {NT.format('source')} AS company FROM documents")
 def t6_normal_text(spark, d):
     return S.read(spark, d, D).select("doc_id", F.md5(T.normal_text("text")).alias("body"), T.normal_text("source").alias("company"))
