@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.graph import numbered
+from tessera.sources import bucketed
 
 JUDGED = ("title", "company", "status", "stage_reached", "reasoning", "run_id")
 KEPT = ("user_action", "reason", "decided_at", "review_status")
@@ -36,6 +37,24 @@ def upserted(ledger: DataFrame, results: DataFrame) -> DataFrame:
     return both.select(F.coalesce("_h", "job_url_hash").alias("job_url_hash"), *over, F.coalesce("x.source", "source").alias("source"), F.when(new, F.lit(None).cast("timestamp")).otherwise(F.col("pruned_at")).alias("pruned_at"), *KEPT)
 
 
+#: The columns of a ledger that upserts keep.
+COLUMNS = ("job_url_hash", "job_url", *JUDGED, "last_seen_at", "source", "pruned_at", *KEPT)
+
+
+def upserted_buckets(folder: str, results: DataFrame, empty: DataFrame, journal: int | None = None) -> set[int]:
+    """upserted() on a ledger in buckets: those of the results' keys are read and written, the others stay as they are."""
+    urls = F.array_union(F.array("job_url"), F.coalesce("duplicate_job_urls", F.array().cast("array<string>")))
+    keyed = results.select(F.explode(urls).alias("url")).select(T.url_hash("url").alias(bucketed.KEY))
+    return bucketed.rewritten(results.sparkSession, folder, keyed, lambda rows: upserted(rows, results).select(*COLUMNS), empty, journal)
+
+
+def unseen_in(postings: DataFrame, folder: str) -> DataFrame:
+    """unseen() against a ledger in buckets that is far larger than the run: filters first, then the keys of likely buckets only."""
+    keyed = postings.withColumn("_h", T.url_hash("job_url"))
+    known = bucketed.known(keyed.select(F.col("_h").alias(bucketed.KEY)), folder)
+    return keyed.join(known, F.col("_h") == F.col(bucketed.KEY), "left_anti").drop("_h")
+
+
 def decided(ledger: DataFrame, events: DataFrame) -> DataFrame:
     """Decisions (job_url, ts, action, reason) folded into the ledger: the last given value of each field; unknown jobs and actions are ignored."""
     known = events.where(F.col("action").isNull() | F.col("action").isin(*ACTIONS))

@@ -16,9 +16,9 @@ from tessera.functions import language as L
 from tessera.functions import text as T
 from tessera.functions import vectorized as V
 from tessera.operators import boards, judging, ledger, linkage, stage0
-from tessera.operators.graph import shared_folder
+from tessera.operators.graph import cut, shared_folder
 from tessera.plans import tables as S
-from tessera.sources import exports, history, landing
+from tessera.sources import bucketed, exports, history, landing
 from tessera.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,8 +322,7 @@ def _filtered(spark, d) -> DataFrame:
 
 
 def _screened(spark, d) -> DataFrame:
-    """With the ledger that j4_unseen has: the whole one knows every URL of the derived postings."""
-    return stage0.screened(_filtered(spark, d), S.ledger(spark, d).where("ord % 3 = 0"))
+    return stage0.screened(_filtered(spark, d), S.ledger(spark, d))
 
 
 #: Sentences that ask for a language, name one otherwise, or ask for none, dealt to documents by their ids; whether they ask.
@@ -449,7 +448,7 @@ SCREENED = (
     + ", r1 AS MATERIALIZED (SELECT p.*, CASE WHEN far IS NOT TRUE THEN coalesce(c1.c, 0) END AS t1, CASE WHEN far IS NOT TRUE THEN coalesce(c3.c, 0) END AS remote, CASE WHEN far THEN '' ELSE coalesce(c1.h, c3.h, '') END AS content_hash, CASE WHEN far THEN 'language' WHEN c1.c IS NULL THEN 'no_tier1_hit' WHEN contains(lower(description), 'password=') OR contains(lower(description), 'unsubscribe') OR contains(lower(title), 'password=') OR contains(lower(title), 'unsubscribe') THEN 'exclude_keyword' WHEN c3.c IS NULL THEN 'no_remote_keyword' END AS reason FROM p LEFT JOIN v ON v.doc_id = p.ord LEFT JOIN c1 USING (ord) LEFT JOIN c3 USING (ord)), "
     "left_ AS MATERIALIZED (SELECT * FROM r1 WHERE reason IS NULL), " + WORDS_OF.replace("@", "left_") + ", hh AS (SELECT m AS a, ord AS b FROM (SELECT ord, min(ord) OVER (PARTITION BY content_hash) AS m FROM left_) WHERE m <> ord), "
     "tt AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, b FROM hh UNION SELECT b, a FROM hh), rr AS (SELECT ord AS a, ord AS b FROM left_ UNION SELECT rr.a, tt.b FROM rr JOIN tt ON rr.b = tt.a), g AS (SELECT a AS ord, min(b) AS root FROM rr GROUP BY a), "
-    "z AS (SELECT r1.ord, coalesce(reason, CASE WHEN g.root <> r1.ord THEN 'duplicate_content' WHEN r1.ord - r1.ord % 2 IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) THEN 'already_seen' END) AS drop_reason, content_hash, t1, remote, "
+    "z AS (SELECT r1.ord, coalesce(reason, CASE WHEN g.root <> r1.ord THEN 'duplicate_content' WHEN r1.ord % 6 < 2 AND r1.ord - r1.ord % 2 IN (SELECT o_orderkey FROM orders) THEN 'already_seen' END) AS drop_reason, content_hash, t1, remote, "
     + " || ".join(f"CASE WHEN regexp_matches(title, '(?i)(^|{NO_WORD})({v})({NO_WORD}|$)') THEN '{k},' ELSE '' END" for k, v in TITLED.items())
     + " AS hits FROM r1 LEFT JOIN g ON g.ord = r1.ord) "
 )
@@ -718,15 +717,55 @@ def u1_assembled(spark, d):
 # -- ledger
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id - doc_id % 2 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+UNSEEN_SQL = "SELECT doc_id FROM documents WHERE NOT (doc_id % 6 < 2 AND doc_id - doc_id % 2 IN (SELECT o_orderkey FROM orders))"
+
+
+@query(UNSEEN_SQL)
 def j4_unseen(spark, d):
-    return ledger.unseen(S.postings(spark, d), S.ledger(spark, d).where("ord % 3 = 0")).select(F.col("ord").alias("doc_id"))
+    return ledger.unseen(S.postings(spark, d), S.ledger(spark, d)).select(F.col("ord").alias("doc_id"))
+
+
+def _bucketed(spark, d, folder: str) -> None:
+    """The ledger of the orders, dealt to buckets."""
+    bucketed.created(S.ledger(spark, d).select(*ledger.COLUMNS), folder)
+
+
+@query(UNSEEN_SQL)
+def j4_unseen_in_buckets(spark, d):
+    """Postings against the whole ledger in buckets: Bloom filters first, then the keys of likely buckets."""
+    folder = _shared(spark)
+    _bucketed(spark, d, folder)
+    found = cut(ledger.unseen_in(S.postings(spark, d).select("ord", "job_url"), folder).select(F.col("ord").alias("doc_id")))
+    bucketed.removed(spark, folder)
+    return found
+
+
+def _judged(spark, d) -> DataFrame:
+    """Results from lineitem: of every second order, one for each of its lines, the greatest ord being the last write."""
+    url = f"concat('{S.URL}', cast(2 * l_orderkey as string))"
+    return S.read(spark, d, "lineitem").selectExpr(
+        f"{url} as job_url", f"array({url}) as duplicate_job_urls", "'t' as title", "'c' as company", "l_returnflag as status", "2 as stage_reached", "l_linestatus as reasoning", "'run-x' as run_id", "cast(null as string) as source",
+        "cast(l_shipdate as timestamp) as last_seen_at", "l_partkey * 10 + l_linenumber as ord", "year(l_shipdate) as year", "l_linenumber",
+    )
+
+
+@query("WITH l AS (" + S.LEDGER_SQL + "), r AS (SELECT 2 * l_orderkey AS k, l_returnflag AS status, l_linestatus AS reasoning FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY year(l_shipdate) DESC, l_partkey * 10 + l_linenumber DESC, l_returnflag DESC, l_linestatus DESC) AS k FROM lineitem) WHERE k = 1), u AS (SELECT '" + S.URL + "' || k AS job_url, status, reasoning FROM r) SELECT coalesce(u.job_url, l.job_url) AS job_url, coalesce(u.status, l.status) AS status, coalesce(u.reasoning, l.reasoning) AS reasoning, l.source, l.user_action FROM l FULL JOIN u USING (job_url)")
+def l1_io10_bucketed_upserts(spark, d):
+    """A run of judgments for each year, one after the other, into the ledger in buckets; the last run is written twice, which changes nothing."""
+    folder, rows = _shared(spark), _judged(spark, d)
+    _bucketed(spark, d, folder)
+    empty = S.ledger(spark, d).select(*ledger.COLUMNS).where("false")
+    years = [r.year for r in rows.select("year").distinct().orderBy("year").collect()]
+    for number, year in enumerate([*years, years[-1]]):
+        ledger.upserted_buckets(folder, rows.where(F.col("year") == year), empty, min(number, len(years) - 1))
+    found = cut(bucketed.snapshot(spark, folder).select("job_url", "status", "reasoning", "source", "user_action"))
+    bucketed.removed(spark, folder)
+    return found
 
 
 @query("WITH l AS (" + S.LEDGER_SQL + "), r AS (SELECT 2 * l_orderkey AS k, l_returnflag AS status, l_linestatus AS reasoning FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey * 10 + l_linenumber DESC, l_returnflag DESC, l_linestatus DESC) AS k FROM lineitem) WHERE k = 1), u AS (SELECT '" + S.URL + "' || k AS job_url, status, reasoning FROM r) SELECT coalesce(u.job_url, l.job_url) AS job_url, coalesce(u.status, l.status) AS status, coalesce(u.reasoning, l.reasoning) AS reasoning, l.source, l.user_action FROM l FULL JOIN u USING (job_url)")
 def l1_upserted(spark, d):
-    rows = S.read(spark, d, "lineitem").selectExpr(f"concat('{S.URL}', cast(2 * l_orderkey as string)) as job_url", f"array(concat('{S.URL}', cast(2 * l_orderkey as string))) as duplicate_job_urls", "'t' as title", "'c' as company", "l_returnflag as status", "2 as stage_reached", "l_linestatus as reasoning", "'run-x' as run_id", "cast(null as string) as source", "cast(l_shipdate as timestamp) as last_seen_at", "l_partkey * 10 + l_linenumber as ord")
-    return ledger.upserted(S.ledger(spark, d), rows).select("job_url", "status", "reasoning", "source", "user_action")
+    return ledger.upserted(S.ledger(spark, d), _judged(spark, d)).select("job_url", "status", "reasoning", "source", "user_action")
 
 
 DECISIONS = "SELECT '" + S.URL + "' || (event_id % 500) AS job_url, ts, CASE event_type WHEN 'click' THEN 'applied' WHEN 'view' THEN 'skipped_fit' WHEN 'error' THEN 'bogus' END AS action, CASE WHEN event_type = 'view' THEN props END AS reason FROM events"

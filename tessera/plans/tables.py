@@ -13,12 +13,13 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: A posting and the next one share a URL; the ledger, which knows all numbers, knows every third pair.
 POSTINGS = {
     "ord": "doc_id", "search_n": "cast(doc_id % 3 + 1 as int)", "page": "cast(doc_id % 1000 / 30 as int)", "run_id": "concat('run-', cast(doc_id % 5 as string))",
-    "job_url": f"concat('{URL}', cast(doc_id - doc_id % 2 as string))", "term": "concat('term ', cast(doc_id % 3 as string))", "company": "concat(source, ' GmbH')", "location": "lang", "description": "text",
+    "job_url": f"concat('{URL}', cast(doc_id - doc_id % 2 as string), case when doc_id % 6 < 2 then '' else '/new' end)", "term": "concat('term ', cast(doc_id % 3 as string))", "company": "concat(source, ' GmbH')", "location": "lang", "description": "text",
 }
 POSTINGS_SQL = f"""SELECT doc_id AS ord, CAST(doc_id % 3 + 1 AS INT) AS search_n, CAST(floor(doc_id % 1000 / 30.0) AS INT) AS page, 'run-' || (doc_id % 5) AS run_id,
- '{URL}' || (doc_id - doc_id % 2) AS job_url, 'term ' || (doc_id % 3) AS term, source || ' GmbH' AS company, lang AS location, text AS description,
+ '{URL}' || (doc_id - doc_id % 2) || CASE WHEN doc_id % 6 < 2 THEN '' ELSE '/new' END AS job_url, 'term ' || (doc_id % 3) AS term, source || ' GmbH' AS company, lang AS location, text AS description,
  regexp_extract(text, '^[^\\n.]{{0,60}}', 0) AS title FROM documents"""
 
 
