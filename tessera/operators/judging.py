@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.graph import cut
 
 UNKNOWN = "?"
 NO_KEYWORD = "No remote keyword in the posting, so nothing says it is remote."
@@ -106,6 +107,22 @@ def checked_text(stage2: DataFrame, postings: DataFrame) -> DataFrame:
     return stage2.join(body, F.col("job_url") == F.col("_u"), "left").drop("_u")
 
 
+def judged_answers(answers: DataFrame, rubric: DataFrame) -> DataFrame:
+    """Landed Stage-2 answers (job_url, run_id, raw, landed_at and the posting's columns) as results for the ledger.
+
+    Unreadable ones have none; of several answers for a job the last to land counts (of those of one moment the greatest).
+    """
+    row = F.struct("landed_at", "raw", "run_id", "title", "company", "location", "description")
+    last = answers.groupBy("job_url").agg(F.max(row).alias("x")).select("job_url", "x.*").withColumn("results", parsed(F.col("raw"), STAGE2)["criteria"])
+    last = cut(last.where(parsed(F.col("raw"), STAGE2).isNotNull()))
+    criteria = cut(merged_criteria(checked_text(last.select("job_url", "results"), last), rubric))  # quotes are looked up once
+    done = stage2_results(criteria).withColumnRenamed("job_url", "_u")
+    return last.join(done, F.col("job_url") == F.col("_u")).select(
+        "job_url", F.array("job_url").alias("duplicate_job_urls"), "title", "company", "status", F.lit(2).alias("stage_reached"), "reasoning", "run_id", F.lit(None).cast("string").alias("source"),
+        F.col("landed_at").alias("last_seen_at"), F.unix_micros("landed_at").alias("ord"),
+    )
+
+
 def pending(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     """Prompts without a usable answer: (run_id, stage, n) with none parsed."""
     return prompts.join(answers.where("parsed is not null").select("run_id", "stage", "n"), ["run_id", "stage", "n"], "left_anti")

@@ -696,7 +696,7 @@ def w6_manifest(spark, d):
 @query("SELECT run_id, stage, event_id AS n FROM (" + S.OUTCOMES_SQL + ") WHERE event_id % 8 >= 3")
 def j13_pending(spark, d):
     """The rerun list: prompts whose answer is no single whole object (see io7_answers)."""
-    rows = _answers(spark, d).withColumn("n", F.col("event_id"))
+    rows = _written_answers(spark, d).withColumn("n", F.col("event_id"))
     return judging.pending(rows.select("run_id", "stage", "n"), rows.withColumn("parsed", judging.parsed(F.col("raw"), judging.STAGE1)))
 
 
@@ -1022,7 +1022,7 @@ def io5_details(spark, d):
 WRITTEN = ("{0}", "```json\n{0}\n```\n", " {0}\n", "{0} {0}", '{0}, "x"] {{}}', "{0} and more", '{{"verdict":"pass", bad}}', "[{0}]")
 
 
-def _answers(spark, d) -> DataFrame:
+def _written_answers(spark, d) -> DataFrame:
     good = F.to_json(F.struct(F.lit("pass").alias("verdict"), F.col("event_type").alias("reason")))
     raw = F.lit(None).cast("string")
     for i, shape in enumerate(WRITTEN):
@@ -1035,7 +1035,7 @@ def _answers(spark, d) -> DataFrame:
 def io7_answers(spark, d):
     """Answers bare, fenced and indented, and two in one, with text behind them, broken or in a list: those are unreadable."""
     answer = judging.parsed(F.col("raw"), judging.STAGE1)
-    return _answers(spark, d).select("event_id", answer["reason"].alias("reason"), answer.isNotNull().alias("readable"))
+    return _written_answers(spark, d).select("event_id", answer["reason"].alias("reason"), answer.isNotNull().alias("readable"))
 
 
 @query("SELECT event_id, CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS k FROM events")
@@ -1086,17 +1086,23 @@ def _written(df: DataFrame, key: list[str]) -> DataFrame:
     writer = df.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
     jobs.drained(writer.option("checkpointLocation", f"{folder}/state"))
     out = spark.read.parquet(f"{folder}/out")
-    return out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0])).drop("batch").select(*key, *[c for c in df.columns if c not in key])
+    found = cut(out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0])).drop("batch").select(*key, *[c for c in df.columns if c not in key]))
+    bucketed.removed(spark, folder)
+    return found
 
 
-@query("SELECT DISTINCT job_url FROM (" + S.POSTINGS_SQL + ") WHERE title LIKE 'T%' AND CAST(substr(job_url, " + str(len(S.URL) + 1) + ") AS BIGINT) NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+@query(SCREENED + "SELECT DISTINCT job_url FROM r1 WHERE reason IS NULL AND NOT (ord % 6 < 2 AND ord - ord % 2 IN (SELECT o_orderkey FROM orders))")
 def st1_new_postings(spark, d):
-    """Every URL with a title that matches, once, unless it is in the ledger."""
-    folder = _shared(spark)
+    """Every URL that passes the rules of Stage 0, once, unless it is in the ledger in buckets."""
+    folder, detect = _shared(spark), L.detector(_model(spark, d))
+    _bucketed(spark, d, f"{folder}/ledger")
     docs = _stream(spark, d, "documents")
-    stream = docs.select(*[F.expr(e).alias(n) for n, e in S.POSTINGS.items()], F.regexp_extract("text", "^[^\n.]{0,60}", 0).alias("title")).where("title like 'T%'").select("job_url", "title")
-    jobs.drained(jobs.new_postings(stream, lambda: S.ledger(spark, d).where("ord % 3 = 0"), lambda df: df, f"{folder}/out", f"{folder}/state"))
-    return spark.read.schema("job_url string").parquet(f"{folder}/out").select("job_url")
+    stream = docs.select(*[F.expr(e).alias(n) for n, e in S.POSTINGS.items()], F.regexp_extract("text", "^[^\n.]{0,60}", 0).alias("title"), F.timestamp_seconds(F.col("doc_id") * 60).alias("ts"))
+    keep = lambda rows: stage0.waterfall(rows, READ, TIER1, EXCLUDE, REMOTE, detect=detect).where("drop_reason is null").select("job_url", "ts")
+    jobs.drained(jobs.new_postings(stream, lambda batch: ledger.unseen_in(batch, f"{folder}/ledger"), keep, f"{folder}/out", f"{folder}/state", "1 hour"))
+    found = cut(spark.read.schema("job_url string").parquet(f"{folder}/out").select("job_url"))
+    bucketed.removed(spark, folder)
+    return found
 
 
 @query("SELECT run_id, stage, outcome, count(*) AS n FROM (" + S.OUTCOMES_SQL + ") GROUP BY ALL")
@@ -1115,23 +1121,42 @@ def st5_token_totals(spark, d):
 def st3_new_prompts(spark, d):
     """Prompts of all passes, numbered within their run as they come in."""
     folder = _shared(spark)
-    spark.createDataFrame([], "run_id string, job_url string, n long").write.parquet(f"{folder}/out/batch=-1")
-    rows = _stream(spark, d, "events").where("event_type not in ('error', 'view')").selectExpr("concat('run-', cast(user_id % 20 as string)) as run_id", f"concat('{S.URL}', cast(event_id as string)) as job_url", "event_id as ord")
-    jobs.drained(jobs.new_prompts(spark, rows, f"{folder}/out", f"{folder}/state"))
-    return spark.read.schema("run_id string, job_url string, n long").parquet(f"{folder}/out").select("run_id", "job_url", "n")
+    rows = _stream(spark, d, "events").where("event_type not in ('error', 'view')").selectExpr("concat('run-', cast(user_id % 20 as string)) as run_id", f"concat('{S.URL}', cast(event_id as string)) as job_url", "event_id as ord", "timestamp_seconds(event_id) as ts")
+    jobs.drained(jobs.new_prompts(spark, rows, folder, f"{folder}/state", "1 hour"))
+    found = cut(spark.read.schema("run_id string, job_url string, n long").parquet(f"{folder}/prompts").select("run_id", "job_url", "n"))
+    bucketed.removed(spark, folder)
+    return found
 
 
-@query("SELECT run_id, stage, event_id AS n, CASE WHEN event_type NOT IN ('error', 'view') THEN props END AS verdict FROM (" + S.OUTCOMES_SQL + ") WHERE event_id % 2 = 0")
+def _landing(docs: DataFrame) -> DataFrame:
+    """Answers to the prompt of each document (run_id, stage, n, raw, landed_at), by doc_id % 4: one; a broken one and
+    one that a fail criterion is hit by; one and a later one that refutes both pass criteria; a broken one only."""
+    quote = F.regexp_extract("text", "[\\p{L}\\p{N}][\\p{L}\\p{N} ,]*", 0)
+    one = lambda i, result, quoted: F.struct(F.lit(i).alias("id"), F.lit(result).alias("result"), quoted.alias("quote"), F.lit("").alias("why"))
+    none = F.lit(None).cast("string")
+    said = lambda *results: F.to_json(F.struct(F.array(*results).alias("criteria")))
+    good, hit, refuted = said(one("c1", "met", quote), one("c2", "not_applicable", none), one("c3", "met", F.lit("qqq zzz invented"))), said(one("c2", "triggered", quote)), said(one("c1", "not_met", none), one("c3", "not_met", none))
+    raw = lambda text, at: F.struct(text.alias("raw"), F.timestamp_seconds(F.col("doc_id") * 60 + at).alias("landed_at"))
+    broken = F.concat(good, F.lit(" "), good)
+    kinds = [[raw(good, 5)], [raw(broken, 9), raw(hit, 6)], [raw(refuted, 20), raw(good, 5)], [raw(broken, 5)]]
+    answers = F.element_at(F.array(*[F.array(*k) for k in kinds]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return docs.select(F.concat(F.lit("run-"), (F.col("doc_id") % 5).cast("string")).alias("run_id"), F.lit("stage2").alias("stage"), F.col("doc_id").alias("n"), F.explode(answers).alias("a")).select("run_id", "stage", "n", "a.raw", "a.landed_at")
+
+
+@query("WITH l AS (" + S.LEDGER_SQL + "), j AS (SELECT '" + S.URL + "' || doc_id AS job_url, CASE WHEN doc_id % 4 = 2 THEN 'stage2_fail' WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 'review' WHEN doc_id % 4 = 0 THEN 'passed' ELSE 'stage2_fail' END AS status FROM documents WHERE doc_id % 4 < 3) SELECT coalesce(j.job_url, l.job_url) AS job_url, coalesce(j.status, l.status) AS status, l.user_action FROM l FULL JOIN j USING (job_url)")
 def st4_landed_judgments(spark, d):
-    """Answers as they land, judged against their prompts (of every other event); unreadable ones stay pending (null)."""
-    folder, key = _shared(spark), ["run_id", "stage", "n"]
-    prompts = S.outcomes(spark, d).where("event_id % 2 = 0").select("run_id", "stage", F.col("event_id").alias("n"))
-    raw = "case event_type when 'error' then 'no object' when 'view' then '[1]' else concat('So: ', to_json(named_struct('verdict', props)), ' and {more}') end as raw"
-    answers = _stream(spark, d, "events").selectExpr("concat('run-', cast(user_id % 20 as string)) as run_id", "case event_id % 3 when 0 then 'remote' when 1 then 'stage1' else 'stage2' end as stage", "event_id as n", raw)
-    judge = lambda batch: batch.select(*key, F.get_json_object(landing.object_in(F.col("raw")), "$.verdict").alias("verdict"))
-    upsert = lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-    jobs.drained(jobs.landed_judgments(answers, prompts, judge, upsert, f"{folder}/state"))
-    return spark.read.schema("run_id string, stage string, n long, verdict string").parquet(f"{folder}/out").select(*key, "verdict")
+    """Answers as they land, judged against their postings and the rubric, in the ledger: all of it, with decisions kept; broken ones stay pending."""
+    folder, rubric = _shared(spark), _rubric(spark)
+    _bucketed(spark, d, folder)
+    empty = S.ledger(spark, d).select(*ledger.COLUMNS).where("false")
+    posts = _answers(spark, d).drop("results")
+    prompts = posts.select(F.concat(F.lit("run-"), (F.col("ord") % 5).cast("string")).alias("run_id"), F.lit("stage2").alias("stage"), F.col("ord").alias("n"), F.timestamp_seconds(F.col("ord") * 60).alias("asked_at"), "job_url", "title", "company", "location", "description")
+    readable = judging.parsed(F.col("raw"), judging.STAGE2).isNotNull()
+    upsert = lambda rows, number: ledger.upserted_buckets(folder, rows, empty, number)
+    jobs.drained(jobs.landed_judgments(_landing(_stream(spark, d, "documents")), prompts, readable, lambda rows: judging.judged_answers(rows, rubric), upsert, f"{folder}/state", "1 day"))
+    found = cut(bucketed.snapshot(spark, folder).select("job_url", "status", "user_action"))
+    bucketed.removed(spark, folder)
+    return found
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status FROM orders")
@@ -1141,7 +1166,9 @@ def io10_snapshots(spark, d):
     rows = S.read(spark, d, "orders").selectExpr("cast(o_orderkey as string) as run_id", "o_orderstatus as status", "o_orderkey % 2 = 0 as new")
     history.write_ledger(rows.where("not new").select("run_id"), folder, "1")
     history.write_ledger(rows.where("new").select("run_id", "status"), folder, "2")
-    return history.read_ledger(spark, folder).select("run_id", "status")
+    found = cut(history.read_ledger(spark, folder).select("run_id", "status"))
+    bucketed.removed(spark, folder)
+    return found
 
 
 @query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE -1 END AS hours_old, CASE WHEN n_nationkey % 3 = 0 THEN 'en' END AS language FROM nation")
