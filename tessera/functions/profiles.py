@@ -7,6 +7,8 @@ follows its tokens and its hits.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import ahocorasick
@@ -16,7 +18,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectorized import TOKEN, keyword_form, stem
 
-HITS = "array<struct<keyword_n:int,sentences:array<int>>>"
+HITS = "lines int, hits array<struct<keyword_n:int,lines:array<int>>>"
+#: A text's tokens and its line breaks, which no keyword goes over.
+LINE_TOKEN = re.compile(TOKEN.pattern + r"|\n")
+MOST_SPELLINGS = 1 << 18
 
 
 class Automata:
@@ -31,12 +36,13 @@ class Automata:
                 literal.setdefault(form[1].lower(), []).append(n)
             elif form:
                 runs[form[0]].setdefault(tuple(form[1]), []).append(n)
-        self.known = {kind: {t: i for i, t in enumerate(dict.fromkeys(t for run in some for t in run), 1)} for kind, some in runs.items()}
+        known = {kind: {t: i for i, t in enumerate(dict.fromkeys(t for run in some for t in run), 1)} for kind, some in runs.items()}
         self.of = {}
         for kind, some in runs.items():
             self.of[kind] = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             for run, ns in some.items():
-                self.of[kind].add_word(tuple(self.known[kind][t] for t in run), ns)
+                self.of[kind].add_word(tuple(known[kind][t] for t in run), ns)
+        self.ids = {"exact": _Ids(known["exact"], str), "stems": _Ids(known["stems"], stem)}
         self.literal = ahocorasick.Automaton()
         for text, ns in literal.items():
             self.literal.add_word(text, (len(text), ns))
@@ -44,24 +50,41 @@ class Automata:
             if len(automaton):
                 automaton.make_automaton()
 
-    def hits(self, text: str) -> set[int]:
-        """The numbers of the keywords in a text."""
-        found: set[int] = set()
-        tokens = TOKEN.findall(text)
+    def hits(self, text: str) -> dict[int, list[int]]:
+        """The numbers of the keywords in a text, each with the lines that have it, in order."""
+        found: dict[int, dict[int, None]] = {}
+        tokens = LINE_TOKEN.findall(text)
+        breaks: list[int] | None = None
         for kind, automaton in self.of.items():
             if len(automaton):
-                known = self.known[kind]
-                ids = tuple(known.get(stem(t) if kind == "stems" else t, 0) for t in tokens)
-                if any(ids):
-                    for _, ns in automaton.iter(ids):
-                        found.update(ns)
+                ids = tuple(map(self.ids[kind].__getitem__, tokens))
+                for end, ns in automaton.iter(ids):
+                    if breaks is None:
+                        breaks = [i for i, t in enumerate(tokens) if t == "\n"]
+                    for n in ns:
+                        found.setdefault(n, {})[bisect_left(breaks, end)] = None
         if len(self.literal):
             low = text.lower()
             for end, (length, ns) in self.literal.iter(low):
                 start = end + 1 - length
                 if not (start and _in_word(low[start - 1]) or end + 1 < len(low) and _in_word(low[end + 1])):
-                    found.update(ns)
-        return found
+                    line = low.count("\n", 0, start)
+                    for n in ns:
+                        found.setdefault(n, {})[line] = None
+        return {n: sorted(found[n]) for n in sorted(found)}
+
+
+class _Ids(dict):
+    """The number of each token's form, looked up once for each spelling; 0 if no keyword has it."""
+
+    def __init__(self, known: dict[str, int], form: Callable[[str], str]):
+        self.known, self.form = known, form
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > MOST_SPELLINGS:
+            self.clear()
+        n = self[token] = 0 if token == "\n" else self.known.get(self.form(token), 0)
+        return n
 
 
 def _in_word(c: str) -> bool:
@@ -79,23 +102,17 @@ def numbered_keywords(keywords: DataFrame) -> tuple[DataFrame, dict[int, str]]:
 
 
 def keyword_hits(texts: dict[int, str]) -> Callable:
-    """(sentences) -> the keywords found, each with the places of the sentences that have it, by number; null stays null."""
+    """(text) -> the number of its lines, and the keywords found, by number, each with the places of the lines that have it; null stays null."""
     built: list[Automata] = []
 
     @F.pandas_udf(HITS)
-    def run(found: pd.Series) -> pd.Series:
+    def run(body: pd.Series) -> pd.DataFrame:
         if not built:  # once in a worker
             built.append(Automata(texts))
         out = []
-        for sentences in found:
-            if sentences is None:
-                out.append(None)
-                continue
-            at: dict[int, list[int]] = {}
-            for i, s in enumerate(sentences):
-                for n in built[0].hits(s or ""):
-                    at.setdefault(n, []).append(i)
-            out.append([{"keyword_n": n, "sentences": at[n]} for n in sorted(at)])
-        return pd.Series(out, dtype=object)
+        for text in body:
+            hits = built[0].hits(text) if text else {}
+            out.append((text.count("\n") + 1 if text else 0, [{"keyword_n": n, "lines": at} for n, at in hits.items()]))
+        return pd.DataFrame(out, columns=["lines", "hits"])
 
     return run

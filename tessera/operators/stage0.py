@@ -112,8 +112,9 @@ def profile_screen(postings: DataFrame, keywords: DataFrame, window: int = 1) ->
     a posting has no row: that is its no_tier1_hit.
     """
     owners, texts = profiles.numbered_keywords(keywords)
-    found = postings.select("ord", T.sentences("description").alias("_s")).select("ord", F.size("_s").alias("_n"), F.explode(profiles.keyword_hits(texts)("_s")).alias("h")).select("ord", "_n", "h.keyword_n", "h.sentences")
-    each = found.join(owners, "keyword_n").groupBy("profile_id", "ord").agg(F.max("_n").alias("_n"), F.array_sort(F.collect_set(F.struct("place", "keyword"))).alias("_k"), F.array_distinct(F.flatten(F.collect_list("sentences"))).alias("_at"))
+    lines = F.array_join(T.sentences("description"), "\n")
+    found = postings.select("ord", profiles.keyword_hits(texts)(lines).alias("x")).select("ord", F.col("x.lines").alias("_n"), F.explode("x.hits").alias("h")).select("ord", "_n", "h.keyword_n", F.col("h.lines").alias("at"))
+    each = found.join(owners, "keyword_n").groupBy("profile_id", "ord").agg(F.max("_n").alias("_n"), F.array_sort(F.collect_set(F.struct("place", "keyword"))).alias("_k"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("_at"))
     near = F.flatten(F.transform("_at", lambda i: F.sequence(F.greatest(i - window, F.lit(0)), F.least(i + window, F.col("_n") - 1))))
     return each.select("profile_id", "ord", F.array_distinct(F.transform("_k", lambda x: x["keyword"])).alias("keywords"), F.size("_at").alias("matched"), F.size(F.array_distinct(near)).alias("blocks"))
 

@@ -1018,6 +1018,20 @@ def io5_details(spark, d):
     return landing.with_details(posts, part.select(F.lit("bamboohr").alias("vendor"), F.lit("x").alias("slug"), F.col("p_partkey").cast("string").alias("ref"), body.alias("body"))).select("ref", "description")
 
 
+@query("SELECT CAST(ord // 100 AS INT) AS search_n, job_url, title, company, md5(description) AS description FROM (" + S.POSTINGS_SQL + ")")
+def io1_landed_searches(spark, d):
+    """Searches of a hundred postings each, landed as files by number, with progress and skip files beside them, and read."""
+    folder = _shared(spark)
+    rows = S.postings(spark, d).select(F.expr("cast(ord div 100 as int) as search_n"), "job_url", "title", "company", "location", "description")
+    landing.land_searches(rows, folder)
+    beside = rows.select("search_n").distinct().select(F.explode(F.array(*[F.concat("search_n", F.lit(x)) for x in (".progress", ".skip")])).alias("name"), F.lit('{"job_url": "none", "page": 3}').alias("value"))
+    beside.write.partitionBy("name").text(f"{folder}/_beside")
+    landing.named(spark, f"{folder}/_beside", "name", folder)
+    found = cut(landing.landed_searches(spark, folder).select("search_n", "job_url", "title", "company", F.md5("description").alias("description")))
+    bucketed.removed(spark, folder)
+    return found
+
+
 #: How an answer is written, by event_id % 8; those from 3 on are no single whole object.
 WRITTEN = ("{0}", "```json\n{0}\n```\n", " {0}\n", "{0} {0}", '{0}, "x"] {{}}', "{0} and more", '{{"verdict":"pass", bad}}', "[{0}]")
 

@@ -30,6 +30,27 @@ def landed_searches(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("search_n", F.col("search_n").cast("int"))
 
 
+def land_searches(results: DataFrame, folder: str) -> None:
+    """Results (search_n and the posting's columns) as landed_searches() reads them: <n>.json, one JSON list for each search.
+
+    A search returns a bounded number of results, so its list is one row.
+    """
+    spark = results.sparkSession
+    row = F.to_json(F.struct(*[c for c in results.columns if c != "search_n"]))
+    lists = results.groupBy("search_n").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(row), ",\n"), F.lit("\n]")).alias("value"))
+    lists.write.mode("overwrite").partitionBy("search_n").text(f"{folder}/_landing")
+    named(spark, f"{folder}/_landing", "search_n", folder)
+
+
+def named(spark: SparkSession, written: str, by: str, folder: str) -> None:
+    """Files of a folder partitioned by a column, one for each value, moved to <folder>/<value>.json."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.globStatus(path(f"{written}/{by}=*/part-*")):
+        fs.rename(part.getPath(), path(f"{folder}/{part.getPath().getParent().getName().partition('=')[2]}.json"))
+    fs.delete(path(written), True)
+
+
 def clean_values(df: DataFrame) -> DataFrame:
     """NaN as null; what is neither text, number nor truth value as its string."""
     out = []
