@@ -21,7 +21,7 @@ from tessera.functions import text as T
 BUCKETS, FACTORS, LENGTH_FACTOR = 65_521, (1_000_003, 2_750_159, 15_485_863, 32_452_843), 49_979_687
 STEPS, PRIOR, LEAST_CHARS, MOST_LANGUAGES = 1024, 0.5, 20, 200
 #: Characters that are taken at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def letters(c: Column | str) -> Column:
@@ -29,19 +29,25 @@ def letters(c: Column | str) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(T.text(c)), "[^\\p{L}]+", " "), F.lit(" "))
 
 
-def _hashed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, bucket) of every n-gram within each text, CHUNK characters at a time."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    who, ends = np.repeat(np.arange(len(texts)), lengths), np.repeat(np.cumsum(lengths), lengths)
-    for a in range(0, len(codes), CHUNK):
-        b = min(a + CHUNK, len(codes))
-        total = np.zeros(b - a, np.int64)
-        for n, factor in enumerate(FACTORS, 1):
-            inside = ends[a:b] >= np.arange(a, b) + n
-            at = np.minimum(np.arange(a, b) + n - 1, len(codes) - 1)
-            total += codes[at] * factor
-            yield who[a:b][inside], (total[inside] + n * LENGTH_FACTOR) % BUCKETS
+def _hashed(texts: list[str]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Some texts at a time, and (text among them, bucket) of their n-grams of one length, at most CHUNK of them."""
+    every = np.cumsum([0, *map(len, texts)])
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(every, every[i] + CHUNK, "right")) - 1)
+        codes, ends = np.frombuffer("".join(texts[i:j]).encode("utf-32-le", "surrogatepass"), np.uint32), every[i + 1 : j + 1] - every[i]
+        for a in range(0, len(codes), CHUNK):
+            own = codes[a : a + CHUNK + len(FACTORS) - 1].astype(np.int64)
+            at = np.arange(a, min(a + CHUNK, len(codes)))
+            who = np.searchsorted(ends, at, "right")
+            left = ends[who] - at
+            total = np.zeros(len(at), np.int64)
+            for n, factor in enumerate(FACTORS, 1):
+                more = own[n - 1 : n - 1 + len(at)]
+                total[: len(more)] += more * factor
+                inside = left >= n
+                yield slice(i, j), who[inside], (total[inside] + n * LENGTH_FACTOR) % BUCKETS
+        i = j
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +57,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
         for lang in set(langs):
             own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for _, bucket in _hashed([t for t, x in zip(texts, langs, strict=True) if x == lang]):
+            for _, _, bucket in _hashed([t for t, x in zip(texts, langs, strict=True) if x == lang]):
                 own += np.bincount(bucket, minlength=BUCKETS)
     for lang, own in counts.items():
         some = np.flatnonzero(own)
@@ -85,9 +91,9 @@ def detector(model: tuple[list[str], np.ndarray]) -> Callable[[Column | str], Co
     def run(body: pd.Series) -> pd.Series:
         texts = [t or "" for t in body]
         scores = np.zeros((len(langs), len(texts)))
-        for who, bucket in _hashed(texts):
+        for some, who, bucket in _hashed(texts):
             for k in range(len(langs)):
-                scores[k] += np.bincount(who, steps[k][bucket], len(texts))
+                scores[k, some] += np.bincount(who, steps[k][bucket], some.stop - some.start)
         if not langs:
             return pd.Series([None] * len(texts), dtype=object)
         best = len(langs) - 1 - scores[::-1].argmax(0)  # of equal ones the last in order

@@ -6,6 +6,7 @@ split or detect, graph components) there is none, and tests hold the operator ag
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -399,8 +400,9 @@ def x2_hash_edges(spark, d):
 
 
 def _whole(spark, d) -> DataFrame:
-    body = T.normal_text("description")
-    return S.postings(spark, d).withColumn("content_hash", F.when(body != "", F.md5(body)).otherwise(""))
+    """Postings with the hash of their normal form, which is taken once: of an empty form it is the empty text's."""
+    own = F.md5(T.normal_text("description"))
+    return S.postings(spark, d).withColumn("content_hash", F.nullif(own, F.lit(hashlib.md5(b"").hexdigest())))
 
 
 @query("SELECT m AS a, ord AS b FROM (SELECT ord, min(ord) OVER (PARTITION BY body) AS m FROM (SELECT ord, " + NT.format("description") + " AS body FROM (" + S.POSTINGS_SQL + ")) WHERE body <> '') WHERE m <> ord")
@@ -434,6 +436,23 @@ def x4_representatives(spark, d):
     return df.select("ord", "job_url", F.array_join("duplicate_job_urls", "|").alias("duplicate_job_urls"), F.array_join(F.array_sort("duplicate_locations"), "|").alias("duplicate_locations"), "merged")
 
 
+@query(
+    "WITH RECURSIVE " + WORDS + ", p AS (SELECT *, " + NT.format("description") + " AS body FROM (" + S.POSTINGS_SQL + ")), h AS (SELECT m AS a, ord AS b FROM (SELECT ord, min(ord) OVER (PARTITION BY body) AS m FROM p WHERE body <> '') WHERE m <> ord), "
+    "t AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, b FROM h UNION SELECT b, a FROM h), r AS (SELECT ord AS a, ord AS b FROM p UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a) SELECT a AS ord, min(b) AS root FROM r GROUP BY a"
+)
+def x4_groups_as_they_arrive(spark, d):
+    """The groups of all postings, grown in four batches: each brings its postings and their edges to earlier ones."""
+    folder, rows = _shared(spark), _whole(spark, d)
+    batch = lambda c: F.pmod(F.xxhash64(c), F.lit(4))
+    ends = rows.select(F.col("ord").alias("node"), batch("ord").alias("k"))
+    edges = cut(linkage.hash_edges(rows).unionByName(linkage.word_edges(rows)).select("a", "b", F.greatest(batch("a"), batch("b")).alias("k")))
+    for k in range(4):
+        linkage.grown_groups(folder, ends.where(F.col("k") == k), edges.where(F.col("k") == k).select("a", "b"))
+    found = cut(bucketed.snapshot(spark, folder).select(F.col("node").alias("ord"), "root"))
+    bucketed.removed(spark, folder)
+    return found
+
+
 NO_WORD = "[^\\p{L}\\p{N}]"
 FIRST_SQL = "|".join(f"((^|{NO_WORD}){k}({NO_WORD}|$))" for k in (f"(?i:licens(e|es|ed|ing)){NO_WORD}+(?i:under)", f"(?i:rights?){NO_WORD}+(?i:reserv(e|es|ed|ing))", "GNU", "GPL", "(?i:worthless)"))
 SECOND_SQL = "|".join(f"({p.replace('(?i)', '(?i:', 1)})" if p.startswith("(?i)") else f"({p})" for p in (x + (")" if x.startswith("(?i)") else "") for x in IN_SENTENCE.values()))

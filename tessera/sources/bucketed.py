@@ -4,7 +4,7 @@
     <folder>/filters/version=<v>/             a Bloom filter of each bucket that write v wrote
     <folder>/manifest/version=<v>/            one file: for every bucket the write that holds it, and how many keys it has
 
-Rows are keyed by job_url_hash. A write makes new bucket folders beside the old ones and then its manifest, a single
+Rows are keyed by job_url_hash, or by another column that is named. A write makes new bucket folders beside the old ones and then its manifest, a single
 file that appears by one rename; readers take the newest manifest, so they see all of a write or nothing. A write that is
 run again with the same number replaces its own folders and gives the same snapshot; `journal` numbers come from outside
 (a stream's batch) and are kept in the manifest, so that a batch that was written is not written again. There is one
@@ -116,14 +116,14 @@ def _tested(keys: pa.Table, bits: pa.Table) -> pa.Table:
     return keys.filter(pa.array(good)).select(["key"])
 
 
-def _write(rows: DataFrame, folder: str, version: int, touched: set[int], before: list, buckets: int, journal: int | None) -> None:
+def _write(rows: DataFrame, folder: str, version: int, touched: set[int], before: list, buckets: int, journal: int | None, key: str) -> None:
     spark = rows.sparkSession
-    rows.withColumn("bucket", bucket_of(KEY, buckets)).repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/version={version}")
+    rows.withColumn("bucket", bucket_of(key, buckets)).repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/version={version}")
     held = {r.bucket: (r.held, r["keys"]) for r in before}
     paths = [p for b in sorted(touched) if _exists(spark, p := f"{folder}/data/version={version}/bucket={b}")]
     held |= {b: (version, 0) for b in touched}
     if paths:
-        written = spark.read.option("basePath", f"{folder}/data").parquet(*paths).select("bucket", filter_hash(KEY).alias("h"))
+        written = spark.read.option("basePath", f"{folder}/data").parquet(*paths).select("bucket", filter_hash(key).alias("h"))
         by_bucket = written.repartition(F.col("bucket")).sortWithinPartitions("bucket")
         by_bucket.mapInArrow(_filters, "bucket int, bits binary").write.mode("overwrite").parquet(f"{folder}/filters/version={version}")
         held |= {r.bucket: (version, r.n) for r in written.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # a row for each touched bucket
@@ -132,13 +132,13 @@ def _write(rows: DataFrame, folder: str, version: int, touched: set[int], before
     spark.createDataFrame(now, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/version={version}")
 
 
-def created(ledger: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+def created(ledger: DataFrame, folder: str, buckets: int = BUCKETS, key: str = KEY) -> None:
     """A ledger as write 0, every bucket of it."""
-    _write(ledger, folder, 0, set(range(buckets)), [], buckets, None)
+    _write(ledger, folder, 0, set(range(buckets)), [], buckets, None, key)
 
 
-def rewritten(spark: SparkSession, folder: str, keyed: DataFrame, change: Callable[[DataFrame], DataFrame], empty: DataFrame, journal: int | None = None) -> set[int]:
-    """One write: change() gets the rows of the buckets that `keyed` (a column job_url_hash) has keys in, and returns what they become.
+def rewritten(spark: SparkSession, folder: str, keyed: DataFrame, change: Callable[[DataFrame], DataFrame], empty: DataFrame, journal: int | None = None, key: str = KEY) -> set[int]:
+    """One write: change() gets the rows of the buckets that `keyed` (a column named as the key) has keys in, and returns what they become.
 
     Returns the touched buckets. Nothing happens if the journal's number was written before. empty: no rows, of the ledger's columns.
     """
@@ -146,11 +146,11 @@ def rewritten(spark: SparkSession, folder: str, keyed: DataFrame, change: Callab
     buckets = before[0].buckets if before else BUCKETS
     if journal is not None and before and before[0].journal >= journal:
         return set()
-    touched = {r.b for r in keyed.select(bucket_of(KEY, buckets).alias("b")).distinct().collect()}  # at most one for each bucket
+    touched = {r.b for r in keyed.select(bucket_of(key, buckets).alias("b")).distinct().collect()}  # at most one for each bucket
     if touched:
         rows = snapshot(spark, folder, touched)
         rows = empty if rows is None else empty.unionByName(rows, allowMissingColumns=True)
-        _write(change(rows), folder, (before[0].version if before else -1) + 1, touched, before, buckets, journal)
+        _write(change(rows), folder, (before[0].version if before else -1) + 1, touched, before, buckets, journal, key)
     return touched
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,56 @@ def test_report_and_ages(spark, tmp_path):
     assert (tmp_path / "r" / "run_id=r1").exists()
     runs = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), None, None)], "run_id string, ts_start timestamp, continued_at timestamp, previous_seconds long")
     assert rows(ledger.run_durations(runs, "2024-01-01 00:01:00"), "seconds") == [(60,)]
+
+
+def hot_key(spark, sets):
+    """Postings of one company and title with the given word sets."""
+    return spark.createDataFrame([(i, "Acme", "Lead", " ".join(sorted(s))) for i, s in enumerate(sets)], "ord long, company string, title string, description string")
+
+
+def nodes(spark, sets):
+    return spark.createDataFrame([("k", i, sorted(s), len(s)) for i, s in enumerate(sets)], "k string, a long, w array<string>, n int")
+
+
+@pytest.mark.parametrize("most", [2, 200])
+@pytest.mark.parametrize("words", [12, 60, 400])
+def test_word_edges_against_all_pairs(spark, most, words, monkeypatch):
+    rng, sets = random.Random(words), set()
+    for _ in range(40):
+        base = {f"w{rng.randrange(words)}" for _ in range(rng.randrange(1, 50))}
+        for _ in range(4):
+            sets.add(frozenset(base))
+            base = base ^ {f"w{rng.randrange(words)}" for _ in range(rng.randrange(1, 4))} or {"w"}
+    sets = sorted(sets, key=sorted)
+    wanted = {(i, j) for i, x in enumerate(sets) for j in range(i + 1, len(sets)) if 100 * len(x & sets[j]) >= 85 * len(x | sets[j])}
+    assert wanted
+    assert wanted <= set(rows(linkage.candidates(nodes(spark, sets), most), "a", "b"))
+    monkeypatch.setattr(linkage, "LISTED", most)
+    assert set(rows(linkage.word_edges(hot_key(spark, sets)), "a", "b")) == wanted
+
+
+def test_word_edges_of_a_hot_key(spark):
+    """20,000 different texts of one company and title, all with the same 45 words and five to seven of their own: as many candidates as links, about."""
+    same = {f"s{i}" for i in range(45)}
+    sets = [same | {f"u{i}_{j}" for j in range(5 + i % 3)} for i in range(20_000)]
+    sets += [sets[i] | {"more"} for i in range(0, 3_000, 10)]
+    found = linkage.candidates(nodes(spark, sets))
+    n = found.count()
+    assert 300 <= n <= 600
+    assert {(10 * i, 20_000 + i) for i in range(300)} <= set(rows(found, "a", "b"))
+
+
+def test_groups_of_ten_batches_are_those_of_one_run(spark, tmp_path):
+    rng = random.Random(3)
+    nodes, edges = list(range(120)), [tuple(sorted(rng.sample(range(120), 2))) for _ in range(75)]
+    batch = {n: rng.randrange(10) for n in nodes}
+    whole = dict(rows(roots(spark.createDataFrame(edges, "a long, b long")), "node", "root"))
+    folder, touched = str(tmp_path / "g"), []
+    for k in range(10):
+        ends = spark.createDataFrame([(n,) for n in nodes if batch[n] == k], "node long")
+        new = spark.createDataFrame([e for e in edges if max(batch[e[0]], batch[e[1]]) == k], "a long, b long")
+        touched.append(linkage.grown_groups(folder, ends, new))
+        if k == 9:  # once more: nothing changes
+            linkage.grown_groups(folder, ends, new)
+    assert rows(linkage.bucketed.snapshot(spark, folder), "node", "root") == sorted((n, whole.get(n, n)) for n in nodes)
+    assert all(len(t) < 64 for t in touched)
