@@ -141,8 +141,12 @@ def quote_form(c: Column | str) -> Column:
 
 def quote_in_text(quote: Column | str, body: Column | str) -> Column:
     """Whether every piece of the quote (pieces are parted by ... or …) is in the text, one behind the other."""
+    return quote_in_form(quote, quote_form(body))
+
+
+def quote_in_form(quote: Column | str, hay: Column) -> Column:
+    """quote_in_text() for a text whose quote_form() is there already, for several quotes of one text."""
     pieces = F.filter(F.transform(F.split(text(quote), "\\.{3}|…"), quote_form), lambda p: p != "")
-    hay = quote_form(body)
 
     def step(at: Column, piece: Column) -> Column:
         found = F.call_function("locate", piece, hay, F.greatest(at, F.lit(1)))

@@ -40,7 +40,7 @@ def merged_criteria(judged: DataFrame, rubric: DataFrame) -> DataFrame:
     rubric: ord, id, kind, label, text, grp; a small table. A deciding result without a quote that is in the text
     becomes unclear (downgraded_from tells what it was).
     """
-    jobs = judged.select("job_url", "body", "results")
+    jobs = judged.select("job_url", (T.text("body") != "").alias("_said"), T.quote_form("body").alias("_hay"), "results")  # formed once for all criteria
     df = jobs.join(F.broadcast(rubric) if rubric.count() <= 10_000 else rubric, F.lit(True))
     first = F.get(F.filter(F.coalesce("results", F.array().cast(f"array<{CRITERION}>")), lambda r: r["id"] == F.col("id")), F.lit(0))
     df = df.withColumn("_r", first)
@@ -48,7 +48,7 @@ def merged_criteria(judged: DataFrame, rubric: DataFrame) -> DataFrame:
     allowed = F.when(F.col("kind") == "pass", given.isin("met", "unclear", "not_met")).when(F.col("kind") == "fail", given.isin("triggered", "unclear", "not_applicable")).otherwise(given.isin("met", "unclear", "not_met", "not_applicable"))
     df = df.withColumn("_ok", F.col("_r").isNotNull() & allowed).withColumn("_given", F.when(F.col("_ok"), given).otherwise("unclear"))
     df = df.withColumn("quote", F.nullif(T.strip(T.text("_r.quote")), F.lit("")))
-    df = df.withColumn("quote_verified", F.when(F.col("_r").isNotNull() & F.col("quote").isNotNull() & (T.text("body") != ""), T.quote_in_text("quote", "body")))
+    df = df.withColumn("quote_verified", F.when(F.col("_r").isNotNull() & F.col("quote").isNotNull() & F.col("_said"), T.quote_in_form("quote", F.col("_hay"))))
     needs = ((F.col("kind") == "pass") & (F.col("_given") == "met")) | ((F.col("kind") == "fail") & (F.col("_given") == "triggered"))
     weak = needs & (F.col("quote").isNull() | (F.col("quote_verified") == F.lit(False)))
     why = T.strip(T.text("_r.why"))
@@ -107,17 +107,21 @@ def checked_text(stage2: DataFrame, postings: DataFrame) -> DataFrame:
     return stage2.join(body, F.col("job_url") == F.col("_u"), "left").drop("_u")
 
 
-def judged_answers(answers: DataFrame, rubric: DataFrame) -> DataFrame:
-    """Landed Stage-2 answers (job_url, run_id, raw, landed_at and the posting's columns) as results for the ledger.
+def judged_answers(answers: DataFrame, prompts: DataFrame, rubric: DataFrame) -> DataFrame:
+    """Landed Stage-2 answers (run_id, stage, n, raw, landed_at) to prompts (run_id, stage, n, job_url and the posting's
+    columns) as results for the ledger.
 
-    Unreadable ones have none; of several answers for a job the last to land counts (of those of one moment the greatest).
+    Unreadable ones have none; of several answers for a job the last to land counts (of those of one moment the
+    greatest). Texts are brought to the answers that count, once.
     """
-    row = F.struct("landed_at", "raw", "run_id", "title", "company", "location", "description")
-    last = answers.groupBy("job_url").agg(F.max(row).alias("x")).select("job_url", "x.*").withColumn("results", parsed(F.col("raw"), STAGE2)["criteria"])
-    last = cut(last.where(parsed(F.col("raw"), STAGE2).isNotNull()))
-    criteria = cut(merged_criteria(checked_text(last.select("job_url", "results"), last), rubric))  # quotes are looked up once
+    key = ["run_id", "stage", "n"]
+    given = answers.join(prompts.select(*key, "job_url"), key).where(parsed(F.col("raw"), STAGE2).isNotNull())
+    last = cut(given.groupBy("job_url").agg(F.max(F.struct("landed_at", "raw", *key)).alias("x")).select("x.*"))
+    wide = last.join(prompts, key)
+    body = F.when(T.strip(T.text("description")) != "", F.concat_ws("\n", "title", "company", "location", "description"))
+    criteria = cut(merged_criteria(wide.select("job_url", body.alias("body"), parsed(F.col("raw"), STAGE2)["criteria"].alias("results")), rubric))  # quotes are looked up once
     done = stage2_results(criteria).withColumnRenamed("job_url", "_u")
-    return last.join(done, F.col("job_url") == F.col("_u")).select(
+    return last.join(prompts.select(*key, "job_url", "title", "company"), key).join(done, F.col("job_url") == F.col("_u")).select(
         "job_url", F.array("job_url").alias("duplicate_job_urls"), "title", "company", "status", F.lit(2).alias("stage_reached"), "reasoning", "run_id", F.lit(None).cast("string").alias("source"),
         F.col("landed_at").alias("last_seen_at"), F.unix_micros("landed_at").alias("ord"),
     )

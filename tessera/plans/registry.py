@@ -1186,7 +1186,7 @@ def st4_landed_judgments(spark, d):
     prompts = posts.select(F.concat(F.lit("run-"), (F.col("ord") % 5).cast("string")).alias("run_id"), F.lit("stage2").alias("stage"), F.col("ord").alias("n"), F.timestamp_seconds(F.col("ord") * 60).alias("asked_at"), "job_url", "title", "company", "location", "description")
     readable = judging.parsed(F.col("raw"), judging.STAGE2).isNotNull()
     upsert = lambda rows, number: ledger.upserted_buckets(folder, rows, empty, number)
-    jobs.drained(jobs.landed_judgments(_landing(_stream(spark, d, "documents")), prompts, readable, lambda rows: judging.judged_answers(rows, rubric), upsert, f"{folder}/state", "1 day"))
+    jobs.drained(jobs.landed_judgments(_landing(_stream(spark, d, "documents")), prompts, readable, lambda rows: judging.judged_answers(rows, prompts, rubric), upsert, f"{folder}/state", "1 day"))
     found = cut(bucketed.snapshot(spark, folder).select("job_url", "status", "user_action"))
     bucketed.removed(spark, folder)
     return found

@@ -66,10 +66,10 @@ def new_prompts(spark: SparkSession, stream: DataFrame, folder: str, checkpoint:
 def landed_judgments(stream: DataFrame, prompts: DataFrame, readable: Column, judge: Callable[[DataFrame], DataFrame], upsert: Callable[[DataFrame, int], object], checkpoint: str, wait: str) -> DataStreamWriter:
     """Answers (run_id, stage, n, raw, landed_at) judged as they land, in any order, and put into the ledger.
 
-    prompts: run_id, stage, n, asked_at and what judge() needs. The state is a row for each prompt that has had an
+    prompts: run_id, stage, n and asked_at. The state is a row for each prompt that has had an
     answer: its last readable one so far (by landed_at), if any; the others are pending. A prompt's state, and with it
-    its chance of a further answer, ends `wait` behind the newest prompt that was answered. judge() gets the prompts
-    whose answer is new in a batch, with it as `raw`; upsert(results, batch) has to ignore a batch that it had before,
+    its chance of a further answer, ends `wait` behind the newest prompt that was answered. judge() gets the
+    answers (run_id, stage, n, raw, landed_at) that are new in a batch; upsert(results, batch) has to ignore a batch that it had before,
     as ledger.upserted_buckets() does with its journal.
     """
     key = ["run_id", "stage", "n"]
@@ -78,8 +78,7 @@ def landed_judgments(stream: DataFrame, prompts: DataFrame, readable: Column, ju
     state = asked.withWatermark("asked_at", wait).groupBy(F.window("asked_at", "1 hour"), *key).agg(best, F.count("*").alias("answers"))
 
     def write(batch: DataFrame, number: int) -> None:
-        answered = batch.where("best is not null").select(*key, "best.raw", "best.landed_at")
-        upsert(judge(answered.join(prompts, key)), number)
+        upsert(judge(batch.where("best is not null").select(*key, "best.raw", "best.landed_at")), number)
 
     return state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
 

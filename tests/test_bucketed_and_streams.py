@@ -173,9 +173,9 @@ def test_answers_in_any_order(spark, none, tmp_path, order):
 
     for k in order:
         put(spark, src, batches[k], schema)
-        jobs.drained(jobs.landed_judgments(stream(spark, src, schema), prompts, readable, lambda rows: judging.judged_answers(rows, rubric), upsert, str(tmp_path / "c"), "2 days"))
-    every = spark.createDataFrame([r for b in batches for r in b], schema).join(prompts, ["run_id", "stage", "n"])
-    batch = ledger.upserted(ledger.upserted(none, results(spark, ["u0", "old"], "review")), judging.judged_answers(every, rubric))
+        jobs.drained(jobs.landed_judgments(stream(spark, src, schema), prompts, readable, lambda rows: judging.judged_answers(rows, prompts, rubric), upsert, str(tmp_path / "c"), "2 days"))
+    every = spark.createDataFrame([r for b in batches for r in b], schema)
+    batch = ledger.upserted(ledger.upserted(none, results(spark, ["u0", "old"], "review")), judging.judged_answers(every, prompts, rubric))
     got = state(bucketed.snapshot(spark, folder), "job_url", "status", "reasoning", "run_id")
     assert got == state(batch, "job_url", "status", "reasoning", "run_id")
     assert {u: s for u, s, *_ in got} == {"u0": "passed", "old": "review", "u1": "stage2_fail", "u2": "review"}
