@@ -1,7 +1,9 @@
 """Personal data by weak supervision: labelers vote on spans, EM weighs the labelers, a classifier decides.
 
-Exact patterns (the base) are always kept. Wider patterns propose more spans; regex, gazetteer and context labelers
-vote on every span, expectation-maximisation over the counts of vote patterns estimates each labeler's reliability,
+Exact patterns (the base) are always kept. More spans are proposed by wider patterns, by a gazetteer (spelled-out
+addresses that end in a known domain, numbers that begin with a known dialling code) and by context (numbers behind a
+word that announces them, whatever parts their digits). Regex, gazetteer and context labelers vote on every span,
+whoever proposed it, so that they disagree; expectation-maximisation over the counts of vote patterns estimates each labeler's reliability,
 and a logistic regression trained on the estimates decides on what is no base span. Defined cases: a null or empty
 text has no spans; places are code points, ends exclusive; spans of one kind do not overlap (base first, then the
 leftmost), kinds may; texts without an @ or digit are passed over quickly; very long texts are read whole; repeated
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +52,18 @@ ENDINGS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "it", "uk"
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "36", "38", "6011", "65", "35", "62", "2221", "2720")
 CODES = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "61", "62", "63", "64", "65", "66", "7", "81", "82", "84", "86", "90", "91", "92", "351", "353", "358", "380", "420")
 LABELERS = ("pattern", "check", "gazetteer", "cue", "shape")
+#: A text without any of these has no address; one without several digits near each other no wider number.
+AT, NUMBERS = re.compile(r"@|[\[({]at[\])}]|\s(?:at|AT|At|arroba)\s"), re.compile(r"[0-9](?:[^0-9\n]{0,4}[0-9]){3}")
+#: Addresses in words or pieces, whose last word the gazetteer has to know.
+SPELLED = re.compile(r"(?i)(?<![\w.%+@-])[a-z0-9._%+-]{1,64}(?:\s(?:at|arroba)\s[a-z0-9-]{1,63}(?:\s(?:dot|punto|punkt|point)\s[a-z0-9-]{1,63}){1,4}|(?:\s@\s?|@\s)[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,4})(?![\w-])")
+#: International numbers without a plus, the dialling code set off.
+DIALLED = re.compile(r"(?<![0-9.+-])(?:00|\(00\)|011[\x20-])[\x20.-]?[1-9][0-9]{0,2}[\x20()./-]{1,2}[0-9](?:[\x20()./-]{0,2}[0-9]){6,11}(?![0-9])")
+#: Words that announce a number, and what the number may look like behind them.
+BEHIND = (
+    ("ip", re.compile(r"(?i)\b(?:ip|ip[\x20-]?address|ip-adresse|host|server|login from)\b[^0-9\n]{0,12}"), re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|[\x20,_-]|\x20?\.\x20?)[0-9]{1,3}){3}(?![0-9.])")),
+    ("card", re.compile(r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|kreditkarte|carte|tarjeta)\b[^0-9\n]{0,16}"), re.compile(r"[0-9](?:[\x20./_-]{0,2}[0-9]){13,18}(?![0-9])")),
+    ("phone", re.compile(r"(?i)\b(?:phone|telephone|tel|call|call me|fax|mobile|cell|whatsapp|telefon|anruf|teléfono|téléphone|móvil|handy)\b[^0-9+\n]{0,12}"), re.compile(r"\+?\(?[0-9](?:[\x20()./_-]{0,3}[0-9]){6,14}(?![0-9])")),
+)
 
 
 def luhn(digits: str) -> bool:
@@ -92,13 +107,35 @@ def votes(kind: int, span: str, before: str, base: bool) -> list[int]:
     cue = 1 if CUES[KINDS[kind]].search(before) else 2
     if kind == 0:
         host = re.split(r"\W+", span.lower())
-        return [int(base), 1 if "." in span or "dot" in span.lower() else 0, 1 if host[-1] in ENDINGS else 2, cue, int(6 <= len(span) <= 80)]
+        return [int(base), 1 if "." in span or re.search(r"(?i)\b(dot|punto|punkt|point)\b", span) else 0, 1 if host[-1] in ENDINGS else 2, cue, int(6 <= len(span) <= 80)]
     if kind == 1:
-        parts = span.split(".")
-        return [int(base), 1 if len(parts) == 4 or span.count(":") == 7 else 0, 0 if parts[0] in ("0", "127", "255") else 2, cue, int(not span.startswith("0"))]
+        parts = re.findall("[0-9]+", span)
+        four = len(parts) == 4 and all(int(p) <= 255 for p in parts) and ":" not in span
+        return [int(base), 1 if four or span.count(":") == 7 else 0, 0 if parts[0] in ("0", "127", "255") else 2, cue, int(not span.startswith("0") and not re.search(r"[0-9][\x20,_-][0-9]", span))]
     if kind == 2:
         return [int(base), int(luhn(digits)), 1 if digits.startswith(ISSUERS) else 0, cue, int(14 <= len(digits) <= 19)]
-    return [int(base), int(10 <= len(digits) <= 15), 1 if digits.startswith(CODES) else 2, cue, int(len(set(digits)) > 3)]
+    abroad = digits[2:] if digits.startswith("00") else digits[3:] if digits.startswith("011") else digits
+    return [int(base), int(9 <= len(abroad) <= 15), 1 if abroad.startswith(CODES) and (abroad != digits or "+" in span) else 2, cue, int(len(set(digits)) > 3)]
+
+
+def proposals(text: str, mails: bool) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of what wider patterns, gazetteer and context find; spans of one kind may overlap."""
+    for name, pattern in WIDE:
+        if mails or name != "email":
+            for m in pattern.finditer(text):
+                yield KINDS.index(name), *m.span()
+    if mails:
+        for m in SPELLED.finditer(text):
+            if re.split(r"\W+", m[0].lower())[-1] in ENDINGS:
+                yield 0, *m.span()
+    if NUMBERS.search(text):
+        for m in DIALLED.finditer(text):
+            if re.sub("[^0-9]", "", m[0]).removeprefix("00").removeprefix("011").startswith(CODES):
+                yield 3, *m.span()
+        for name, cue, number in BEHIND:
+            for c in cue.finditer(text):
+                if m := number.match(text, c.end()):
+                    yield KINDS.index(name), *m.span()
 
 
 def features(kind: int, span: str, before: str, vote: list[int]) -> list[float]:
@@ -117,21 +154,19 @@ def features(kind: int, span: str, before: str, vote: list[int]) -> list[float]:
 def candidates(text: str | None) -> list[dict]:
     """Every base span, and what the wider patterns add without overlapping one of its kind."""
     text = text or ""
-    at = "@" in text or "[at]" in text or "(at)" in text or "{at}" in text
-    if not at and not re.search("[0-9]", text):
+    mails = bool(AT.search(text))
+    if not mails and not re.search("[0-9]", text):
         return []
     base = base_spans(text)
     found = [(*s, True) for s in base]
-    for name, pattern in WIDE:
-        kind = KINDS.index(name)
-        if kind or at:
-            taken = [(a, b) for k, a, b in base if k == kind]
-            i = 0
-            for m in pattern.finditer(text):
-                while i < len(taken) and taken[i][1] <= m.start():
-                    i += 1
-                if i == len(taken) or taken[i][0] >= m.end():
-                    found.append((kind, *m.span(), False))
+    taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in range(len(KINDS))}
+    # base first, then the leftmost and of those the longest; spans of one kind do not overlap
+    for kind, a, b in sorted(set(proposals(text, mails)), key=lambda x: (x[1], -x[2], x[0])):
+        own = taken[kind]
+        i = bisect_left(own, (b, 0))
+        if not i or own[i - 1][1] <= a:
+            own.insert(i, (a, b))
+            found.append((kind, a, b, False))
     out = []
     for kind, a, b, is_base in sorted(found, key=lambda x: (x[1], x[0])):
         before = text[max(0, a - 40) : a]

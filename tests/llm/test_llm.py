@@ -744,3 +744,39 @@ def test_em_finds_reliable_labelers():
         counts[v] = counts.get(v, 0) + 1
     p = pii.expectation_maximisation(pd.DataFrame([(0, v, n) for v, n in counts.items()], columns=["kind", "votes", "n"]))
     assert p[0, "11100"] > 0.9 and p[0, "00011"] < 0.1
+
+
+#: Personal data that the exact patterns do not take, and look-alikes.
+HIDDEN = [
+    "mail me: jane.roe at mailhost dot com today", "contact jane.roe [at] example [dot] org", "write to jr99 @ example.net please", "correo: ana.gil arroba correo punto es", "e-mail kim(at)post(dot)de", "contact: li@ example.io",
+    "phone 0049 30 1234 5678", "call 555.010.9999 now", "tel. 030/1234567-8", "mobile: 0151 2345 6789", "telefon 0043 1 588 0199", "call me on (212) 555-0188", "whatsapp 34 612 34 56 78", "fax no 020 7946 0018",
+    "card 4111.1111.1111.1111 on file", "visa: 4012/8888/8888/1881", "credit card no. 5555_5555_5555_4444", "tarjeta 4222.2222.2222.2", "ip 203[.]0[.]113[.]77 blocked", "host 198.51.100 .23", "server 2001:db8:0:1:1:1:1:1",
+]
+HARMLESS = [
+    "we met at noon. It was late", "look at page 12 of 345", "order 555123 of 2020", "version 1-2-3-4 is out", "in 1999 2000 2001 2002 we grew", "the ratio 12:34:56 holds", "call it a day at 5", "card games for 2 to 4 players", "the host of 300 people in 12 rows",
+    "visa rules of 2019", "credit 1234 points", "item 0000 0000 0000 0001 none", "card 1234.5678.9012.3456 of the deck", "credit 9999/9999/9999/9991", "phone book of 1984", "server 12 of rack 7", "at 10 dot 5", "a @ b", "sum 00 12 of 9",
+]
+
+
+def test_personal_data_beyond_the_base(spark, monkeypatch):
+    """Labelers of all sorts propose; what the classifier adds to the base is mostly right and most of what is hidden."""
+    r = random.Random(8)
+    known = ["mail a{0}.b@example.com", "ip 10.1.{0}.7", "card 4111111111111111", "call +49 30 12345{0:03d}", "card 4111111111111112", "phone (212) 555-0{0:03d}", "card 1234-5678-9012-3{0:03d}"]
+    rows = [(i, r.choice(known).format(r.randrange(100, 255)) + " and more") for i in range(300)]
+    rows += [(1000 + i, t) for i, t in enumerate(HIDDEN)] + [(2000 + i, t) for i, t in enumerate(HARMLESS)]
+    found = {x.doc_id: x for x in pii.personal_data(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    base = {i for i, x in found.items() if x.n_email + x.n_ip + x.n_card + x.n_phone}
+    assert not [i for i in base if i >= 1000]  # all of it is the method's
+    hidden, harmless = ({i for i, x in found.items() if low <= i < low + 1000 and x.spans} for low in (1000, 2000))
+    precision, recall = len(hidden) / len(hidden | harmless), len(hidden) / len(HIDDEN)
+    assert precision >= 0.85 and recall >= 0.7, (precision, recall, [HIDDEN[i] for i in range(len(HIDDEN)) if 1000 + i not in hidden], [HARMLESS[i - 2000] for i in harmless])
+
+
+def test_reliabilities_change_a_verdict():
+    """The same votes, believed where the labelers that cast them have agreed with the others, and not where they have not."""
+    import pandas as pd
+
+    asked = "01211"  # not the pattern's; check, cue and shape for it
+    good = pd.DataFrame([(3, "11111", 400), (3, "00020", 300), (3, asked, 5)], columns=["kind", "votes", "n"])
+    bad = pd.DataFrame([(3, "11122", 400), (3, "00011", 300), (3, "01011", 200), (3, asked, 5)], columns=["kind", "votes", "n"])
+    assert pii.expectation_maximisation(good)[3, asked] > 0.5 > pii.expectation_maximisation(bad)[3, asked]
