@@ -262,6 +262,22 @@ def criteria_list(rubric: list[dict]) -> str:
     return "\n".join(lines)
 
 
+def remote_parts(config: dict) -> dict[str, str]:
+    """What a Remote prompt says of its setup (guidance and categories of id, label, question and options), written once for all jobs."""
+    conditions, questions = [], []
+    for c in config["categories"]:
+        conditions += [f"- {c['label']}: {o['label']} — " + ("rules a posting out" if o["rule"] == "fail" else "is fine") for o in c["options"]]
+        listed = [f"    - `{key}`: {said}" for key, said in [*((o["id"], o["label"]) for o in c["options"]), (UNKNOWN, "the sentences do not say")]]
+        questions.append("\n".join([f"- `{c['id']}` — {c['question']}", *listed]))
+    return {"guidance": config.get("guidance") or "", "conditions": "\n".join(conditions), "questions": "\n".join(questions)}
+
+
+def remote_prompts(jobs: DataFrame, template: str, config: dict) -> DataFrame:
+    """prompt of each job (title, company, location, remote_blocks): the setup, the questions and the sentences with a keyword or beside one."""
+    values = {k: F.lit(v) for k, v in remote_parts(config).items()} | {c: F.col(c) for c in ("title", "company", "location")}
+    return jobs.withColumn("prompt", rendered(template, values | {"blocks": sentence_lines(F.col("remote_blocks"), ("K", "ctx"))}))
+
+
 def stage2_prompts(jobs: DataFrame, template: str, rubric: list[dict]) -> DataFrame:
     """prompt of each job, null where the description is blank (those are skipped and counted)."""
     prompt = rendered(template, {"criteria_list": F.lit(criteria_list(rubric)), "title": F.col("title"), "company": F.col("company"), "location": F.col("location"), "description": F.col("description")})

@@ -167,6 +167,15 @@ def run_records(results: DataFrame, given: DataFrame | None = None) -> DataFrame
     return df.join(given.select("run_id", F.col("stage0_passed").alias("_g")), "run_id", "left").withColumn("stage0_passed", F.coalesce("_g", "total")).drop("_g")
 
 
+def run_summary(results: DataFrame) -> DataFrame:
+    """What is said when a run ends: total, passed, review, those that wait for a stage, and Stage-2 jobs without a text (column
+    body) to check quotes against."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    status = F.col("status")
+    unchecked = status.isin("passed", "review", "stage2_fail") & (T.strip(T.text("body")) == "")
+    return results.groupBy("run_id").agg(F.count("*").alias("total"), n(status == "passed").alias("passed"), n(status == "review").alias("review"), n(status.isin("stage1_pass", "remote_pass")).alias("stage2_pending"), n(unchecked).alias("quotes_unchecked"))
+
+
 def tokens_per_run(lines: DataFrame, given: DataFrame) -> DataFrame:
     """run_id, tokens: a given figure that is not 0, else the sum of the readable lines, else null."""
     total = lines.groupBy("run_id").agg(F.sum(F.expr("try_cast(tokens as bigint)")).alias("s"))

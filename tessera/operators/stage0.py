@@ -162,9 +162,19 @@ def titles_left_out(results: DataFrame, matches: Column) -> DataFrame:
     return per.withColumn("place", F.row_number().over(Window.partitionBy("search_n").orderBy(F.desc("n"), "title")))
 
 
-def search_totals(results: DataFrame) -> DataFrame:
-    """Of each search: rows read, distinct URLs, and those from company boards (source like ats:...)."""
-    return results.groupBy("search_n").agg(F.count("*").alias("read"), F.count_distinct("job_url").alias("kept"), F.count_if(F.col("source").startswith("ats:")).alias("from_ats"))
+def search_totals(results: DataFrame, *by: str) -> DataFrame:
+    """Of each search (of each run or the like, if `by` names it): rows read, distinct URLs, and those from company boards (source like ats:...)."""
+    return results.groupBy(*by, "search_n").agg(F.count("*").alias("read"), F.count_distinct("job_url").alias("kept"), F.count_if(F.col("source").startswith("ats:")).alias("from_ats"))
+
+
+def run_totals(searches: DataFrame, progress: DataFrame) -> DataFrame:
+    """run_id, total, done of runs: what their searches (run_id, search_n) kept so far, and whether all of them are done.
+
+    progress: run_id, search_n, kept, done as last reported; a search without a report has kept none and is not done.
+    """
+    told = progress.select(F.col("run_id").alias("_r"), F.col("search_n").alias("_s"), "kept", "done")
+    each = searches.join(told, (F.col("run_id") == F.col("_r")) & (F.col("search_n") == F.col("_s")), "left")
+    return each.groupBy("run_id").agg(F.sum(F.coalesce("kept", F.lit(0))).alias("total"), F.bool_and(F.coalesce("done", F.lit(False))).alias("done"))
 
 
 def keyword_coverage(blocks: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -376,6 +376,15 @@ def a3_search_totals(spark, d):
     return stage0.search_totals(rows)
 
 
+@query("WITH p AS (" + S.POSTINGS_SQL + "), k AS (SELECT run_id, search_n, count(DISTINCT job_url) AS kept, max(ord) % 2 = 0 AS done FROM p WHERE ord % 11 <> 3 GROUP BY ALL), s AS (SELECT DISTINCT run_id, search_n FROM p) SELECT run_id, CAST(sum(coalesce(kept, 0)) AS BIGINT) AS total, bool_and(coalesce(done, false)) AS done FROM s LEFT JOIN k USING (run_id, search_n) GROUP BY run_id")
+def a3_run_totals(spark, d):
+    """Runs' totals and whether all their searches are done; a search's report says so if its last posting is an even one."""
+    rows = S.postings(spark, d).withColumn("source", F.lit("search"))
+    told = rows.where("ord % 11 <> 3")
+    last = told.groupBy("run_id", "search_n").agg((F.max("ord") % 2 == 0).alias("done"))
+    return stage0.run_totals(rows.select("run_id", "search_n").distinct(), stage0.search_totals(told, "run_id").join(last, ["run_id", "search_n"]))
+
+
 IN_SENTENCE = {
     "licensed": "(?i)(^|[^\\p{L}\\p{N}])licens(e|es|ed|ing)([^\\p{L}\\p{N}]|$)",
     "MIT": "(^|[^\\p{L}\\p{N}])MIT([^\\p{L}\\p{N}]|$)",
@@ -700,6 +709,35 @@ def p1_p2_prompts(spark, d):
     return rows.select("job_url", F.md5(judging.rendered("Job {title} at {company}\n{blocks}", {"title": F.col("event"), "company": F.lit("ACME"), "blocks": judging.sentence_lines(F.col("blocks"), ("T1", "ctx"))})).alias("prompt"))
 
 
+#: The setup of a Remote check, and its template.
+REMOTE_SETUP = {
+    "guidance": "Read closely.",
+    "categories": [
+        {"id": "level", "label": "Level", "question": "How much remote work?", "options": [{"id": "full", "label": "Fully remote", "rule": "pass"}, {"id": "office", "label": "On-site", "rule": "fail"}]},
+        {"id": "zone", "label": "Zone", "question": "From where?", "options": [{"id": "any", "label": "Anywhere", "rule": "pass"}]},
+    ],
+}
+REMOTE_TEMPLATE = "{guidance}\n{conditions}\n\n{questions}\n\n{title} at {company}, {location}\n{blocks}"
+REMOTE_SAYS = (
+    "Read closely.\n- Level: Fully remote — is fine\n- Level: On-site — rules a posting out\n- Zone: Anywhere — is fine\n\n- `level` — How much remote work?\n    - `full`: Fully remote\n    - `office`: On-site\n    - `?`: the sentences do not say\n"
+    "- `zone` — From where?\n    - `any`: Anywhere\n    - `?`: the sentences do not say\n\n"
+)
+
+
+@query(
+    "WITH p AS MATERIALIZED (" + S.POSTINGS_SQL + "), s AS MATERIALIZED (SELECT doc_id AS ord, n, s, regexp_matches(s, '" + SECOND_SQL + "') AS h FROM (" + SENTENCES + ")), "
+    "b AS (SELECT s.ord, s.n, 'S' || s.n || CASE WHEN bool_or(h.n = s.n) THEN '[K] ' ELSE '[ctx] ' END || s.s AS line FROM s JOIN (SELECT ord, n FROM s WHERE h) h ON h.ord = s.ord AND abs(h.n - s.n) <= 1 GROUP BY s.ord, s.n, s.s), "
+    "t AS (SELECT ord, -1 AS n, 'T[title] ' || trim(title) AS line FROM p WHERE trim(title) <> '' AND (ord IN (SELECT ord FROM b) OR regexp_matches(title, '" + SECOND_SQL + "'))), "
+    "l AS (SELECT ord, string_agg(line, chr(10) ORDER BY n) AS lines FROM (SELECT * FROM b UNION ALL SELECT * FROM t) GROUP BY ord) "
+    "SELECT ord, md5('" + REMOTE_SAYS + "' || title || ' at ' || company || ', ' || location || chr(10) || lines) AS prompt FROM p JOIN l USING (ord)"
+)
+def p2_remote_prompts(spark, d):
+    """The Remote prompt in full of every posting with a remote keyword, over whole texts."""
+    blocks = V.keyword_blocks([], REMOTE, [])(F.col("title"), T.sentences("description"))["remote_blocks"]
+    rows = S.postings(spark, d).withColumn("remote_blocks", blocks).where(F.size("remote_blocks") > 0)
+    return judging.remote_prompts(rows, REMOTE_TEMPLATE, REMOTE_SETUP).select("ord", F.md5("prompt").alias("prompt"))
+
+
 @query("SELECT ord, CASE WHEN trim(description) <> '' THEN md5('- a (pass) First: More of it' || chr(10) || '- b (fail) Second' || chr(10) || title || ': ' || description) END AS prompt FROM (" + S.POSTINGS_SQL + ")")
 def p3_stage2_prompts(spark, d):
     rubric = [{"id": "a", "kind": "pass", "label": "First", "text": "More  of it"}, {"id": "b", "kind": "fail", "label": "Second", "text": "second."}]
@@ -899,6 +937,16 @@ def a7_a13_run_records(spark, d):
     return ledger.run_records(S.ledger(spark, d), given).select("run_id", "total", "stage2_pass", "stage2_review", "stage2_fail", "stage1_pass", "stage0_passed")
 
 
+RUN_STATUS = "CASE {0} % 5 WHEN 0 THEN 'passed' WHEN 1 THEN 'review' WHEN 2 THEN 'stage1_pass' WHEN 3 THEN 'remote_pass' ELSE 'stage2_fail' END"
+
+
+@query("SELECT run_id, count(*) AS total, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status IN ('stage1_pass', 'remote_pass')) AS stage2_pending, count(*) FILTER (status NOT IN ('stage1_pass', 'remote_pass') AND (ord % 7 = 0 OR regexp_replace(description, '\\s+', '', 'g') = '')) AS quotes_unchecked FROM (SELECT 'run-' || lang AS run_id, doc_id AS ord, text AS description, " + RUN_STATUS.format("doc_id") + " AS status FROM documents) GROUP BY run_id")
+def a13_run_summary(spark, d):
+    """A run for each language; every seventh posting has lost its text."""
+    rows = S.read(spark, d, D).select(F.concat(F.lit("run-"), "lang").alias("run_id"), F.expr(RUN_STATUS.format("doc_id")).alias("status"), F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("body"))
+    return ledger.run_summary(rows)
+
+
 @query("SELECT run_id, count(*) AS jobs, count(user_action) AS decisions, count(*) FILTER (user_action = 'applied') AS applied, count(*) FILTER (coalesce(reason, '') <> '') AS reasons, count(*) FILTER (user_action = 'skipped_fit' AND coalesce(reason, '') <> '' AND review_status IS NULL) AS not_reviewed FROM (" + S.LEDGER_SQL + ") GROUP BY run_id")
 def a9_run_previews(spark, d):
     return ledger.run_previews(S.ledger(spark, d))
