@@ -34,6 +34,8 @@ class Limits:
     #: A document is depleted if fewer words, or a smaller share of them, are left.
     left_words: int = 10
     left_share: float = 0.2
+    #: Whether the first document of a line keeps it, so that one copy stays in the corpus.
+    spare_first: bool = True
 
 
 def words_of(text: Column) -> Column:
@@ -88,7 +90,7 @@ def crowded_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, li
     """doc id, text hash, and each line hash of that document above its host's limits, with the words that go.
 
     Words and `times` (how many lines were met) are those of one row: repeated rows have the same lines at the same
-    places. Lines are counted by (host, hash), with partial counts before the shuffle, so that a hot host or line is no hot task. The first document of a line keeps it: one copy of what many share stays in the corpus.
+    places. Lines are counted by (host, hash), with partial counts before the shuffle, so that a hot host or line is no hot task. The first document of a line keeps it, unless the limits say otherwise.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{host_col}`").alias("host"), plain_lines(F.col(f"`{text_col}`")).alias("ls"))
     once = rows.select("id", "host", F.explode_outer(F.array_distinct("ls")).alias("x")).where("x is not null").select("id", "host", line_key(F.col("x")).alias("k")).select("id", "host", "k.a", "k.b")
@@ -102,7 +104,8 @@ def crowded_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, li
     crowded = cut(crowded)
     few = F.broadcast(crowded) if crowded.count() <= CROWDED else crowded.hint("shuffle_hash")
     met = lines.join(few, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & F.col("host").eqNullSafe(F.col("_host")))
-    met = met.where(~F.col("id").eqNullSafe(F.col("first")))
+    if limits.spare_first:
+        met = met.where(~F.col("id").eqNullSafe(F.col("first")))
     met = met.groupBy("id", "th", "host", "a", "b", "p").agg(F.max("n").alias("n"))
     per = met.groupBy("id", "th", "host", "a", "b").agg(F.sum("n").alias("n"), F.count("*").alias("times"))
     return per.select("id", "th", "host", "a", "b", F.col("n").cast("long").alias("words"), "times")

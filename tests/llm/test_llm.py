@@ -780,3 +780,10 @@ def test_reliabilities_change_a_verdict():
     good = pd.DataFrame([(3, "11111", 400), (3, "00020", 300), (3, asked, 5)], columns=["kind", "votes", "n"])
     bad = pd.DataFrame([(3, "11122", 400), (3, "00011", 300), (3, "01011", 200), (3, asked, 5)], columns=["kind", "votes", "n"])
     assert pii.expectation_maximisation(good)[3, asked] > 0.5 > pii.expectation_maximisation(bad)[3, asked]
+
+
+def test_lines_go_from_every_document_if_asked(spark):
+    rows = [(i, "One line that all of them have\n" + f"own words number{i} " * 30, "h") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    for spare, n in ((True, 29), (False, 30)):
+        assert quality.quality(df, limits=quality.Limits(spare_first=spare)).where("removed_words > 0").count() == n
