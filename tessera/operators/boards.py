@@ -13,6 +13,7 @@ from tessera.operators.graph import numbered
 
 #: Days until a miss is looked up again, and the vendors that are tried, in order.
 RETRY_DAYS = 30
+# The vendors whose boards are looked for, in this order.
 PROBED = ("greenhouse", "lever", "ashby", "workable", "smartrecruiters", "recruitee", "lever_eu", "teamtailor")
 BATCH = 500
 

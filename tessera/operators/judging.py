@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators.graph import cut
 
+# What an answer may say, what is said of a posting, and how answers are laid out.
 UNKNOWN = "?"
 NO_KEYWORD = "No remote keyword in the posting, so nothing says it is remote."
 NO_EVIDENCE = "Read as acceptable, but pointed at no sentence that says so."
