@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
@@ -36,13 +36,14 @@ class Automata:
                 literal.setdefault(form[1].lower(), []).append(n)
             elif form:
                 runs[form[0]].setdefault(tuple(form[1]), []).append(n)
-        known = {kind: {t: i for i, t in enumerate(dict.fromkeys(t for run in some for t in run), 1)} for kind, some in runs.items()}
+        self.known = {kind: {t: i for i, t in enumerate(dict.fromkeys(t for run in some for t in run), 1)} for kind, some in runs.items()}
         self.of = {}
         for kind, some in runs.items():
             self.of[kind] = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             for run, ns in some.items():
-                self.of[kind].add_word(tuple(known[kind][t] for t in run), ns)
-        self.ids = {"exact": _Ids(known["exact"], str), "stems": _Ids(known["stems"], stem)}
+                self.of[kind].add_word(tuple(self.known[kind][t] for t in run), ns)
+        self.single = {kind: {self.known[kind][run[0]]: ns for run, ns in some.items() if len(run) == 1} for kind, some in runs.items()}
+        self.seen: dict[str, dict[str, int]] = {"exact": {}, "stems": {}}
         self.literal = ahocorasick.Automaton()
         for text, ns in literal.items():
             self.literal.add_word(text, (len(text), ns))
@@ -56,13 +57,13 @@ class Automata:
         tokens = LINE_TOKEN.findall(text)
         breaks: list[int] | None = None
         for kind, automaton in self.of.items():
-            if len(automaton):
-                ids = tuple(map(self.ids[kind].__getitem__, tokens))
-                for end, ns in automaton.iter(ids):
-                    if breaks is None:
+            for at, ids in self._known_runs(kind, tokens) if len(automaton) else ():
+                # a run of one token is looked up, longer ones go through the automaton
+                for end, ns in automaton.iter(ids) if len(ids) > 1 else ((0, self.single[kind].get(ids[0], ())),):
+                    if ns and breaks is None:
                         breaks = [i for i, t in enumerate(tokens) if t == "\n"]
                     for n in ns:
-                        found.setdefault(n, {})[bisect_left(breaks, end)] = None
+                        found.setdefault(n, {})[bisect_left(breaks, at + end)] = None
         if len(self.literal):
             low = text.lower()
             for end, (length, ns) in self.literal.iter(low):
@@ -73,18 +74,23 @@ class Automata:
                         found.setdefault(n, {})[line] = None
         return {n: sorted(found[n]) for n in sorted(found)}
 
-
-class _Ids(dict):
-    """The number of each token's form, looked up once for each spelling; 0 if no keyword has it."""
-
-    def __init__(self, known: dict[str, int], form: Callable[[str], str]):
-        self.known, self.form = known, form
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > MOST_SPELLINGS:
-            self.clear()
-        n = self[token] = 0 if token == "\n" else self.known.get(self.form(token), 0)
-        return n
+    def _known_runs(self, kind: str, tokens: list[str]) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """Place and numbers of the tokens, one behind the other, that keywords have; each spelling is looked up once."""
+        seen, known = self.seen[kind], self.known[kind]
+        ids = list(map(seen.get, tokens))
+        if None in ids:
+            if len(seen) > MOST_SPELLINGS:
+                seen.clear()
+            for i, n in enumerate(ids):
+                if n is None:
+                    t = tokens[i]
+                    ids[i] = seen[t] = 0 if t == "\n" else known.get(stem(t) if kind == "stems" else t, 0)
+        on = [i for i, n in enumerate(ids) if n]
+        first = 0
+        for k, i in enumerate(on):
+            if k + 1 == len(on) or on[k + 1] != i + 1:
+                yield on[first], tuple(ids[on[first] : i + 1])
+                first = k + 1
 
 
 def _in_word(c: str) -> bool:
