@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, smallest
 
-#: Labelled rows that are learned from (smallest seeded hashes first), and signs that are kept.
-SAMPLE, SIGNS = 12_000, 20_000
+#: Labelled rows that are learned from (smallest seeded hashes first); signs are words of theirs, so this bounds them too.
+SAMPLE = 12_000
 FEATURES = 4
 CLASSES = 28  # a to z, another letter, anything else
 #: What a character may stand for; one that is not listed stands for itself.
@@ -207,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, costs: np.ndarray, held_out, sampl
         return {}, np.zeros(FEATURES + 1)
     weight = F.log((F.col("n1") + 0.1) / (n1 + 0.2)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     per = rows.mapInPandas(count, "sign string, n0 long, n1 long").groupBy("sign").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    best = per.where("n1 >= 3").withColumn("w", weight).where("w > 2").orderBy(F.desc(F.col("w") * F.log1p("n1")), "sign").limit(SIGNS)
+    best = per.where("n1 >= 3").withColumn("w", weight).where("w > 2")
     weights = {r["sign"]: r["w"] for r in best.collect()}
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
