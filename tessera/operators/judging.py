@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.graph import cut
+from tessera.operators.graph import cut, numbered
 
 # What an answer may say, what is said of a posting, and how answers are laid out.
 UNKNOWN = "?"
@@ -147,8 +147,8 @@ def feeding(stage0: DataFrame, outcomes: DataFrame, runs: DataFrame, stage: str)
 
 
 def manifest(feed: DataFrame) -> DataFrame:
-    """Prompts numbered 0, 1, 2 ... within (run_id, stage): what a model reads first (no_keyword last), by ord."""
-    return feed.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "stage").orderBy("no_keyword", "ord")) - 1)
+    """Prompts numbered 0, 1, 2 ... within (run_id, stage): what a model reads first (no_keyword last), by ord; counted by ranges, as a run may be most of the rows."""
+    return numbered(feed, "n", F.col("no_keyword"), F.col("ord"), within=("run_id", "stage")).withColumn("n", F.col("n") - 1)
 
 
 def remote_problems(answers: DataFrame, options: DataFrame) -> DataFrame:

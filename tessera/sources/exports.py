@@ -29,7 +29,8 @@ def rejected_lines(results: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def write_report(lines: DataFrame, column: str, folder: str) -> None:
-    lines.repartition("run_id").sortWithinPartitions("run_id", "section", "ord").select("run_id", F.col(column).alias("value")).write.mode("overwrite").partitionBy("run_id").text(folder)
+    """A folder of text for each run; a long report is several files, in order."""
+    lines.repartitionByRange("run_id", "section", "ord").sortWithinPartitions("run_id", "section", "ord").select("run_id", F.col(column).alias("value")).write.mode("overwrite").partitionBy("run_id").text(folder)
 
 
 def remote_table(answers: DataFrame, labels: list[str]) -> DataFrame:
