@@ -1254,8 +1254,10 @@ def io10_snapshots(spark, d):
 
 @query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE -1 END AS hours_old, CASE WHEN n_nationkey % 3 = 0 THEN 'en' END AS language FROM nation")
 def io6_small_table(spark, d):
-    """A configuration of nations as one JSON list, with values left out, read with its defaults."""
+    """A configuration of nations as JSON lists, one for each region, with values left out, read with its defaults."""
     folder = _shared(spark)
     row = F.struct(F.col("n_name").alias("name"), F.expr("case when n_nationkey % 2 = 0 then n_nationkey end").alias("hours_old"), F.expr("case when n_nationkey % 3 = 0 then 'en' end").alias("language"))
-    S.read(spark, d, "nation").agg(F.to_json(F.collect_list(row)).alias("value")).write.text(folder)  # a small table, as its name says
-    return landing.small_table(spark, folder, "name string, hours_old long, language string", {"hours_old": -1})
+    S.read(spark, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.collect_list(row)).alias("value")).write.partitionBy("n_regionkey").text(folder)
+    found = cut(landing.small_table(spark, folder, "name string, hours_old long, language string", {"hours_old": -1}).select("name", "hours_old", "language"))
+    bucketed.removed(spark, folder)
+    return found
