@@ -52,17 +52,20 @@ ENDINGS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "it", "uk"
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "36", "38", "6011", "65", "35", "62", "2221", "2720")
 CODES = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "61", "62", "63", "64", "65", "66", "7", "81", "82", "84", "86", "90", "91", "92", "351", "353", "358", "380", "420")
 LABELERS = ("pattern", "check", "gazetteer", "cue", "shape")
-#: A text without any of these has no address; one without several digits near each other no wider number.
-AT, NUMBERS = re.compile(r"@|[\[({]at[\])}]|\s(?:at|AT|At|arroba)\s"), re.compile(r"[0-9](?:[^0-9\n]{0,4}[0-9]){3}")
+#: Words between the parts of a spelled-out address; a text without an @, [at] or one of these has none.
+BETWEEN = (" dot ", " punto ", " punkt ", " point ")
+WRAPPED = ("[at]", "(at)", "{at}")
 #: Addresses in words or pieces, whose last word the gazetteer has to know.
 SPELLED = re.compile(r"(?i)(?<![\w.%+@-])[a-z0-9._%+-]{1,64}(?:\s(?:at|arroba)\s[a-z0-9-]{1,63}(?:\s(?:dot|punto|punkt|point)\s[a-z0-9-]{1,63}){1,4}|(?:\s@\s?|@\s)[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,4})(?![\w-])")
 #: International numbers without a plus, the dialling code set off.
 DIALLED = re.compile(r"(?<![0-9.+-])(?:00|\(00\)|011[\x20-])[\x20.-]?[1-9][0-9]{0,2}[\x20()./-]{1,2}[0-9](?:[\x20()./-]{0,2}[0-9]){6,11}(?![0-9])")
-#: Words that announce a number, and what the number may look like behind them.
+#: Digits near each other, which context may make a number of.
+DIGITS = re.compile(r"\+?\(?[0-9](?:[\x20()./,_\[\]-]{0,3}[0-9]){3,}")
+#: Words that announce a number, in front of it, and what the number may look like.
 BEHIND = (
-    ("ip", re.compile(r"(?i)\b(?:ip|ip[\x20-]?address|ip-adresse|host|server|login from)\b[^0-9\n]{0,12}"), re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|[\x20,_-]|\x20?\.\x20?)[0-9]{1,3}){3}(?![0-9.])")),
-    ("card", re.compile(r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|kreditkarte|carte|tarjeta)\b[^0-9\n]{0,16}"), re.compile(r"[0-9](?:[\x20./_-]{0,2}[0-9]){13,18}(?![0-9])")),
-    ("phone", re.compile(r"(?i)\b(?:phone|telephone|tel|call|call me|fax|mobile|cell|whatsapp|telefon|anruf|teléfono|téléphone|móvil|handy)\b[^0-9+\n]{0,12}"), re.compile(r"\+?\(?[0-9](?:[\x20()./_-]{0,3}[0-9]){6,14}(?![0-9])")),
+    ("ip", re.compile(r"(?i)\b(?:ip|ip[\x20-]?address|ip-adresse|host|server|login from)\b[^0-9\n]{0,12}\Z"), re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|[\x20,_-]|\x20?\.\x20?)[0-9]{1,3}){3}(?![0-9.])")),
+    ("card", re.compile(r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|kreditkarte|carte|tarjeta)\b[^0-9\n]{0,16}\Z"), re.compile(r"[0-9](?:[\x20./_-]{0,2}[0-9]){13,18}(?![0-9])")),
+    ("phone", re.compile(r"(?i)\b(?:phone|telephone|tel|call|call me|fax|mobile|cell|whatsapp|telefon|anruf|teléfono|téléphone|móvil|handy)\b[^0-9+\n]{0,12}\Z"), re.compile(r"\+?\(?[0-9](?:[\x20()./_-]{0,3}[0-9]){6,14}(?![0-9])")),
 )
 
 
@@ -124,18 +127,17 @@ def proposals(text: str, mails: bool) -> Iterator[tuple[int, int, int]]:
         if mails or name != "email":
             for m in pattern.finditer(text):
                 yield KINDS.index(name), *m.span()
-    if mails:
+    if mails and (" @" in text or "@ " in text or any(w in text.lower() for w in BETWEEN)):
         for m in SPELLED.finditer(text):
             if re.split(r"\W+", m[0].lower())[-1] in ENDINGS:
                 yield 0, *m.span()
-    if NUMBERS.search(text):
-        for m in DIALLED.finditer(text):
-            if re.sub("[^0-9]", "", m[0]).removeprefix("00").removeprefix("011").startswith(CODES):
-                yield 3, *m.span()
+    for run in DIGITS.finditer(text):
+        before = text[max(0, run.start() - 40) : run.start()]
         for name, cue, number in BEHIND:
-            for c in cue.finditer(text):
-                if m := number.match(text, c.end()):
-                    yield KINDS.index(name), *m.span()
+            if (m := number.match(text, run.start())) and cue.search(before):
+                yield KINDS.index(name), *m.span()
+        if (m := DIALLED.match(text, run.start())) and re.sub("[^0-9]", "", m[0]).removeprefix("00").removeprefix("011").startswith(CODES):
+            yield 3, *m.span()
 
 
 def features(kind: int, span: str, before: str, vote: list[int]) -> list[float]:
@@ -154,7 +156,7 @@ def features(kind: int, span: str, before: str, vote: list[int]) -> list[float]:
 def candidates(text: str | None) -> list[dict]:
     """Every base span, and what the wider patterns add without overlapping one of its kind."""
     text = text or ""
-    mails = bool(AT.search(text))
+    mails = "@" in text or any(w in text for w in WRAPPED) or any(w in text.lower() for w in BETWEEN)
     if not mails and not re.search("[0-9]", text):
         return []
     base = base_spans(text)
