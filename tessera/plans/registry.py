@@ -488,10 +488,11 @@ def f7_a1_waterfall_counts(spark, d):
     return stage0.drop_counts(_screened(spark, d))
 
 
-@query(SCREENED + "SELECT ord, drop_reason, content_hash, t1, remote, rtrim(hits, ',') AS title_hits FROM z")
+@query(SCREENED + "SELECT ord, drop_reason, content_hash, coalesce(t1, -1) AS t1, coalesce(remote, -1) AS remote, rtrim(hits, ',') AS title_hits FROM z")
 def f1_f3_f6_blocks(spark, d):
+    """What the rules say of every posting; one that is dropped for its language has no blocks (-1)."""
     df = _screened(spark, d)
-    return df.select("ord", "drop_reason", "content_hash", F.size("t1_blocks").alias("t1"), F.size("remote_blocks").alias("remote"), F.array_join("title_hits", ",").alias("title_hits"))
+    return df.select("ord", "drop_reason", "content_hash", F.coalesce(F.size("t1_blocks"), F.lit(-1)).alias("t1"), F.coalesce(F.size("remote_blocks"), F.lit(-1)).alias("remote"), F.array_join("title_hits", ",").alias("title_hits"))
 
 
 @query("SELECT doc_id AS ord, title FROM (SELECT ord AS doc_id, title FROM (" + S.POSTINGS_SQL + ")) WHERE " + " OR ".join(f"(doc_id % {len(TITLED)} = {i} AND regexp_matches(title, '(?i)(^|" + NO_WORD + f")({v})(" + NO_WORD + "|$)'))" for i, v in enumerate(TITLED.values())))
