@@ -397,7 +397,8 @@ IN_SENTENCE = {
 @query("WITH s AS (SELECT doc_id, s FROM (" + SENTENCES + ") UNION ALL SELECT ord, trim(title) FROM (" + S.POSTINGS_SQL + ")) " + " UNION ALL ".join(f"SELECT '{k}' AS keyword, count(DISTINCT doc_id) AS postings FROM s WHERE regexp_matches(s, '{p}')" for k, p in IN_SENTENCE.items()))
 def a4_keyword_coverage(spark, d):
     words = spark.createDataFrame([(k,) for k in REMOTE], "keyword string")
-    return stage0.keyword_coverage(_filtered(spark, d).select(F.flatten(F.transform("remote_blocks", lambda b: b["matched_keywords"])).alias("matched_keywords")), words)
+    every = stage0.waterfall(S.postings(spark, d), READS, TIER1, EXCLUDE, REMOTE, language_column="location")  # a reader of all languages
+    return stage0.keyword_coverage(every.select(F.flatten(F.transform("remote_blocks", lambda b: b["matched_keywords"])).alias("matched_keywords")), words)
 
 
 # -- reposts
