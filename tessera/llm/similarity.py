@@ -285,39 +285,65 @@ def linked(overlap: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
     return 100 * overlap >= PERCENT * (a + b - overlap)
 
 
-def block_links(keys: list[int], sets: list[np.ndarray], groups: np.ndarray, queries: np.ndarray) -> set[tuple[int, int]]:
-    """Links between classes of different groups that have a query among them; one is enough for two groups."""
-    lists, out, joined = Lists(sets), set(), {}
+class Groups:
+    """Which of n things are of one group so far; a group's name is one of them."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def of(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were of two groups, which are one now."""
+        a, b = self.of(a), self.of(b)
+        self.parent[a] = b
+        return a != b
 
-    def root(g: int) -> int:
-        while joined.get(g, g) != g:
-            joined[g] = joined.get(joined[g], joined[g])
-            g = joined[g]
-        return g
 
-    for q in queries.tolist():
+def block_links(keys: list[int], sets: list[np.ndarray], groups: Groups, queries: list[int]) -> set[tuple[int, int]]:
+    """Links between classes of different groups that have a query among them; one is enough for two groups."""
+    lists, out = Lists(sets), set()
+    for q in queries:
         found, count = lists.search(sets[q])
         for i in found[linked(count, len(sets[q]), lists.sizes[found])].tolist():
-            a, b = root(int(groups[q])), root(int(groups[i]))
-            if a != b:
-                joined[a] = b
+            if groups.join(q, i):
                 out.add((keys[q], keys[i]))
     return out
 
 
-def central_first(keys: list[int], weights: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray) -> tuple[np.ndarray, set[tuple[int, int]]]:
-    """Groups of a task's classes: of each block, what its most central class links to; and those links."""
-    groups, out = np.arange(len(keys)), set()
-    for block in np.unique(blocks):
-        own = np.flatnonzero(blocks == block)
-        centre = int(own[np.lexsort((np.array(keys)[own], -weights[own]))[0]])
-        for i in own.tolist():
-            if i != centre and min(len(sets[i]), len(sets[centre])) * 100 >= PERCENT * max(len(sets[i]), len(sets[centre])):
-                both = len(np.intersect1d(sets[i], sets[centre], assume_unique=True))
-                if linked(both, len(sets[i]), len(sets[centre])):
-                    groups[i] = centre
-                    out.add((keys[centre], keys[i]))
-    return groups, out
+def task_links(keys: list[int], weights: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray) -> set[tuple[int, int]]:
+    """Links enough to connect whatever is linked within a block, for a task's blocks; rows are places of classes in blocks.
+
+    The most central class of each block is held against all others of that block. If these are of several groups then,
+    all but the largest group of the block ask: a link between two groups has a class that asks at an end. What a class
+    is linked to in one block says nothing about its links in another, so each block is judged by itself.
+    """
+    # A class stands in the block of each of its leaders: one place of it is indexed and asks.
+    names, once, place = np.unique(np.array(keys, np.int64), return_index=True, return_inverse=True)
+    groups, out, asks = Groups(len(names)), set(), set()
+    order = np.argsort(blocks, kind="stable")
+    others = []
+    for own in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
+        centre = int(own[np.lexsort((place[own], -weights[own]))[0]])
+        rest = np.unique(place[own[place[own] != place[centre]]])
+        others.append(rest)
+        mine, c = sets[centre], int(place[centre])
+        for i in rest.tolist():
+            other = sets[once[i]]
+            if groups.of(i) != groups.of(c) and min(len(other), len(mine)) * 100 >= PERCENT * max(len(other), len(mine)):
+                both = len(np.intersect1d(other, mine, assume_unique=True))
+                if linked(both, len(other), len(mine)) and groups.join(i, c):
+                    out.add((keys[centre], int(names[i])))
+    group = np.array([groups.of(i) for i in range(len(names))], np.int64)
+    for rest in others:
+        own, at, size = np.unique(group[rest], return_inverse=True, return_counts=True)
+        if len(own) > 1:
+            asks.update(rest[at != np.argmax(size)].tolist())
+    return out | block_links(names.tolist(), [sets[i] for i in once], groups, sorted(asks))
 
 
 def _columns(table: pa.Table) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
@@ -333,16 +359,7 @@ def small_links(members: DataFrame, n: int) -> DataFrame:
     """Links within blocks that fit a task; a task takes many of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, weights, sets = _columns(table)
-        blocks = table["block"].to_numpy()
-        groups, out = central_first(keys, weights, sets, blocks)
-        # A class stands in the block of each of its leaders: one place of it is indexed and asks.
-        names, once, place = np.unique(np.array(keys, np.int64), return_index=True, return_inverse=True)
-        led = np.flatnonzero(groups != np.arange(len(keys)))
-        group = np.arange(len(names))
-        group[place[led]] = place[groups[led]]
-        asks = np.setdiff1d(np.arange(len(names)), np.union1d(place[led], place[groups[led]]))
-        return _edges(out | block_links(names.tolist(), [sets[i] for i in once], group, asks))
+        return _edges(task_links(*_columns(table), table["block"].to_numpy()))
 
     return members.withColumn("task", F.pmod(F.xxhash64("block"), F.lit(n))).groupBy("task").applyInArrow(run, "a long, b long")
 

@@ -692,6 +692,20 @@ def test_similarity_chains(spark, monkeypatch, block):
     assert sorted((tuple(r) for r in got.collect()), key=str) == groups(rows)
 
 
+def test_led_in_another_block(spark):
+    """Classes that the leaders of other blocks lead are still linked with one another, in a block whose leader is not linked to them."""
+    fresh = iter(range(1000, 10_000))
+    a = set(range(100))
+    b = a - set(range(88, 100)) | {next(fresh) for _ in range(12)}
+    of_a = a - set(range(12)) | {next(fresh) for _ in range(12)}
+    of_b = b - set(range(12, 24)) | {next(fresh) for _ in range(12)}
+    of_both = set(range(24, 34)) | {next(fresh) for _ in range(90)}
+    sets, weights = {1: a, 2: b, 3: of_a, 4: of_b, 5: of_both}, {1: 0.1, 2: 0.1, 3: 0.5, 4: 0.5, 5: 0.5}
+    rows = [(block, k, weights[k], len(sets[k]), np.array(sorted(sets[k]), np.uint64).tobytes()) for block, keys in ((3, (3, 1)), (4, (4, 2)), (5, (5, 1, 2))) for k in keys]
+    members = spark.createDataFrame(rows, "block long, key long, weight double, n long, shingles binary")
+    assert {frozenset(r) for r in similarity.small_links(members, 1).collect()} == {frozenset(x) for x in ((1, 3), (2, 4), (1, 2))}
+
+
 def test_divide_skip():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 60, r.integers(5, 60)).astype(np.uint64)) for _ in range(80)]
