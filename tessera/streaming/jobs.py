@@ -39,22 +39,28 @@ def token_totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run_id").agg(F.sum(F.expr("try_cast(tokens as bigint)")).alias("tokens"))
 
 
-def new_prompts(spark: SparkSession, stream: DataFrame, folder: str, checkpoint: str, late: str) -> DataStreamWriter:
+def new_prompts(spark: SparkSession, stream: DataFrame, folder: str, checkpoint: str, late: str | None) -> DataStreamWriter:
     """Prompts of new passes (run_id, job_url, ord, ts), numbered within their run after those of earlier batches; a number never changes.
 
+    late: how far a pass may be behind the newest one (by ts); up to there, one that comes again is no new one. None:
+    every row is a pass of its own, and needs no ts. A time up to 1970 counts as the first one behind it, since a
+    watermark that has not moved yet stands there and would drop the row as late.
+
     What a batch has to know of the others is the last number of each run. It is written beside each batch's prompts,
     <folder>/last/batch=<b>, a row for each run, and read from there by the next one: a restart goes on from it, a
     batch that is run again gets the same numbers, and the prompts themselves are never read again. Within a batch
     numbers are counted by ranges, so a run with most of the rows is no hot key, as it would be for a state by run.
     """
-    once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "job_url"])
-    schema = "run_id string, last long"
+    once, schema = stream, "run_id string, last long"
+    if late is not None:
+        first = F.timestamp_millis(F.lit(1))
+        once = stream.withColumn("ts", F.when(F.col("ts") < first, first).otherwise(F.col("ts"))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "job_url"])
 
     def write(batch: DataFrame, number: int) -> None:
         last = spark.read.schema(schema).parquet(f"{folder}/last/batch={number - 1}") if number else spark.createDataFrame([], schema)
         last = last.select(F.col("run_id").alias("_r"), "last")
-        placed = numbered(batch.select("run_id", "job_url", "ord"), "_n", F.col("ord"), F.col("job_url"), within=("run_id",))
-        rows = placed.join(last, F.col("run_id") == F.col("_r"), "left").withColumn("n", F.coalesce("last", F.lit(-1)) + F.col("_n")).select("run_id", "job_url", "n")
+        placed = numbered(batch.select("run_id", "job_url", "ord"), "_n", F.col("ord").asc_nulls_last(), F.col("job_url").asc_nulls_last(), within=("run_id",))
+        rows = placed.join(last, F.col("run_id").eqNullSafe(F.col("_r")), "left").withColumn("n", F.coalesce("last", F.lit(-1)) + F.col("_n")).select("run_id", "job_url", "n")
         rows = cut(rows)
         rows.write.mode("overwrite").parquet(f"{folder}/prompts/batch={number}")
         now = rows.groupBy("run_id").agg(F.max("n").alias("last")).unionByName(last.withColumnRenamed("_r", "run_id"))

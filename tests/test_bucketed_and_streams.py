@@ -143,6 +143,20 @@ def test_numbers_of_prompts_never_change(spark, tmp_path):
     assert {r.run_id: r.last for r in spark.read.parquet(f"{folder}/last/batch=2").collect()} == {"r": 3, "q": 1, "s": 0}
 
 
+def test_prompts_of_passes_before_the_first_watermark(spark, tmp_path):
+    src, folder, schema = str(tmp_path / "in"), str(tmp_path / "p"), "run_id string, job_url string, ord int, ts timestamp"
+
+    def go():
+        jobs.drained(jobs.new_prompts(spark, stream(spark, src, schema), folder, str(tmp_path / "c"), "1 day"))
+        return {(r.run_id, r.job_url): r.n for r in spark.read.schema("run_id string, job_url string, n long").parquet(f"{folder}/prompts").collect()}
+
+    put(spark, src, [("r", "b", None, dt.datetime(1970, 1, 1)), ("r", "a", 1, dt.datetime(1969, 12, 30)), ("r", "a", 1, dt.datetime(1969, 12, 30)), (None, "x", 1, dt.datetime(1970, 1, 1))], schema)
+    first = go()
+    assert first == {("r", "a"): 0, ("r", "b"): 1, (None, "x"): 0}
+    put(spark, src, [("r", "c", 0, dt.datetime(1970, 1, 1)), (None, "y", 1, dt.datetime(1970, 1, 2))], schema)
+    assert go() == first | {("r", "c"): 2, (None, "y"): 1}
+
+
 RUBRIC = [(0, "c1", "pass", "first", None), (1, "c2", "fail", "second", None)]
 
 
